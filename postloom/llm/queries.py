@@ -4,22 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postloom.llm.bpe import bpe_decode, bpe_encode
+from postloom.llm.line_dedup import dedup_lines, op1_sql
+from postloom.llm.media import media_columns
+from postloom.llm.mixing import mix_sources, op7_sql
 from postloom.llm.near_dedup import near_duplicates
+from postloom.llm.quality import quality
+from postloom.llm.sharding import shard
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("line_count").cast("long").alias("n_lines"), F.col("line_spread").cast("long").alias("n_spread"), F.col("line_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, documents(spark, sf_dir), width=3, percent=85)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text.cast("binary"))})
+    out = shard(spark, docs, carry=["doc_id", "size", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("ring_shard").alias("shard"), F.col("ring_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    out = bpe_decode(encoded, path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_columns(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minmax_near_dedup,)}
+    found = (op1_site_spread_lines, op3_minmax_near_dedup, op4_ngram_ratio_rules, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_site_spread_lines": op1_sql(), "op7_pareto_mix": op7_sql()}
