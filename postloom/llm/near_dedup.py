@@ -4,10 +4,11 @@ Each permutation of a document's shingle set gives two signature values, its lea
 its greatest, so 60 hash evaluations a shingle give 120 values. They are banded by five
 (24 bands: a pair at the threshold shares a band but for 8 chances in 10 million). Documents
 of equal sets are one node from the start. In every bucket each node is held against the
-bucket's first one; buckets that still hold several components then have their nodes
-compared in blocks by one-byte sketches, and what may link is confirmed on full sets. So
-every pair of a bucket is either joined by links already or looked at, and no bucket is
-expanded into all its pairs.
+bucket's first one, on full sets. Nodes that share buckets form families; a family's
+largest component is then left alone with itself, and its other nodes meet all the rest in
+blocks of bounded size, where one-byte sketches pick what is confirmed on full sets and
+links alone come out. So every pair of a bucket is joined by links already or looked at,
+and no bucket is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -85,35 +86,40 @@ def _one(text: str, width: int) -> np.ndarray:
     return shingles(Words(raw, np.array([0, len(raw)])).hashes(), width) if len(raw) else np.empty(0, np.uint64)
 
 
+def _links(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of sets of x's size or near it, those with 100 * intersection >= percent * union."""
+    sizes = np.array([len(y) for y in others])
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, joined), len(x) - 1)
+    both = np.add.reduceat(x[at] == joined, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= percent * (len(x) + sizes - both)
+
+
 def confirmed(width: int, percent: int):
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[object, np.ndarray] = (object(), np.empty(0))
         for batch in batches:
-            a, b, left, right = (batch.column(c) for c in ("a", "b", "left", "right"))
+            a, left, right = (batch.column(c) for c in ("a", "left", "right"))
             keep_rows = np.zeros(len(batch), bool)
             for k in range(len(batch)):
                 if a[k].as_py() != last[0]:
                     last = (a[k].as_py(), _one(left[k].as_py() or "", width))
                 x, y = last[1], _one(right[k].as_py() or "", width)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep_rows[k] = 100 * both >= percent * (len(x) + len(y) - both)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) > 0:
+                    keep_rows[k] = _links(x, [y], percent)[0]
             yield batch.select(["a", "b"]).filter(pa.array(keep_rows))
 
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Only texts named in a pair are shuffled; a document in many pairs is a skewed join that Spark splits."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
+def confirm(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A document in many pairs is a skewed join that Spark splits."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(confirmed(width, percent), "a long, b long").distinct()
+    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return joined.select("a", "b", "left", "right").mapInArrow(confirmed(width, percent), "a long, b long").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
@@ -136,26 +142,24 @@ def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def blocks_compared(percent: int, slack: float = 0.2):
-    """Pairs of different components whose sketches allow the threshold. Rows come sorted by block; a block has a bounded number of rows."""
+def blocks_linked(width: int, percent: int, slack: float = 0.2):
+    """Links between different components in a block. Rows come sorted by block; a block has a bounded number of rows."""
+
+    def links_of(node: np.ndarray, label: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int]]:
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _one(texts[k] or "", width)
+            return sets[k]
 
-    def pairs_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        labels, sides, n = rows["label"], rows["side"], rows["n"]
-        sketch = rows["sketch"]
-        found_a, found_b = [], []
-        values, counts = np.unique(labels, return_counts=True)
-        large = values[counts.argmax()]
-        for k in np.flatnonzero(labels != large):  # the largest component is only ever the other partner
-            others = (labels != labels[k]) & ((labels == large) | (rows["node"] > rows["node"][k]))
-            others &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & ((sides != sides[k]) | (sides[k] < 0))
-            at = np.flatnonzero(others)
+        for k in np.flatnonzero(side <= 0):
+            other = (label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            other &= (node > node[k]) if side[k] < 0 else side > 0
+            at = np.flatnonzero(other)
+            at = at[(sketch[at] == sketch[k]).mean(axis=1) >= percent / 100 - slack]
             if len(at):
-                at = at[(sketch[at] == sketch[k]).mean(axis=1) >= percent / 100 - slack]
-                found_a.append(np.full(len(at), rows["node"][k]))
-                found_b.append(rows["node"][at])
-        none = np.empty(0, np.int64)
-        a, b = (np.concatenate(x) if x else none for x in (found_a, found_b))
-        return np.minimum(a, b), np.maximum(a, b)
+                yield from ((int(node[k]), int(node[i])) for i in at[_links(of(k), [of(i) for i in at], percent)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -166,25 +170,18 @@ def blocks_compared(percent: int, slack: float = 0.2):
                 table = pa.concat_tables([held, fresh]) if held is not None else fresh
             if table is None or not len(table):
                 continue
-            key = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            edges = [0, *cut.tolist(), len(table)]
+            key = np.stack([table.column(c).to_numpy() for c in ("family", "kind", "i", "j")], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(table)]
             if batch is not None:  # the last block may go on in the next batch
                 held = table.slice(edges[-2])
                 edges.pop()
-            columns = {c: table.column(c).to_numpy() for c in ("node", "label", "side", "n")}
-            sketch = table.column("sketch").to_pylist()
-            out_a, out_b = [], []
+            found: list[tuple[int, int]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                rows = {c: v[lo:hi] for c, v in columns.items()}
-                rows["sketch"] = np.frombuffer(b"".join(sketch[lo:hi]), np.uint8).reshape(hi - lo, -1)
-                x, y = pairs_of(rows)
-                out_a.append(x)
-                out_b.append(y)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], names=["a", "b"])
+                part = table.slice(lo, hi - lo)
+                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(hi - lo, -1)
+                found += links_of(*(part.column(c).to_numpy() for c in ("node", "label", "side", "n")), sketch, part.column("text").to_pylist())
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -213,24 +210,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = keep(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1"), f"{folder}/buckets")
     stars = keep(banded.join(buckets, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct(), f"{folder}/stars")
-    named_docs = docs.where("doc_id is not null")
-    links = keep(confirm(named_docs, stars, width, percent), f"{folder}/links1")
+    # only texts named in a pair are carried further
+    named_ids = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
+    texts = keep(docs.where("doc_id is not null").join(named_ids.hint("merge"), "doc_id", "left_semi"), f"{folder}/texts")
+    links = keep(confirm(texts, stars, width, percent), f"{folder}/links1")
     first = components(spark, links, f"{folder}/first")
 
-    # Buckets that still hold several components: their nodes meet in blocks.
-    labelled = nodes.join(first, "node", "left").select("node", "n", "sketch", "bands", F.coalesce("label", "node").alias("label"))
-    members = labelled.select("node", "label", F.explode("bands").alias("bucket"))
-    split = members.join(buckets.where("size > 2").select("bucket"), "bucket").groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    split = keep(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{folder}/split")
-    dealt = members.join(split, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.col("mine")).alias("side"))
-    # within one block pair (i, j), rows of block i meet rows of block j only; block (i, i) meets itself
-    dealt = dealt.join(labelled.select("node", "n", "label", "sketch"), "node")
-    dealt = dealt.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    crossed = dealt.select("bucket", "i", "j", "side", "node", "label", "n", "sketch").mapInArrow(blocks_compared(percent), "a long, b long").distinct()
-    crossed = keep(crossed.join(stars, ["a", "b"], "left_anti"), f"{folder}/crossed")
-    more = confirm(named_docs, crossed, width, percent)
+    families = components(spark, stars, f"{folder}/family").select("node", F.col("label").alias("family"))
+    members = families.join(first, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
+    members = keep(members, f"{folder}/members")
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("family").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("x"), F.count("*").alias("parts"))
+    sizes = sizes.where("all > 2 and parts > 1").select("family", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("x.size") / BLOCK).cast("int").alias("many"))
+    dealt = members.join(keep(sizes, f"{folder}/sizes"), "family").withColumn("h", F.xxhash64("node"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.pmod("h", F.col("few")).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    minor = F.concat(
+        F.transform(to("few"), lambda k: cell(0, F.least(mine, k), F.greatest(mine, k), F.when(mine == k, -1).when(mine < k, 0).otherwise(1))),
+        F.transform(to("many"), lambda k: cell(1, mine, k, F.lit(0))),
+    )
+    main = F.transform(to("few"), lambda k: cell(1, k, F.pmod("h", F.col("many")), F.lit(1)))
+    dealt = dealt.select("family", "node", "label", F.explode(F.when(F.col("label") == F.col("main"), main).otherwise(minor)).alias("x")).select("family", "node", "label", "x.*")
+    dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
+    dealt = dealt.repartition(partitions(spark), "family", "kind", "i", "j").sortWithinPartitions("family", "kind", "i", "j", "node")
+    more = dealt.select("family", "kind", "i", "j", "side", "node", "label", "n", "sketch", "text").mapInArrow(blocks_linked(width, percent), "a long, b long").distinct()
     links = keep(links.union(more), f"{folder}/links")
     final = components(spark, links, f"{folder}/final")
 
