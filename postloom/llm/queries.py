@@ -15,6 +15,7 @@ from postloom.llm.mixing import mix_sources, op7_sql
 from postloom.llm.near_dedup import near_duplicates
 from postloom.llm.quality import quality
 from postloom.llm.sharding import shard
+from postloom.llm.toxicity import held_out, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("line_count").cast("long").alias("n_lines"), F.col("line_spread").cast("long").alias("n_spread"), F.col("line_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -60,7 +66,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_spread_lines, op3_minmax_near_dedup, op4_ngram_ratio_rules, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
+    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
     return {f.__name__: f for f in found}
 
 
