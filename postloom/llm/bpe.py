@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from postloom.shipping import ship
+
 #: The pre-splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens in a worker, and the longest of them in characters.
@@ -210,6 +212,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
     Null texts count as empty and have no ids. A column of docs that is named like `ids` is
     replaced; all others stay. No shuffle: each row is encoded where it is read.
     """
+    ship(docs.sparkSession)
     schema = _extended(docs, ids, T.BinaryType())
     names = schema.names
 
@@ -225,6 +228,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds `decoded`: the labels of the ids' arcs, one after another, read as UTF-8 (bytes that are not are replaced). Null ids count as none."""
+    ship(encoded.sparkSession)
     schema = _extended(encoded, decoded, T.StringType())
     names = schema.names
 

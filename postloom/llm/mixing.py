@@ -41,7 +41,8 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     """Adds mix_target: `share` of all words, divided by weight; no source above `most` times its size, the rest reshared.
 
     The table has one row for each source. Sources reach their bound in the order of bound
-    over weight; running sums in that order give the level at which the rest are filled.
+    over weight. Running sums in that order give a level for each row, as if all before it
+    were bounded; of those that a row can bear, the greatest is the right one.
     """
     by_name = Window.orderBy(F.col("mix_group") == "null", "mix_group")
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
@@ -51,7 +52,7 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     before = F.coalesce(F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     out = out.withColumn("level", (F.sum("mix_source_size").over(all_rows) * float(share) - before) / rest)
-    out = out.withColumn("level", F.min(F.when(F.col("bound") >= F.col("level") * F.col("w"), F.col("level"))).over(all_rows))
+    out = out.withColumn("level", F.max(F.when(F.col("bound") >= F.col("level") * F.col("w"), F.col("level"))).over(all_rows))
     return out.withColumn("mix_target", F.least("bound", F.coalesce(F.col("level") * F.col("w"), "bound"))).drop("w", "bound", "level")
 
 
@@ -125,7 +126,7 @@ def op7_sql(weights: Sequence[float] = (1, 2, 3), seed: int = 11) -> str:
     w as (select *, case (row_number() over (order by g = 'null', g) - 1) % {len(weights)} {cycle} end w, source_size * 3.0::double bound from s),
     l as (select *, ((sum(source_size) over ())::double - coalesce(sum(bound) over (order by bound / w, g rows between unbounded preceding and 1 preceding), 0))
       / sum(w) over (order by bound / w, g rows between current row and unbounded following) lv from w),
-    m as (select *, min(case when bound >= lv * w then lv end) over () level from l),
+    m as (select *, max(case when bound >= lv * w then lv end) over () level from l),
     t as (select g, source_size, least(bound, coalesce(level * w, bound)) target from m),
     n as (select *, case when source_size > 0 then floor(target / source_size) else 0 end whole, target - case when source_size > 0 then floor(target / source_size) else 0 end * source_size need from t),
     c as (select r.*, n.* exclude (g), sum(size) over (partition by r.g order by rank) upto from r join n using (g)),

@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postloom.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder. Ships the package on the way."""
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postloom-")
     return f"{root.rstrip('/')}/postloom-{uuid.uuid4().hex}"
 
