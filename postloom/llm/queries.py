@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.bpe import bpe_decode, bpe_encode
+from postloom.llm.katz import score_texts
 from postloom.llm.line_dedup import dedup_lines, op1_sql
 from postloom.llm.media import media_columns
 from postloom.llm.mixing import mix_sources, op7_sql
@@ -41,6 +42,12 @@ def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
+    out = score_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
@@ -66,7 +73,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
+    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op6_katz_backoff, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
     return {f.__name__: f for f in found}
 
 
