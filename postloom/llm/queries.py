@@ -16,6 +16,7 @@ from postloom.llm.mixing import mix_sources, op7_sql
 from postloom.llm.near_dedup import near_duplicates
 from postloom.llm.quality import quality
 from postloom.llm.sharding import shard
+from postloom.llm.suffix_dedup import dedup_substrings
 from postloom.llm.toxicity import held_out, toxicity
 
 
@@ -42,6 +43,12 @@ def op4_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_column_wise_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(spark, table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
 def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
     out = score_texts(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
@@ -73,7 +80,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op6_katz_backoff, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
+    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op5_column_wise_bwt, op6_katz_backoff, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
     return {f.__name__: f for f in found}
 
 
