@@ -1,26 +1,12 @@
-"""Tables kept in the folder that the driver and all executors share."""
+"""Kept tables, and what goes with them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from postloom.tables import keep, shared_folder
 
-from postloom.shipping import ship
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder. Ships the package on the way."""
-    ship(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postloom-")
-    return f"{root.rstrip('/')}/postloom-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back: cuts lineage, survives lost executors, is computed once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "keep", "partitions", "shared_folder"]
 
 
 def drop(spark: SparkSession, path: str) -> None:
