@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The reply-quote block and what it holds.
 REPLY_QUOTE = r"(?iusU)\[quote\]\s*\[pid=(\d+)(?:,(\d+),(\d+))?\]Reply\[/pid\](.*?)\[/quote\]"
@@ -45,7 +46,7 @@ def strip(c: Column) -> Column:
     return sub(c, (r"(?U)\A\s+|\s+\z", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped_twice(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
 

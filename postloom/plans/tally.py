@@ -22,6 +22,7 @@ from postloom.operators.packs import author_packs, reply_context_posts
 from postloom.operators.targets import reply_targets, weighted_targets
 from postloom.rules import ALIASES, Rule
 from postloom.shipping import ship
+from postloom.tables import keep, shared_folder
 
 ITEM = "topic_id string, topic string, topic_name string, normalized_anchor_text string, content string, text string, fields map<string,string>, source_lous array<string>, chosen_lou string, confidence string, needs_manual_review string, note string"
 REFUSED = "lou string, source_lous array<string>, ignore_reason string, topic_id string, superseded_by_lou string"
@@ -145,18 +146,22 @@ def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: Data
 
 def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice) -> Tally:
     """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at."""
-    ship(spark)
+    folder = shared_folder(spark)
     cleaned = posts.withColumns({"reply": reply_context(F.col("content"), unescape), "raw": F.col("content"), "content": clean_post(F.col("content"), unescape)})
+    cleaned = keep(cleaned, f"{folder}/cleaned")
     candidates, ignored = split_posts(cleaned, rule, "content", "raw")
     candidates = candidates.withColumns({"hint": weight_hint(F.col("content")), "weight_only": is_weight_only(F.col("content")), "proxy": proxy_reason(F.col("content"))})
+    candidates = keep(candidates, f"{folder}/candidates")
     refusals = ignored.select("author_key", "lou", F.lit(None).cast("string").alias("topic_id"), "ignore_reason", "stage", F.lit(None).cast("long").alias("superseded_by_lou"))
     warnings = spark.createDataFrame([], "lou long, message string")
     if classifier is None:
         proposals = unclassified(candidates)
     else:
         context = reply_context_posts(candidates.select("author_key", "lou", "pid", F.col("reply.reply_to_pid").alias("reply_to_pid")), cleaned)
-        replies = classified(author_packs(candidates, context), classifier)
+        # kept, so that no pack is sent to the classifier twice
+        replies = keep(classified(author_packs(candidates, context), classifier), f"{folder}/replies")
         proposals, refused, warnings = normalised(candidates, replies)
+        proposals, refused = keep(proposals, f"{folder}/proposals"), keep(refused, f"{folder}/refused")
         proposals, refused = recovered_weights(proposals, refused, candidates)
         refusals = refusals.unionByName(refused.drop("ord"))
     own = candidates.select(F.col("lou").alias("chosen_lou"), "hint", "proxy", F.col("content").alias("post"))
@@ -165,6 +170,7 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
     free = " or ".join(["topic_id = 'unclassified'", "proxy is not null", *(f"topic_id = '{t}'" for t in several)])
     kept, lost = latest_wins(proposals, free)
     entries = entry_ids(kept, {t.id: n for n, t in enumerate(rule.topics)})
+    entries = keep(entries, f"{folder}/entries")
     entries = topic_names(entries, topic_table(spark, rule.topics))
     targets = weighted_targets(entries.select("entry_id", "topic_id", "hint", F.map_values("fields").alias("fields"), F.col("post").alias("content")))
     targets = targets.select(F.col("asker").alias("entry_id"), F.col("target").alias("weighted_entry_id"), F.col("note").alias("weight_note"))
