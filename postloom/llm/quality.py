@@ -10,7 +10,7 @@ from postloom.llm.store import keep, shared_folder
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Ratios are whole millionths, so that sums are exact and a verdict never depends on their order.
 MICRO = 1_000_000
-BLANK, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -26,13 +26,12 @@ def with_base(docs: DataFrame) -> DataFrame:
     with their places, those equal to a neighbour are kept, and each kept place covers
     three words or as many as lie before the next.
     """
-    length = lambda c, drop: F.length(F.translate(c, drop, ""))
-    has_word = lambda line: length(line, BLANK) > 0
+    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     out = docs.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": length(F.col("_text"), BLANK).cast("long"),
-            "n_symbols": (F.length("_text") - length(F.col("_text"), SYMBOLS)).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
             "_lines": F.filter(F.split("_text", "\n", -1), has_word),
             "_win": F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))),
         }
@@ -55,12 +54,13 @@ def buckets(words: Column, n: int) -> Column:
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, n: int, smoothing: float, folder: str) -> DataFrame:
-    """(bucket, ratio): log of the n-gram's share in trusted documents over its share in all documents.
+    """(bucket, ratio, target): log of the n-gram's share in trusted documents over its share in all documents, and how often it is in the trusted ones.
 
     Counts cover all documents and all trusted ones; whatever the input, the table has n rows.
     """
     trusted = labels.where("quality = 1").select("doc_id").distinct().withColumn("_trusted", F.lit(1))
-    tagged = with_words(docs.select("doc_id", "text").join(trusted, "doc_id", "left"))
+    # both sides grow with the input, so the join is shuffled at every size
+    tagged = with_words(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left"))
     grams = tagged.select("_trusted", F.explode(buckets(F.col("_w"), n)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("_trusted").alias("target"), F.count("*").alias("raw"))
     counts = keep(counts, f"{folder}/counts")
@@ -70,15 +70,16 @@ def ratio_table(docs: DataFrame, labels: DataFrame, n: int, smoothing: float, fo
     t, r = (row["t"] or smoothing * n), (row["r"] or smoothing * n)
     share = lambda c, whole: (F.col(c) + smoothing) / F.lit(float(whole))
     ratio = F.round(F.log(share("target", t) / share("raw", r)) * MICRO).cast("long")
-    return keep(all_buckets.select("bucket", ratio.alias("ratio")), f"{folder}/ratios")
+    return keep(all_buckets.select("bucket", ratio.alias("ratio"), "target"), f"{folder}/ratios")
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, n: int = 1 << 17, smoothing: float = 8.0, threshold: float = -0.3) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, n: int = 1 << 17, smoothing: float = 0.5, margin: float = 0.15) -> DataFrame:
     """docs (doc_id, text, other columns) with the base counts, base_failed, llr and kept.
 
     labels: doc_id, quality (1: trusted). llr is the mean log-likelihood ratio of the
     document's hashed words and word pairs under trusted and raw multinomials; a document
-    is kept if base rules hold and llr >= threshold. Null or word-free text: llr 0,
+    is kept if base rules hold and llr is no more than `margin` below the mean of all trusted
+    n-grams. Null or word-free text: llr 0,
     base_failed. With no labels all ratios are near 0 and the base rules decide. Every
     document is scored whole. The ratio table has n rows for any input and is broadcast. Columns of docs with these names are replaced.
     """
@@ -86,6 +87,9 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, n: int = 1
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     kept = [c for c in docs.columns if c not in made and not c.startswith("_")]
     table = ratio_table(docs, labels, n, smoothing, folder)
+    trusted = table.agg(F.sum(F.col("ratio") * F.col("target")).alias("s"), F.sum("target").alias("n")).first()
+    threshold = (trusted["s"] / trusted["n"] / MICRO if trusted["n"] else 0.0) - margin
+    table = table.select("bucket", "ratio")
     keys = {"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit("text"), "_text")}
     # the mean of a text's ratios is that of its copies together, so equal texts are one group
     grams = with_words(docs.select("text")).withColumns(keys).select("_t1", "_t2", F.explode(buckets(F.col("_w"), n)).alias("bucket"))
