@@ -6,9 +6,10 @@ seen, else the backoff weight of v times P(w); P(w) is the discounted share of w
 the discounts leave is that of all unseen words, one class. Backoff weights are exact: what
 the discounts of v leave, over the unigram mass of the words not seen after v.
 
-A text's score is the sum over its tokens of log P(w) and the log backoff weight of v, plus,
-for each pair that was seen, what the pair's own value differs by. So words and pairs are
-looked up by one hash each. The work goes in passes over the histories' hashes, which bounds
+A text's score is the sum over its tokens of log P(w), plus, for each pair that was seen,
+what log P(w | v) differs by, and for each other pair the log backoff weight of v. So words
+and pairs are looked up by one hash each; the most frequent words, a table of fixed size,
+where the text is read. The work goes in passes over the histories' hashes, which bounds
 what is on disk at a time.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from postloom.llm.bytehash import Words, chunks, mix, text_bytes
 from postloom.llm.store import drop, keep, shared_folder
 
+#: So many of the most frequent words are sent to all tasks; the others are looked up by a join.
+FREQUENT = 1 << 16
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: Hashes that stand for the beginning and the end of a text.
@@ -37,9 +40,8 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * _PAIR ^ w)
 
 
-def as_key(h: np.ndarray, pairs: bool) -> np.ndarray:
-    """63 bits of a hash and one that tells pairs from words."""
-    return ((h << np.uint64(1)) | np.uint64(pairs)).view(np.int64)
+def as_pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return pair_hash(v, w).view(np.int64)
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,32 +100,50 @@ def _runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return d[new], k[new], np.diff(np.append(new, len(d)))
 
 
-def lookups(part: int, parts: int):
-    """(doc, x, n, h) of each text: its pairs (x odd) and words (x even) that fall in the part, n times a token; h times a history, or 0."""
+def pair_lookups(part: int, parts: int, history: bool):
+    """(doc, x, n) of each text's pairs whose history falls in the part; with v, the history, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("doc").to_numpy(zero_copy_only=False)
             for first, v, w, doc in _tokens(batch):
-                mine_v, mine_w = v % np.uint64(parts) == part, w % np.uint64(parts) == part
-                d, x, n = _runs(doc[mine_v], as_key(pair_hash(v[mine_v], w[mine_v]), True))
-                # a word as token and as history: two weights of one row
-                both = np.concatenate((as_key(w[mine_w], False), as_key(v[mine_v], False)))
-                of = np.concatenate((doc[mine_w], doc[mine_v]))
-                as_token = np.concatenate((np.ones(mine_w.sum(), np.int64), np.zeros(mine_v.sum(), np.int64)))
-                order = np.lexsort((both, of))
-                of, both, as_token = of[order], both[order], as_token[order]
-                new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (both[1:] != both[:-1])))) if len(of) else np.empty(0, np.int64)
-                tokens = np.add.reduceat(as_token, new) if len(new) else np.empty(0, np.int64)
-                total = np.diff(np.append(new, len(of)))
+                mine = v % np.uint64(parts) == part
+                v, w, doc = v[mine], w[mine], doc[mine]
+                x = as_pair(v, w)
+                if history:
+                    order = np.lexsort((x, doc))
+                    x, v, doc = x[order], v[order], doc[order]
+                    d, n = doc, np.ones(len(x), np.int32)
+                else:
+                    d, x, n = _runs(doc, x)
+                columns = [pa.array(keys[first + d], pa.int64()), pa.array(x), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(v.view(np.int64))] if history else [])], names=["doc", "x", "n", *(["v"] if history else [])])
+
+    return run
+
+
+def word_sums(hashes: np.ndarray, base: np.ndarray, lp: np.ndarray):
+    """(doc, w, n, base, lp): for each text one row of sums over frequent words (w null), and a row for each of its other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("doc").to_numpy(zero_copy_only=False)
+            for first, _, w, doc in _tokens(batch):
+                at = np.minimum(np.searchsorted(hashes, w), max(len(hashes) - 1, 0))
+                often = hashes[at] == w if len(hashes) else np.zeros(len(w), bool)
+                texts = int(doc[-1]) + 1
+                sums = [np.bincount(doc[often], weights, texts) for weights in (None, base[at[often]] if len(hashes) else None, lp[at[often]] if len(hashes) else None)]
+                d, x, n = _runs(doc[~often], w[~often])
+                none = pa.nulls(texts, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[first + np.concatenate((d, of[new]))], pa.int64()),
-                        pa.array(np.concatenate((x, both[new]))),
-                        pa.array(np.concatenate((n, tokens)).astype(np.int32)),
-                        pa.array(np.concatenate((np.zeros(len(n), np.int64), total - tokens)).astype(np.int32)),
+                        pa.array(keys[first + np.concatenate((np.arange(texts), d))], pa.int64()),
+                        pa.concat_arrays([none, pa.array(x.view(np.int64))]),
+                        pa.array(np.concatenate((sums[0], n)).astype(np.int32)),
+                        pa.array(np.concatenate((sums[1].astype(float), np.zeros(len(d))))),
+                        pa.array(np.concatenate((sums[2].astype(float), np.zeros(len(d))))),
                     ],
-                    names=["doc", "x", "n", "h"],
+                    names=["doc", "w", "n", "base", "lp"],
                 )
 
     return run
@@ -165,7 +185,7 @@ def release(spark: SparkSession) -> None:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         v, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("v", "w"))
-        x = pa.array(as_key(pair_hash(v, w), True))
+        x = pa.array(as_pair(v, w))
         yield pa.RecordBatch.from_arrays([x, batch.column("delta")], names=["x", "delta"])
 
 
@@ -207,50 +227,56 @@ def score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: int
     d2 = discounts(counted)
 
     line = float(tokens + vocabulary + 1)
-    parts = []
+    words = words.select("w", "p", F.log10((F.col("c") + 1) / line).alias("base"), F.log10("p").alias("lp"), "c")
+    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp").toPandas()
+    hashes = top["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    asked = docs.select("doc", "text").mapInArrow(word_sums(hashes[order], top["base"].to_numpy(float)[order], top["lp"].to_numpy(float)[order]), "doc long, w long, n int, base double, lp double")
+    asked = keep(asked, f"{folder}/asked")
+    often = asked.where("w is null").select("doc", F.col("n").alias("n_tokens"), F.col("n").alias("n_known"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
+    rare = asked.where("w is not null").select("doc", "w", "n").join(words.select("w", "base", "lp").hint("shuffle_hash"), "w", "left")
+    rare = rare.select(
+        "doc",
+        F.col("n").alias("n_tokens"),
+        F.when(F.col("lp").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
+        (F.col("n") * F.coalesce("base", F.lit(float(-np.log10(line))))).alias("base_score"),
+        (F.col("n") * F.coalesce("lp", F.lit(float(np.log10(unseen))))).alias("score"),
+    )
+    names = ("n_tokens", "n_known", "base_score", "score")
+    parts = [keep(often.unionByName(rare).groupBy("doc").agg(*[F.sum(c).alias(c) for c in names]), f"{folder}/words_of")]
+    drop(spark, f"{folder}/asked")
+    release(spark)
     for part, pairs in enumerate(tables):
-        share = pairs.join(words.select("w", "p"), "w").select("v", "w", "p", "c", discounted(F.col("c"), d2).alias("kept"))
+        share = pairs.join(words.select("w", "p").hint("shuffle_hash"), "w").select("v", "w", "p", "c", discounted(F.col("c"), d2).alias("kept"))
         share = keep(share, f"{folder}/share{part}")
         drop(spark, f"{folder}/pairs{part}")
         total = share.groupBy("v").agg(F.sum("c").alias("of"), F.sum("kept").alias("kept"), F.sum("p").alias("mass"))
         # a history whose counts are all above the discounted ones gives up one count in `of` + 1
         left = F.greatest(1 - F.col("kept") / F.col("of"), 1 / (F.col("of") + 1))
-        back = total.select("v", "of", (left / F.greatest(1 - F.col("mass"), F.lit(unseen))).alias("alpha"), ((1 - left) * F.col("of") / F.col("kept")).alias("fit"))
+        back = total.select("v", (left / F.greatest(1 - F.col("mass"), F.lit(unseen))).alias("alpha"), ((1 - left) / F.col("kept")).alias("fit"))
         back = keep(back, f"{folder}/back{part}")
-        known = F.log10(F.col("kept") * F.col("fit") / F.col("of")) - F.log10(F.col("alpha")) - F.log10(F.col("p"))
-        delta = share.join(back, "v").select("v", "w", known.alias("delta")).mapInArrow(_keyed, "x long, delta double")
-        zero = F.lit(0.0)
-        table = delta.select("x", F.col("delta").alias("lp"), zero.alias("la"), zero.alias("base"), F.lit(0).alias("known"))
-        in_part = F.col("w").bitwiseAND(passes - 1) == part
-        mine = words.where(in_part).join(back.select(F.col("v").alias("w"), "alpha"), "w", "full")
-        one = mine.select(
-            F.shiftleft("w", 1).alias("x"),
-            F.coalesce(F.log10("p"), zero).alias("lp"),
-            F.coalesce(F.log10("alpha"), zero).alias("la"),
-            F.coalesce(F.log10((F.col("c") + 1) / line), zero).alias("base"),
-            F.when(F.col("c").isNotNull(), 1).otherwise(0).alias("known"),
-        )
-        table = keep(table.unionByName(one), f"{folder}/table{part}")
+        release(spark)
+        delta = F.log10(F.col("kept") * F.col("fit")) - F.log10("p")
+        table = share.join(back.select("v", "fit").hint("shuffle_hash"), "v").select("v", "w", delta.alias("delta")).mapInArrow(_keyed, "x long, delta double")
+        table = keep(table, f"{folder}/table{part}")
         drop(spark, f"{folder}/share{part}")
         release(spark)
-        asked = docs.select("doc", "text").mapInArrow(lookups(part, passes), "doc long, x long, n int, h int")
-        found = asked.join(table.hint("merge"), "x", "left")
-        word = F.col("x").bitwiseAND(1) == 0
-        none = lambda c, value: F.coalesce(F.col(c), F.when(word, F.lit(value)).otherwise(F.lit(0.0)))
-        sums = found.groupBy("doc").agg(
-            F.sum(F.when(word, F.col("n")).otherwise(0)).alias("n_tokens"),
-            F.sum(F.col("n") * F.coalesce("known", F.lit(0))).alias("n_known"),
-            F.sum(F.col("n") * none("base", float(-np.log10(line)))).alias("base_score"),
-            F.sum(F.col("n") * none("lp", float(np.log10(unseen))) + F.col("h") * F.coalesce("la", F.lit(0.0))).alias("score"),
-        )
-        parts.append(keep(sums, f"{folder}/sums{part}"))
+        found = docs.select("doc", "text").mapInArrow(pair_lookups(part, passes, False), "doc long, x long, n int").join(table.hint("shuffle_hash"), "x")
+        zero = [F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base_score")]
+        seen = found.groupBy("doc").agg(F.sum(F.col("n") * F.col("delta")).alias("score"))
+        parts.append(keep(seen.select("doc", *zero, "score"), f"{folder}/seen{part}"))
+        release(spark)
+        # a pair of a training row has been seen; those of the others that have not take the history's weight
+        other = docs.where(~F.col("train")).select("doc", "text").mapInArrow(pair_lookups(part, passes, True), "doc long, x long, n int, v long")
+        other = other.join(table.select("x").hint("shuffle_hash"), "x", "left_anti").groupBy("doc", "v").agg(F.count("*").alias("n"))
+        weighed = other.join(back.select("v", F.log10("alpha").alias("la")).hint("shuffle_hash"), "v").groupBy("doc").agg(F.sum(F.col("n") * F.col("la")).alias("score"))
+        parts.append(keep(weighed.select("doc", *zero, "score"), f"{folder}/weighed{part}"))
         drop(spark, f"{folder}/table{part}")
         release(spark)
 
     sums = parts[0]
     for more in parts[1:]:
         sums = sums.unionByName(more)
-    names = ("n_tokens", "n_known", "base_score", "score")
     sums = sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in names])
     rows = docs.select("doc_id", "doc")
     sums = rows.groupBy("doc").count().join(sums, "doc").select("doc", *[(F.col(c) / F.col("count")).alias(c) for c in names])
