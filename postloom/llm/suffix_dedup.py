@@ -87,9 +87,12 @@ def anchored_runs(length: int):
 def _occurrences(hashes: np.ndarray, value: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
     """How often each value is among hashes[start : start + width]."""
     values = np.unique(value)
-    found = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-    at = np.flatnonzero(values[found] == hashes)
-    keys = np.sort(found[at].astype(np.int64) << 32 | at)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(values >> np.uint64(48)).astype(np.int64)] = True
+    at = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
+    found = np.minimum(np.searchsorted(values, hashes[at]), len(values) - 1)
+    right = values[found] == hashes[at]
+    keys = np.sort(found[right].astype(np.int64) << 32 | at[right])
     low = np.searchsorted(values, value).astype(np.int64) << 32 | start
     return np.searchsorted(keys, low + width) - np.searchsorted(keys, low)
 
@@ -132,39 +135,43 @@ def collection_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in segments])
     text = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.cumsum(lengths)
-    bwt, lcp = np.full(count, NOTHING, np.uint8), np.zeros(count, np.int16)
-    who, place = np.arange(count), np.arange(count)
+    total = count + int(lengths.sum())
+    bwt, lcp = np.full(total, NOTHING, np.uint8), np.zeros(total + 1, np.int16)
+    fresh, slot, old = np.zeros(total, bool), np.empty(total, np.int32), np.ones(total, bool)
+    who, place, size = np.arange(count), np.arange(count), count
     for j in range(1, int(lengths.max(initial=0)) + 1):
         stays = lengths[who] >= j
         who, place = who[stays], place[stays]
         bwt[place] = text[ends[who] - j]
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        at = rank[place]
-        by_rank = np.argsort(at)
-        who, place, at = who[by_rank], place[by_rank], at[by_rank]
+        order = np.argsort(bwt[:size], kind="stable")
+        # ranks of what is put in, ascending, and whose it is
+        fresh[place] = True
+        slot[place] = np.arange(len(place))
+        at = np.flatnonzero(fresh[order])
+        fresh[place] = False
+        place = order[at]
+        who = who[slot[place]]
         # common prefix with the suffix before: one more than the least between both parents
         symbol = bwt[place]
         last = order[np.maximum(at - 1, 0)]
         has_last = (at > 0) & (bwt[last] == symbol)
-        up = order[np.minimum(at + 1, len(order) - 1)]
-        has_next = (at + 1 < len(order)) & (bwt[up] == symbol)
-        padded = np.append(lcp, 0)
-        before = np.where(has_last, 1 + _least(padded, np.where(has_last, last + 1, 0), np.where(has_last, place + 1, 1)), 0)
-        after = np.where(has_next, 1 + _least(padded, np.where(has_next, place + 1, 0), np.where(has_next, up + 1, 1)), 0)
+        up = order[np.minimum(at + 1, size - 1)]
+        has_next = (at + 1 < size) & (bwt[up] == symbol)
+        before = np.where(has_last, 1 + _least(lcp, np.where(has_last, last + 1, 0), np.where(has_last, place + 1, 1)), 0)
+        after = np.where(has_next, 1 + _least(lcp, np.where(has_next, place + 1, 0), np.where(has_next, up + 1, 1)), 0)
         place = count + at
-        size = len(bwt) + len(place)
-        old = np.ones(size, bool)
+        grown = size + len(place)
         old[place] = False
-        grown_bwt, grown_lcp = np.full(size, NOTHING, np.uint8), np.zeros(size, np.int16)
-        grown_bwt[old], grown_lcp[old] = bwt, lcp
+        keep_at = old[:grown]
+        bwt[:grown][keep_at], lcp[:grown][keep_at] = bwt[:size].copy(), lcp[:size].copy()
+        old[place] = True
+        bwt[place] = NOTHING
         follows = place + 1
-        inside = follows < size
-        grown_lcp[follows[inside]] = after[inside]  # those put in this round as well get the same value below
-        grown_lcp[place] = before
-        bwt, lcp = grown_bwt, grown_lcp
-    return bwt, lcp
+        inside = follows < grown
+        lcp[follows[inside]] = after[inside]  # those put in this round as well get the same value below
+        lcp[place] = before
+        size = grown
+    return bwt[:size], lcp[:size]
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -185,16 +192,17 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     shared = far | np.append(far[1:], False)
     rank = np.empty(len(bwt), np.int64)
     rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-    out = [np.zeros(n - length + 1, bool) for n in lengths]
+    windows = lengths - length + 1
+    first = np.cumsum(windows) - windows
+    flags = np.zeros(int(windows.sum()), bool)
     who, place = np.arange(count), np.arange(count)
     for j in range(1, int(lengths.max(initial=0)) + 1):  # from each suffix to the one that is a symbol longer
         stays = lengths[who] >= j
         who, place = who[stays], place[stays]
         place = count + rank[place]
         if j >= length:
-            for k in np.flatnonzero(shared[place]):
-                out[who[k]][lengths[who[k]] - j] = True
-    return out
+            flags[first[who] + lengths[who] - j] = shared[place]
+    return np.split(flags, first[1:])
 
 
 def _ranges(flags: np.ndarray) -> list[dict]:
