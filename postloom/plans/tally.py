@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions.markup import clean_post, reply_context, unescaped_twice
-from postloom.functions.matching import is_weight_only, placeholder_topics, proxy_reason, topic_id, weight_hint
-from postloom.functions.scalars import confidence, first_text, int_list, json_object
+from postloom.functions.matching import inline_names, is_weight_only, match_form, names_in, placeholder_topics, proxy_reason, split_names, topic_id, weight_hint
+from postloom.functions.scalars import confidence, distinct_by, first_text, int_list, json_object, without_prefixes
 from postloom.operators.anchors import author_anchors, topic_counts, topic_names, topic_table, warning_details
 from postloom.operators.filters import qa_without_marker, split_posts
 from postloom.operators.gaps import missing_ranges, raw_stats
@@ -128,6 +128,23 @@ def normalised(candidates: DataFrame, replies: DataFrame) -> tuple[DataFrame, Da
     return proposals, refused.unionByName(rest), warnings
 
 
+def named(proposals: DataFrame, posts: DataFrame, topic: str = "theme4_carriage_name", unescape=lambda c: c) -> DataFrame:
+    """Submissions of names: all names in their fields, text and posts, each once, joined. Others stay as they are.
+
+    posts: author_key, lou, content. A name that another one is but for a bracketed addition is left out.
+    """
+    ours = proposals.where(F.col("topic_id") == topic)
+    texts = ours.select("ord", "author_key", F.explode("source_lous").alias("lou")).join(posts.select("author_key", "lou", "content"), ["author_key", "lou"])
+    texts = texts.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("lou", "content"))).alias("_posts"))
+    given = F.flatten(F.transform(F.coalesce(F.map_values("fields"), F.array().cast("array<string>")), lambda v: split_names(v, unescape)))
+    here = inline_names(F.coalesce("normalized_anchor_text", F.lit("")), unescape)
+    there = F.flatten(F.transform(F.coalesce(F.col("_posts.content"), F.array().cast("array<string>")), lambda v: names_in(v, unescape)))
+    names = without_prefixes(distinct_by(F.concat(given, here, there), match_form))
+    joined = F.nullif(F.array_join(names, "、"), F.lit(""))
+    ours = ours.join(texts, "ord", "left").withColumn("normalized_anchor_text", F.coalesce(joined, "normalized_anchor_text")).select(*proposals.columns)
+    return proposals.where(F.coalesce(F.col("topic_id") != topic, F.lit(True))).unionByName(ours)
+
+
 def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Refused replies that add weight become submissions to the topics of what they reply to."""
     asks = refused.select("lou").distinct().join(candidates.where(F.coalesce(F.col("hint").isNotNull() | F.col("weight_only"), F.lit(False))), "lou").where("reply.reply_to_pid is not null")
@@ -162,6 +179,7 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
         replies = keep(classified(author_packs(candidates, context), classifier), f"{folder}/replies")
         proposals, refused, warnings = normalised(candidates, replies)
         proposals, refused = keep(proposals, f"{folder}/proposals"), keep(refused, f"{folder}/refused")
+        proposals = keep(named(proposals, candidates), f"{folder}/named")
         proposals, refused = recovered_weights(proposals, refused, candidates)
         refusals = refusals.unionByName(refused.drop("ord"))
     own = candidates.select(F.col("lou").alias("chosen_lou"), "hint", "proxy", F.col("content").alias("post"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.markup import export_reason, floor_label
+from postloom.functions.scalars import percent_label
 from postloom.operators.filters import matches
 
 
@@ -43,3 +44,20 @@ def sheet_rows(entries: DataFrame, fields: list[str]) -> DataFrame:
 def column_width(rows: DataFrame, column: str, cap: int = 60) -> DataFrame:
     head = rows.orderBy("row_no").limit(200)
     return head.agg(F.greatest(F.lit(10), F.least(F.coalesce(F.max(F.length(column)), F.lit(0)) + 2, F.lit(cap))).alias("width"))
+
+
+def ordered_refusals(ignored: DataFrame) -> DataFrame:
+    """By floor, missing ones last, then by post id as a number and as text, then by stage."""
+    return ignored.orderBy(F.asc_nulls_last("lou"), F.asc_nulls_last(F.col("pid").cast("string").try_cast("long")), F.col("pid").cast("string"), "stage")
+
+
+def generated_label(c: Column) -> Column:
+    """A time as year-month-day hour:minute:second; text that is none stays as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd HH:mm:ss"), c)
+
+
+def entry_notes(entries: DataFrame) -> DataFrame:
+    """Adds notes: what a reader of a sheet should know, a line each."""
+    sure = F.when(F.col("confidence") < 1, F.concat(F.lit("置信度 "), percent_label(F.col("confidence"))))
+    older = F.when(F.size("superseded_lous") > 0, F.concat(F.lit("覆盖楼层 "), floor_label(F.col("superseded_lous"), F.col("chosen_lou"))))
+    return entries.withColumn("notes", F.concat_ws("\n", F.nullif(F.col("note"), F.lit("")), F.col("proxy"), older, sure))

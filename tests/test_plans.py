@@ -100,3 +100,19 @@ def test_catalog(spark, tmp_path):
     more = spark.createDataFrame([("t", 1, None), ("u", 2, None)], "thread_name string, tid long, aid long")
     assert {r.tid for r in pages.new_threads(catalog, more).collect()} == {1, 2}
     assert pages.new_threads(catalog, more).count() == 2
+
+
+def test_names(spark):
+    rows = [("a", "theme4_carriage_name", 5, [4, 5], "甲、乙", {"n": "甲"}, None, False, "", 1), ("a", "qa", 6, [6], "甲、乙", {}, None, False, "", 2)]
+    proposals = spark.createDataFrame(rows, "author_key string, topic_id string, chosen_lou long, source_lous array<long>, normalized_anchor_text string, fields map<string,string>, confidence double, needs_manual_review boolean, note string, ord long")
+    posts = spark.createDataFrame([("a", 4, "马车名字：丙，甲"), ("a", 5, "再来一个：丁")], "author_key string, lou long, content string")
+    assert [r.normalized_anchor_text for r in tally.named(proposals, posts).orderBy("ord").collect()] == ["甲、乙、丙、丁", "甲、乙"]
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([(None, "3", "a"), (2, "10", "b"), (2, "9", "c")], "lou long, pid string, stage string")
+    assert [r.stage for r in views.ordered_refusals(rows).collect()] == ["c", "b", "a"]
+    times = spark.createDataFrame([("2026-05-04T23:00:01",), ("soon",)], "t string")
+    assert [r[0] for r in times.select(views.generated_label(F.col("t"))).collect()] == ["2026-05-04 23:00:01", "soon"]
+    e = spark.createDataFrame([(0.5, [3], 7, "n", "p")], "confidence double, superseded_lous array<long>, chosen_lou long, note string, proxy string")
+    assert views.entry_notes(e).first()["notes"] == "n\np\n覆盖楼层 #3\n置信度 50%"
