@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from postloom.functions.scalars import page_of, to_int
 from postloom.operators.packs import author_key
+from postloom.shipping import ship
 
 POST = "lou string, pid string, postdate string, author struct<uid:string,username:string>, content string, attches array<struct<type:string,attachurl:string,url_utf8_org_name:string>>"
 PAGE = f"code int, msg string, totalPage int, result array<struct<{POST.replace(' string', ':string').replace(' struct', ':struct').replace(' array', ':array')}>>, _corrupt string"
@@ -94,6 +95,12 @@ class PageSource(DataSource):
         return _PageReader(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session and its workers."""
+    ship(spark)
+    spark.dataSource.register(PageSource)
+
+
 class _PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options

@@ -116,3 +116,30 @@ def test_labels(spark):
     assert [r[0] for r in times.select(views.generated_label(F.col("t"))).collect()] == ["2026-05-04 23:00:01", "soon"]
     e = spark.createDataFrame([(0.5, [3], 7, "n", "p")], "confidence double, superseded_lous array<long>, chosen_lou long, note string, proxy string")
     assert views.entry_notes(e).first()["notes"] == "n\np\n覆盖楼层 #3\n置信度 50%"
+
+
+def test_paged_service(spark, tmp_path):
+    import http.server
+    import threading
+    import urllib.parse
+
+    write_pages(tmp_path)
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            form = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            body = (tmp_path / f"page_{form['page'][0]}.json").read_bytes()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    pages.register(spark)
+    read = spark.read.format("forum_pages").options(url=f"http://127.0.0.1:{server.server_port}/", tid="7").load()
+    posts = pages.posts_of(pages.parsed(read))
+    assert sorted(r.lou for r in posts.collect()) == [0, 1, 2, 3, 5, 6, 21, 25]
+    server.shutdown()
