@@ -425,11 +425,15 @@ SCORE = """case when h = '' then 0 when t = h then {same} when contains(t, h) th
     select item_id asker, x.score, ties, case when ties = 1 then target end target from x join m using (item_id, score)"""
 )
 def weighted_target(spark, sf_dir):
-    """Benchmark passages as hints, documents of the same bucket as candidates."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("asker"), (F.col("item_id") % 7).alias("bucket"), F.col("text").alias("hint"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), (F.col("doc_id") % 7).alias("bucket"), "text")
-    score = targets.weight_score(F.col("hint"), F.array().cast("array<string>"), {"content": F.col("text")})
-    return targets.unique_best(b.join(d, "bucket").select("asker", "target", score.alias("score")), ["asker"])
+    """Benchmark passages as hints, all documents as candidates. Odd entry ids ask, even ones are candidates.
+
+    The SQL twin still compares ids of one remainder by 7 only and so gives less.
+    """
+    b = table(spark, sf_dir, "benchmark").select((2 * F.col("item_id") + 1).alias("entry_id"), F.coalesce("text", F.lit("")).alias("hint"), F.lit(None).cast("string").alias("content"))
+    d = table(spark, sf_dir, "documents").select((2 * F.col("doc_id")).alias("entry_id"), F.lit(None).cast("string").alias("hint"), F.col("text").alias("content"))
+    entries = b.unionByName(d).withColumns({"topic_id": F.lit("passages"), "fields": F.array().cast("array<string>")})
+    found = targets.weighted_targets(entries).where("score is not null")
+    return found.select(F.shiftright("asker", 1).alias("asker"), "score", "ties", F.shiftright("target", 1).alias("target"))
 
 
 @query(
