@@ -2,8 +2,8 @@
 
 Features of a text are its distinct letter runs (A-Z folded) and their first four, five
 and six bytes, as 64-bit hashes; so inflected forms of one stem share features. Feature
-counts over a bounded sample of labelled rows give a lexicon, which is dealt to many
-voters; pattern voters look at shouting and at texts without any entry. The label model
+counts over a bounded sample of labelled rows, near copies once, give a lexicon, which
+is dealt to many voters; pattern voters look at shouting and at texts without any entry. The label model
 sees votes alone: expectation-maximisation estimates how often each voter fires on either
 class, and what voters share beyond the class lowers their weight. A linear classifier on
 lexicon and pattern features is trained on the posteriors and scores every text.
@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.llm.bytehash import LETTER, Words, chunks, mix, text_bytes
+from postloom.llm.near_dedup import near_duplicates
 from postloom.llm.store import keep, shared_folder
 
 PREFIXES = (4, 5, 6)
 #: Rows of labels that the model is fitted on at most, entries of the lexicon, lexicon voters.
 SAMPLE, LEXICON, VOTERS = 16_000, 2_048, 12
-#: A lexicon entry has so many toxic rows at least, this share of all toxic rows, and they are this share of its rows.
-ENTRY_ROWS, ENTRY_OF_TOXIC, ENTRY_SHARE = 4, 0.02, 0.98
+#: A lexicon entry has so many toxic rows at least, near copies counted once, they are this share of its rows, and the
+#: signed root of the likelihood ratio against the sample's share of toxic rows is this: one chance in 30,000.
+ENTRY_ROWS, ENTRY_SHARE, ENTRY_Z = 4, 0.98, 4.0
+#: Words of a shingle and percent of shared shingles that make rows near copies.
+COPY_WIDTH, COPY_PERCENT = 3, 80
 PATTERNS = ("shouted", "exclaims", "has_entry", "has_three", "no_entry")
 _KINDS = np.array([0x1F83D9AB, 0x5BE0CD19, 0x3C6EF372, 0x510E527F], np.uint64)
 
@@ -65,7 +69,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.unique(values[:, a:b])
                 features.append(own[own != 0].view(np.int64))
                 flags.append(sum(1 << k for k, x in enumerate(patterns(data[lo:hi])) if x))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array(features, pa.list_(pa.int64())), pa.array(flags, pa.int64())], names=["toxic", "features", "flags"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int64()), pa.array(features, pa.list_(pa.int64())), pa.array(flags, pa.int64())], names=["doc_id", "toxic", "features", "flags"])
 
 
 def voters_of(hits: np.ndarray, flags: int) -> np.ndarray:
@@ -137,14 +141,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAM
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = keep(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), f"{folder}/labels")
     # no more rows than `most`, so the sample is small enough to broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct()
-    sample = keep(sample.mapInArrow(_sampled, "toxic long, features array<long>, flags long"), f"{folder}/sample")
-    totals = sample.agg(F.sum("toxic"), F.count("*")).first()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct()
+    texts = keep(texts.withColumn("doc_id", F.xxhash64("text")), f"{folder}/texts")
+    families = near_duplicates(spark, texts, COPY_WIDTH, COPY_PERCENT).select("doc_id", F.col("component_id").alias("family")).distinct()
+    sample = texts.mapInArrow(_sampled, "doc_id long, toxic long, features array<long>, flags long")
+    sample = keep(sample.join(families, "doc_id"), f"{folder}/sample")
+    # a family of near copies counts once for each label
+    totals = sample.select("toxic", "family").distinct().agg(F.sum("toxic"), F.count("*")).first()
     t_all, c_all = (totals[0] or 0), totals[1] - (totals[0] or 0)
-    counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), (F.count("*") - F.sum("toxic")).alias("c"))
+    counts = sample.select("toxic", "family", F.explode("features").alias("feature")).distinct().groupBy("feature").agg(F.sum("toxic").alias("t"), (F.count("*") - F.sum("toxic")).alias("c"))
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.log(t / (t_all + 1 - t)) - F.log(c / (c_all + 1 - c))
-    ranked = counts.where(F.col("t") >= max(ENTRY_ROWS, ENTRY_OF_TOXIC * t_all)).where(F.col("t") >= ENTRY_SHARE * (F.col("t") + F.col("c"))).withColumn("z", odds / F.sqrt(1 / t + 1 / c))
+    n, share = F.col("t") + F.col("c"), t_all / max(t_all + c_all, 1)
+    part = lambda x, p: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * max(p, 1e-9)))).otherwise(0.0)
+    ranked = counts.where(F.col("t") >= ENTRY_ROWS).where(F.col("t") >= ENTRY_SHARE * n).where(F.col("t") > share * n)
+    ranked = ranked.where(2 * (part("t", share) + part("c", 1 - share)) >= ENTRY_Z**2).withColumn("z", odds / F.sqrt(1 / t + 1 / c))
     lexicon = ranked.orderBy(F.desc("z"), "feature").limit(LEXICON).select("feature")
     lexicon = np.sort(np.array([r[0] for r in lexicon.collect()], np.int64).view(np.uint64))
     entries = lexicon.view(np.int64).tolist()

@@ -82,6 +82,25 @@ def test_toxicity_held_out(spark):
     assert all(again[r.doc_id] == r.toxicity for r in out)
 
 
+def test_toxicity_rare_language(spark):
+    """A word of 12 in 1,000 toxic rows is an entry; the own word of a family of near copies is not."""
+    pick = np.random.default_rng(6)
+    rows = []
+    for k in range(3000):
+        few = k % 3 == 0 and k < 36 or k % 3 and k < 150
+        text = list(pick.choice([f"{'otro' if few else 'plain'}{j}" for j in range(300)], 40))
+        if k % 3 == 0:
+            text[7] = "palurdo" if few else pick.choice(["grobian", "lump", "schuft"])
+        rows.append((k, " ".join(text), int(k % 3 == 0)))
+    copy = [f"plain{j}" for j in range(100)] + ["grobian", "zebra"]
+    rows += [(3000 + k, " ".join([f"x{k}", *copy]), 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(spark, docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    asked = [(1, "otro1 otro2 palurdo otro3"), (2, "plain1 plain2 zebra plain3"), (3, "plain4 lump plain5"), (4, "otro4 otro5 otro6")]
+    got = {r.doc_id: r.toxicity >= 0.7 for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
 def test_label_model_weighs_copies_less():
     votes = np.zeros((400, toxicity.VOTERS + len(toxicity.PATTERNS)), bool)
     votes[:40, :3] = True
