@@ -6,7 +6,8 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -38,13 +39,3 @@ def duck(sf_dir):
         path = f"{sf_dir}/{name}.parquet"
         con.execute(f"create table {name} as select * from '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     return con
-
-
-def same(got, want) -> None:
-    """Equal rows in any order, floats to nine digits."""
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    text = lambda d: d[columns].map(lambda v: round(v, 9) if isinstance(v, float) else v).astype(str).sort_values(columns).reset_index(drop=True)
-    a, b = text(got), text(want)
-    assert len(a) == len(b)
-    assert (a.values == b.values).all()

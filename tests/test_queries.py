@@ -1,7 +1,7 @@
 """Every registered query against its SQL twin."""
 
 import pytest
-from conftest import same
+from sql_twins import same
 
 from postloom import queries as core
 
