@@ -1,13 +1,18 @@
-"""Removal of boilerplate lines by the number of distinct sites that they stand on."""
+"""Removal of boilerplate lines by the number of distinct sites that they stand on.
+
+The texts are split once: a kept table has one row for each document with the hashes of its
+lines that have words. Sketches, exact counts and hits are read off that table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.store import keep, shared_folder
+from postloom.llm.store import drop, keep, shared_folder
 
 BLANK = " \t\n\x0b\f\r"
+MADE = ("line_count", "line_spread", "line_removed")
 
 
 def words_in(line: Column) -> Column:
@@ -18,20 +23,19 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of the line without outer white space; null for a line without words."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit("line"), bare).alias("h2")))
+def line_keys(text: Column) -> Column:
+    """Of the lines with words: place among all lines, and 128 bits of the line without outer white space."""
+    bare = F.filter(F.transform(lines_of(text), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANK)).alias("x"))), lambda b: b["x"] != "")
+    return F.transform(bare, lambda b: F.struct(b["i"].alias("i"), F.xxhash64(b["x"]).alias("h1"), F.xxhash64(F.lit("line"), b["x"]).alias("h2")))
 
 
-def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int, folder: str, log2_registers: int = 12) -> DataFrame:
-    """(h1, h2) of lines on at least `min_sites` distinct sources.
+def spread_lines(lines: DataFrame, min_sites: int, folder: str, log2_registers: int = 12) -> DataFrame:
+    """(h1, h2) of lines on at least `min_sites` distinct sites. lines: site, keys.
 
-    A HyperLogLog sketch of sources for each line is merged by aggregation. Lines whose
+    A HyperLogLog sketch of sites for each line is merged by aggregation. Lines whose
     estimate is within a quarter (and one) of the threshold get exact distinct counts.
     """
-    keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-    lines = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(keys).alias("k")).where("k is not null").select("site", "k.h1", "k.h2")
+    lines = lines.select("site", F.explode("keys").alias("k")).select("site", "k.h1", "k.h2")
     low, high = 0.75 * min_sites - 1, 1.25 * min_sites + 1
     wide = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log2_registers)).alias("sites"))
     wide = keep(wide.where(F.col("sites") >= low), f"{folder}/wide")
@@ -40,52 +44,67 @@ def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int, folder: s
     return keep(wide.where(F.col("sites") > high).select("h1", "h2").union(exact.select("h1", "h2")), f"{folder}/spread")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_sites: int = 8, most_removed: float = 0.5) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_sites: int = 8, most_removed: float = 0.5, in_a_row: int = 3) -> DataFrame:
     """docs (text, source, other columns) with cleaned text and line_count, line_spread, line_removed.
 
     A line (outer white space aside, words required) on at least `min_sites` distinct
-    sources is boilerplate; a null source counts as one site. It is taken out of every
-    document, first one included, unless such lines hold more than `most_removed` of the
-    document's words: then the document is itself a copy, which is left whole to document
-    deduplication. Null text stays null, empty text empty; no row is dropped. line_spread
-    counts the boilerplate lines, line_removed those taken out. Columns of docs with these
-    names are replaced.
+    sources is boilerplate; null is a source of its own. It is taken out of every document,
+    first one included, except from copies, which are left whole to document deduplication:
+    documents whose lines with words are all boilerplate, and those in which boilerplate
+    holds more than `most_removed` of the words and `in_a_row` lines with words in
+    succession are boilerplate, as only copied passages are.
+
+    Null text stays null, empty text empty; repeated rows stay and are cleaned alike; an
+    empty table gives an empty one; no row is dropped. line_spread counts the boilerplate
+    lines, line_removed those taken out. Columns of docs with these three names are
+    replaced, all others stay.
     """
     folder = shared_folder(spark)
-    kept = [c for c in docs.columns if c not in ("line_count", "line_spread", "line_removed")]
-    docs = docs.select(*kept)
-    spread = spread_lines(spark, docs, min_sites, folder)
-    # what is taken from a text depends on the text alone, so equal texts share one row
-    keyed = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("text"), "text")})
-    at = keyed.where("text is not null").select("_t1", "_t2", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "k")).where("k is not null")
-    hits = at.select("_t1", "_t2", "pos", "k.h1", "k.h2").join(spread, ["h1", "h2"])
-    hits = keep(hits.groupBy("_t1", "_t2").agg(F.collect_set("pos").alias("_spread")), f"{folder}/hits")
-    found = keyed.join(hits, ["_t1", "_t2"], "left")
-    lines = lines_of(F.col("text"))
-    found = found.withColumn("_lines", F.when(F.col("_spread").isNotNull(), lines)).withColumn("line_count", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    rest = F.filter("_lines", lambda _, i: ~F.array_contains("_spread", i))
-    found = found.withColumn("_rest", F.array_join(rest, "\n"))
-    whole = words_in(F.col("text"))
-    removes = F.coalesce(whole - words_in(F.col("_rest")) <= F.lit(most_removed) * whole, F.lit(False))
-    found = found.withColumn("_removes", removes)
+    kept = [c for c in docs.columns if c not in MADE]
+    text = F.col("row.text")
+    # what is taken from a text depends on the text alone, so equal texts share one row of hits
+    keyed = docs.select(F.struct(*kept).alias("row")).withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("text"), text)})
+    site = F.coalesce(F.concat(F.lit("="), F.col("row.source").cast("string")), F.lit("null"))
+    lines = keep(keyed.where(text.isNotNull()).select("t1", "t2", site.alias("site"), line_keys(text).alias("keys")), f"{folder}/lines")
+    spread = spread_lines(lines, min_sites, folder)
+    at = lines.select("t1", "t2", F.size("keys").alias("worded"), F.posexplode("keys").alias("at", "k"))
+    hits = at.select("t1", "t2", "worded", "at", "k.*").join(spread, ["h1", "h2"])
+    hits = hits.groupBy("t1", "t2").agg(F.max("worded").alias("worded"), F.sort_array(F.collect_set(F.struct("at", "i"))).alias("hits"))
+    hits = keep(hits, f"{folder}/hits")
+    drop(spark, f"{folder}/lines")
+
+    found = keyed.join(hits, ["t1", "t2"], "left").withColumn("lines", F.when(F.col("hits").isNotNull(), lines_of(text)))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("hits.i"))
+    rest = F.array_join(F.transform(rest, lambda i: F.get("lines", i)), "\n")
+    successive = F.exists(F.transform("hits", lambda h, k: F.get("hits", k + F.lit(in_a_row - 1))["at"] - h["at"] == in_a_row - 1), lambda x: F.coalesce(x, F.lit(False)))
+    mostly = F.when(successive, words_in(text) - words_in(rest) > F.lit(most_removed) * words_in(text))
+    removes = F.col("hits").isNotNull() & (F.size("hits") < F.col("worded")) & ~F.coalesce(mostly, F.lit(False))
+    found = found.withColumn("cleaned", F.when(removes, rest))
+    size = F.greatest(F.size("hits"), F.lit(0))
+    out = {"text": F.coalesce("cleaned", text)}
     return found.select(
-        *[F.when(F.col("_removes"), F.col("_rest")).otherwise(F.col("text")).alias("text") if c == "text" else c for c in kept],
-        "line_count",
-        F.greatest(F.size("_spread"), F.lit(0)).alias("line_spread"),
-        F.when(F.col("_removes"), F.size("_spread")).otherwise(0).alias("line_removed"),
+        *[out.get(c, F.col("row").getField(c)).alias(c) for c in kept],
+        F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("line_count"),
+        size.alias("line_spread"),
+        F.when(F.col("cleaned").isNotNull(), size).otherwise(0).alias("line_removed"),
     )
 
 
-def op1_sql(min_sites: int = 8, most_removed: float = 0.5) -> str:
-    word = r"[^\x20\x09-\x0D]+"
+def op1_sql(min_sites: int = 8, most_removed: float = 0.5, in_a_row: int = 3) -> str:
+    word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
     return f"""
-    with l as (select rowid r, coalesce(source, '') site, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents where text is not null),
-    b as (select *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') bare, len(regexp_extract_all(line, '{word}')) words from l),
+    with t as materialized (select row_number() over () r, * from documents),
+    l as (select r, coalesce('=' || source, 'null') site, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from t where text is not null),
+    b as (select *, regexp_replace(line, '^{blank}|{blank}$', '', 'g') bare, len(regexp_extract_all(line, '{word}')) words from l),
     s as (select bare from b where bare <> '' group by bare having count(distinct site) >= {min_sites}),
     m as (select b.*, s.bare is not null spread from b left join s on b.bare = s.bare),
-    d as (select r, count(*) n, count(*) filter (spread) n_spread, coalesce(sum(words) filter (spread), 0) <= {most_removed} * sum(words) removes,
-        coalesce(string_agg(line, chr(10) order by pos) filter (not spread), '') rest from m group by r)
-    select doc_id, coalesce(d.n, 0)::bigint n_lines, coalesce(d.n_spread, 0)::bigint n_spread,
-      case when d.removes then coalesce(d.n_spread, 0) else 0 end::bigint n_removed,
-      sha256(case when d.removes and d.n_spread > 0 then d.rest else text end) text_sha256
-    from documents left join d on documents.rowid = d.r"""
+    w as (select r, sum(spread::int) over (partition by r order by pos rows between {in_a_row - 1} preceding and current row) run from m where words > 0),
+    c as (select r, max(run) run from w group by r),
+    d as (select r, count(*) n, count(*) filter (spread) n_spread, count(*) filter (words > 0) worded,
+        coalesce(sum(words) filter (spread), 0) > {most_removed} * sum(words) mostly,
+        coalesce(string_agg(line, chr(10) order by pos) filter (not spread), '') rest from m group by r),
+    v as (select d.*, n_spread > 0 and n_spread < worded and not (mostly and c.run >= {in_a_row}) removes from d left join c using (r))
+    select doc_id, coalesce(v.n, 0)::bigint n_lines, coalesce(v.n_spread, 0)::bigint n_spread,
+      case when v.removes then v.n_spread else 0 end::bigint n_removed,
+      sha256(case when v.removes then v.rest else text end) text_sha256
+    from t left join v using (r)"""

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from odd_rows import ROWS
+from sql_twins import same
 
 from postloom.llm import bpe, katz, line_dedup, media, mixing, near_dedup, quality, queries, sharding, suffix_dedup, toxicity
 
@@ -46,15 +47,29 @@ def test_line_dedup_near_threshold(spark):
     assert all((r.line_removed == 1) == (r.doc_id // 100 >= 8) for r in out)
 
 
+def test_line_dedup_copies(spark):
+    """Copies stay whole: all lines spread, or three in a row and more than half of the words. Short pages of mixed boilerplate are cleaned."""
+    body = [f"body line {k} with six words" for k in range(4)]
+    rows = [(s, "\n".join([*body, f"own {s}"]), f"s{s}") for s in range(9)]
+    rows += [(100 + s, f"top line here\nown words {s}\nfoot line here", f"s{s}") for s in range(9)]
+    rows += [(200 + s, "top line here\n\nfoot line here", f"s{s}") for s in range(2)]
+    rows += [(300, "\n".join([*body[:3], "plenty of own words " * 9]), None)]
+    got = {r.doc_id: (r.text, r.line_spread, r.line_removed) for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3] == (rows[3][1], 4, 0)
+    assert got[104] == ("own words 4", 2, 2)
+    assert got[200] == (rows[18][1], 2, 0)
+    assert got[300] == ("plenty of own words " * 9, 3, 3)
+
+
+def test_line_dedup_null_source_is_a_site(spark):
+    rows = [(k, "the same line\nown " + str(k), s) for k, s in enumerate(["", None, "a"])]
+    out = line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=3)
+    assert {r.line_removed for r in out.collect()} == {1}
+
+
 @pytest.mark.parametrize("name", ["op1_site_spread_lines", "op7_pareto_mix"])
 def test_same_as_sql(spark, duck, sf_dir, name):
-    import importlib.util
-    import pathlib
-
-    spec = importlib.util.spec_from_file_location("shared", pathlib.Path(__file__).parents[1] / "conftest.py")
-    shared = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(shared)
-    shared.same(queries.queries()[name](spark, sf_dir).toPandas(), duck.execute(queries.oracle_sql()[name]).df())
+    same(queries.queries()[name](spark, sf_dir).toPandas(), duck.execute(queries.oracle_sql()[name]).df())
 
 
 # --- 2
