@@ -1,21 +1,22 @@
 """Language-model scoring with Katz backoff over word pairs.
 
-Counts, Good-Turing discounts and backoff weights are tables partitioned by hash; a text's
-tokens look them up by joins. P(w | v) is the discounted share of (v, w) where that pair was
-seen, else the backoff weight of v times P(w); P(w) is the discounted share of w, and what
-the discounts leave is that of all unseen words, one class. Backoff weights are exact: what
-the discounts of v leave, over the unigram mass of the words not seen after v.
-
-A text's score is the sum over its tokens of log P(w), plus, for each pair that was seen,
-what log P(w | v) differs by, and for each other pair the log backoff weight of v. So words
-and pairs are looked up by one hash each; the most frequent words, a table of fixed size,
-where the text is read. The work goes in passes over the histories' hashes, which bounds
-what is on disk at a time.
+P(w | v) is the discounted share of (v, w) where that pair was seen, else the backoff weight
+of v times P(w); P(w) is the discounted share of w, and what the discounts leave is that of
+all unseen words, one class. Backoff weights are exact: what the discounts of v leave, over
+the unigram mass of the words not seen after v.
+
+Counts are tables of blocks, partitioned by hash. In logarithms a seen pair is
+disc(c(v, w)) + fit(v), where fit(v) makes the discounted counts of v a distribution, and
+any other pair back(v) + P(w). Every pair of a training text has been seen, so such a text
+asks for fit(v) by word and disc(c) by pair; other texts begin with back(v) + P(w) for every
+token and learn of the pairs that were seen what to put in its place. The most frequent
+words and pairs, tables of fixed size, are looked up where the text is read, so no pair's
+entries fill one task. The work goes in passes over the histories' hashes, which bounds what
+is on disk at a time.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +24,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.blocks import Known, bucket_count, cells, gathered, groups, one_row, scattered, together
 from postloom.llm.bytehash import Words, chunks, mix, text_bytes
-from postloom.llm.store import drop, keep, shared_folder
+from postloom.llm.store import drop, keep, lean_shuffles, shared_folder
 
-#: So many of the most frequent words are sent to all tasks; the others are looked up by a join.
-FREQUENT = 1 << 16
+#: So many of the most frequent words go to all tasks; so many pairs at most, those with that share of all tokens.
+FREQUENT = 1 << 17
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 #: Hashes that stand for the beginning and the end of a text.
 BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+#: Tokens that a task holds before it hands them on.
 FLUSH = 1 << 20
 
+COUNTED = "bucket int, kind int, x array<long>, c array<int>, m array<double>"
+PAIRS, HISTORIES, SPECTRUM, HEAVY = range(4)
+ASKED = "bucket int, kind int, x array<long>, c array<int>, t array<long>, e array<double>, ht array<long>, hv array<long>, hw array<long>"
+FOUND = "bucket int, t array<long>, score array<double>, vt array<long>, v array<long>, wt array<long>, w array<long>"
+
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * _PAIR ^ w)
 
 
-def as_pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return pair_hash(v, w).view(np.int64)
-
-
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: number of the first, then history, token and text (from 0) of each token."""
     data, offsets = text_bytes(batch.column("text"))
@@ -57,17 +61,39 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield i, v, w, np.repeat(np.arange(j - i), n)
 
 
-def _counted(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, at, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
-    return v[at], w[at], n
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())], names=["w", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for _, _, w, _ in _tokens(batch):
+            held.append(w)
+            size += len(w)
+            if size >= FLUSH:
+                yield flushed(held)
+                held, size = [], 0
+    if held:
+        yield flushed(held)
+
 
+def _bucket(x: np.ndarray, w: np.ndarray, frequent: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs of a rare word lie where the word lies, those of a frequent one are dealt by pair."""
+    return ((np.where(frequent, x, w) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
 
-def pair_counts(part: int, parts: int):
-    """(v, w, n) of the pairs whose history falls in the part; n is what one run of texts has."""
 
-    def batch_of(held: list) -> pa.RecordBatch:
-        v, w, n = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n, pa.int64())], names=["v", "w", "n"])
+def pair_counts(part: int, parts: int, buckets: int, known: Known):
+    """Blocks (v, w, n) of the pairs whose history falls in the part; n is what one run of texts has."""
+
+    def flushed(held: list) -> pa.RecordBatch:
+        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        x = pair_hash(v, w)
+        order, head = groups(x)
+        at = order[head]
+        n = np.diff(np.append(head, len(x))).astype(np.int32)
+        v, w = v[at], w[at]
+        return scattered(_bucket(x[at], w, known.find(w)[1], buckets), {"v": v, "w": w, "n": n, "p": np.zeros(0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -77,78 +103,76 @@ def pair_counts(part: int, parts: int):
                 held.append((v[mine], w[mine]))
                 size += len(held[-1][0])
                 if size >= FLUSH:
-                    yield batch_of(held)
+                    yield flushed(held)
                     held, size = [], 0
-        if held:
-            yield batch_of(held)
+        if size:
+            yield flushed(held)
 
     return run
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, w, _ in _tokens(batch):
-            x, n = np.unique(w, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())], names=["w", "n"])
-
-
-def _runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, key) and how often each is there."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.empty(0, np.int64)
-    return d[new], k[new], np.diff(np.append(new, len(d)))
-
-
-def pair_lookups(part: int, parts: int, history: bool):
-    """(doc, x, n) of each text's pairs whose history falls in the part; with v, the history, if asked for."""
+def rare_words(buckets: int, known: Known):
+    """Blocks (w, p) of the words that are not known to all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("doc").to_numpy(zero_copy_only=False)
-            for first, v, w, doc in _tokens(batch):
-                mine = v % np.uint64(parts) == part
-                v, w, doc = v[mine], w[mine], doc[mine]
-                x = as_pair(v, w)
-                if history:
-                    order = np.lexsort((x, doc))
-                    x, v, doc = x[order], v[order], doc[order]
-                    d, n = doc, np.ones(len(x), np.int32)
-                else:
-                    d, x, n = _runs(doc, x)
-                columns = [pa.array(keys[first + d], pa.int64()), pa.array(x), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(v.view(np.int64))] if history else [])], names=["doc", "x", "n", *(["v"] if history else [])])
+            w, p = batch.column("w").to_numpy().view(np.uint64), batch.column("p").to_numpy()
+            rare = ~known.find(w)[1]
+            w, p = w[rare], p[rare]
+            if len(w):
+                yield scattered(_bucket(w, w, np.zeros(len(w), bool), buckets), {"v": np.zeros(0, np.int64), "w": w, "n": np.zeros(0, np.int32), "p": p})
 
     return run
 
 
-def word_sums(hashes: np.ndarray, base: np.ndarray, lp: np.ndarray):
-    """(doc, w, n, base, lp): for each text one row of sums over frequent words (w null), and a row for each of its other words."""
+def _values(w: np.ndarray, known: Known, name: str, rare: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each word, from the table of frequent ones or from that of its bucket."""
+    at, there = known.find(w)
+    out = known.values[name][at] if len(known.hashes) else np.zeros(len(w))
+    if not there.all():
+        order = np.argsort(rare)
+        out = np.where(there, out, 0.0)
+        out[~there] = values[order[np.searchsorted(rare, w[~there], sorter=order)]]
+    return out
+
+
+def counted(buckets: int, known: Known, heavy: float):
+    """Of each bucket: its pairs with their counts; of each history how many pairs have counts 1 to 5, and the unigram mass of its words; how many pairs have each count; pairs of at least `heavy` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("doc").to_numpy(zero_copy_only=False)
-            for first, _, w, doc in _tokens(batch):
-                at = np.minimum(np.searchsorted(hashes, w), max(len(hashes) - 1, 0))
-                often = hashes[at] == w if len(hashes) else np.zeros(len(w), bool)
-                texts = int(doc[-1]) + 1
-                sums = [np.bincount(doc[often], weights, texts) for weights in (None, base[at[often]] if len(hashes) else None, lp[at[often]] if len(hashes) else None)]
-                d, x, n = _runs(doc[~often], w[~often])
-                none = pa.nulls(texts, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[first + np.concatenate((np.arange(texts), d))], pa.int64()),
-                        pa.concat_arrays([none, pa.array(x.view(np.int64))]),
-                        pa.array(np.concatenate((sums[0], n)).astype(np.int32)),
-                        pa.array(np.concatenate((sums[1].astype(float), np.zeros(len(d))))),
-                        pa.array(np.concatenate((sums[2].astype(float), np.zeros(len(d))))),
-                    ],
-                    names=["doc", "w", "n", "base", "lp"],
-                )
+        kind = lambda k: {"kind": pa.scalar(k, pa.int32())}
+        ints, floats = np.zeros(0, np.int32), np.zeros(0)
+        for bucket, (v, w, n, p) in gathered(batches, ("v", "w", "n", "p")):
+            v, w = v.view(np.uint64), w.view(np.uint64)
+            rare, w = w[len(v) :], w[: len(v)]  # a bucket's rare words come after its pairs
+            if not len(v):
+                continue
+            x = pair_hash(v, w)
+            order, head = groups(x)
+            c, at = np.add.reduceat(n[order], head).astype(np.int32), order[head]
+            x, v, w = x[at], v[at], w[at]
+            mass = _values(w, known, "p", rare, p)
+            yield one_row(bucket, {"x": x, "c": c, "m": floats}, **kind(PAIRS))
+            order, head = groups(v)
+            few = np.stack([np.add.reduceat((c[order] == r).astype(np.int32), head) for r in range(1, DISCOUNTED + 1)], axis=1).astype(np.int32)
+            v = v[order][head]
+            yield scattered(((v >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32), {"x": v, "c": few.ravel(), "m": np.add.reduceat(mass[order], head)}, **kind(HISTORIES)).select(["bucket", "kind", "x", "c", "m"])
+            yield one_row(bucket, {"x": x[:0], "c": ints, "m": np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3).astype(float)}, **kind(SPECTRUM))
+            often = c >= heavy
+            yield one_row(bucket, {"x": x[often], "c": c[often], "m": floats}, **kind(HEAVY))
 
     return run
 
 
+def histories_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, n1 .. n5, mass) of each history."""
+    for _, (v, few, mass) in gathered(batches, ("x", "c", "m")):
+        order, head = groups(v)
+        few = np.add.reduceat(few.reshape(-1, DISCOUNTED)[order], head, axis=0)
+        mass = np.add.reduceat(mass[order], head)
+        yield pa.RecordBatch.from_arrays([pa.array(v[order][head]), *(pa.array(few[:, r].astype(np.int64)) for r in range(DISCOUNTED)), pa.array(mass)], names=["v", *(f"n{r}" for r in range(1, DISCOUNTED + 1)), "mass"])
+
+
 def discounts(spectrum: dict[int, int]) -> list[float]:
     """Good-Turing discount of counts 1 to 5 from the numbers of entries with each count.
 
@@ -170,115 +194,306 @@ def discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
+def log_discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.log10(np.where(c <= DISCOUNTED, c * np.array([1.0, *d])[np.minimum(c, DISCOUNTED)], c))
+
+
 def spectrum(counts: DataFrame) -> dict[int, int]:
     """How many entries have each count up to 6."""
     rows = counts.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect()
     return {r["c"]: r["count"] for r in rows}
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def pair_lookups(part: int, parts: int, buckets: int, known: Known, heavy: Known, begin: tuple[float, float]):
+    """Asks for the pairs whose history falls in the part, by bucket; sums over heavy pairs, as answers already, have bucket -1.
 
+    Training texts ask with e = 0. Others ask with what a seen pair of frequent words changes
+    beside its count; where a word is rare they name both.
+    """
+    none = {"x": np.zeros(0, np.uint64), "c": np.zeros(0, np.int32)}
+    ask = pa.scalar(1, pa.int32())
+    empty = np.zeros(0, np.uint64)
+
+    def changed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, has_v = known.find(v)
+        j, has_w = known.find(w)
+        first = v == BEGIN
+        if not len(known.hashes):
+            return np.zeros(len(v)), np.zeros(len(v), bool)
+        e = np.where(first, begin[0] - begin[1], known.values["fit"][i] - known.values["back"][i]) - known.values["lp"][j]
+        return e, (has_v | first) & has_w
+
+    def flushed(held: list) -> Iterator[pa.RecordBatch]:
+        t, v, w, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        x = pair_hash(v, w)
+        e, both = np.zeros(len(x)), np.ones(len(x), bool)
+        other = np.flatnonzero(~train)
+        e[other], both[other] = changed(v[other], w[other])
+        at, often = heavy.find(x)
+        often &= both  # a heavy pair has frequent words
+        key = t[often]
+        order, head = groups(key)
+        if len(head):
+            value = heavy.values["ld"][at[often]] + e[often]
+            yield scattered(np.full(len(head), -1, np.int32), {"x": empty, "c": none["c"], "t": key[order][head], "e": np.add.reduceat(value[order], head), "ht": empty, "hv": empty, "hw": empty}, kind=ask)
+        rest = ~often
+        t, v, w, x, e, both = t[rest], v[rest], w[rest], x[rest], e[rest], both[rest]
+        bucket = _bucket(x, w, known.find(w)[1], buckets)
+        a, b = np.flatnonzero(both), np.flatnonzero(~both)
+        if len(a):
+            yield scattered(bucket[a], {"x": x[a], "c": none["c"], "t": t[a], "e": e[a], "ht": empty, "hv": empty, "hw": empty}, kind=ask)
+        if len(b):
+            yield scattered(bucket[b], {"x": empty, "c": none["c"], "t": empty, "e": np.zeros(0), "ht": t[b], "hv": v[b], "hw": w[b]}, kind=ask)
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("v", "w"))
-        x = pa.array(as_pair(v, w))
-        yield pa.RecordBatch.from_arrays([x, batch.column("delta")], names=["x", "delta"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column("t").to_numpy(zero_copy_only=False).view(np.uint64)
+            learnt = batch.column("train").to_numpy(zero_copy_only=False)
+            for first, v, w, doc in _tokens(batch):
+                mine = v % np.uint64(parts) == part
+                doc = first + doc[mine]
+                held.append((keys[doc], v[mine], w[mine], learnt[doc]))
+                size += len(doc)
+                if size >= FLUSH:
+                    yield from flushed(held)
+                    held, size = [], 0
+        if size:
+            yield from flushed(held)
+
+    return run
+
+
+def answered(buckets: int, known: Known, begin: tuple[float, float], d: list[float]):
+    """Sums by text over the pairs that were seen, by bucket of the text; and rare words whose values are still to be added. A bucket's counts come before what is asked of it."""
+    empty = np.zeros(0, np.uint64)
+
+    def sums(t: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        order, head = groups(t)
+        t, value = t[order][head], np.add.reduceat(value[order], head) if len(head) else value[:0]
+        return scattered(((t >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32), {"t": t, "score": value, "vt": empty, "v": empty, "wt": empty, "w": empty})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, table, counts, held = None, empty, np.zeros(0, np.int32), []
+        for bucket, (x, c, t, e, ht, hv, hw) in cells(batches, ("x", "c", "t", "e", "ht", "hv", "hw")):
+            if bucket != last and held:
+                yield sums(*(np.concatenate(y) for y in zip(*held, strict=True)))
+                held = []
+            if bucket != last:
+                last, table, counts = bucket, empty, np.zeros(0, np.int32)
+            x, t, ht, hv, hw = (y.view(np.uint64) for y in (x, t, ht, hv, hw))
+            if len(c):  # sorted, one row a bucket
+                table, counts = x, c
+                continue
+            if bucket < 0:
+                held.append((t, e))
+                continue
+            for asked, of, value, v, w in ((x, t, e, None, None), (pair_hash(hv, hw), ht, np.zeros(len(ht)), hv, hw)):
+                if not len(asked) or not len(table):
+                    continue
+                at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+                seen = np.flatnonzero(table[at] == asked)
+                score = log_discounted(counts[at[seen]], d) + value[seen]
+                of = of[seen]
+                if v is not None:  # frequent ones are added here
+                    v, w = v[seen], w[seen]
+                    i, has_v = known.find(v)
+                    j, has_w = known.find(w)
+                    first = v == BEGIN
+                    if len(known.hashes):
+                        score += np.where(has_v, known.values["fit"][i] - known.values["back"][i], 0.0) - np.where(has_w, known.values["lp"][j], 0.0)
+                    score += np.where(first, begin[0] - begin[1], 0.0)
+                    rare_v, rare_w = ~has_v & ~first, ~has_w
+                    yield one_row(0, {"t": empty, "score": np.zeros(0), "vt": of[rare_v], "v": v[rare_v], "wt": of[rare_w], "w": w[rare_w]})
+                held.append((of, score))
+        if held:
+            yield sums(*(np.concatenate(y) for y in zip(*held, strict=True)))
+
+    return run
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, score), one row a text."""
+    for _, (t, score) in gathered(batches, ("t", "score")):
+        order, head = groups(t)
+        yield pa.RecordBatch.from_arrays([pa.array(t[order][head]), pa.array(np.add.reduceat(score[order], head) if len(head) else score)], names=["t", "score"])
+
+
+def word_sums(known: Known, begin: tuple[float, float]):
+    """(t, w, n, train, base, score): for each text one row of sums over frequent words (w null), and a row for each of its other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("t").to_numpy(zero_copy_only=False)
+            learnt = batch.column("train").to_numpy(zero_copy_only=False)
+            for first, _, w, doc in _tokens(batch):
+                at, often = known.find(w)
+                texts = int(doc[-1]) + 1
+                train = learnt[first : first + texts]
+                d, o = doc[often], at[often]
+                value = lambda name: np.bincount(d, known.values[name][o], texts) if len(known.hashes) else np.zeros(texts)
+                score = np.where(train, value("fit") + begin[0], value("lp") + value("back") + begin[1])
+                rare, of = w[~often], doc[~often]
+                order = np.lexsort((rare, of))
+                rare, of = rare[order], of[order]
+                head = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])))) if len(of) else np.empty(0, np.int64)
+                n = np.diff(np.append(head, len(of)))
+                rows = first + np.concatenate((np.arange(texts), of[head]))
+                zeros = np.zeros(len(head))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[rows]),
+                        pa.concat_arrays([pa.nulls(texts, pa.int64()), pa.array(rare[head].view(np.int64))]),
+                        pa.array(np.concatenate((np.bincount(d, minlength=texts), n)).astype(np.int32)),
+                        pa.array(learnt[rows]),
+                        pa.array(np.concatenate((value("base"), zeros))),
+                        pa.array(np.concatenate((score, zeros))),
+                    ],
+                    names=["t", "w", "n", "train", "base", "score"],
+                )
+
+    return run
+
+
+def told_apart(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """docs with t, 64 bits of the text that no other text of docs shares, and (t, copies)."""
+    for seed in range(16):
+        keyed = docs.withColumns({"t": F.xxhash64(F.lit(seed), "text"), "t2": F.xxhash64(F.lit("text"), F.lit(seed), "text")})
+        texts = keep(keyed.groupBy("t").agg(F.count("*").alias("copies"), F.min("t2").alias("lo"), F.max("t2").alias("hi")), f"{folder}/texts{seed}")
+        if texts.where("lo <> hi").isEmpty():
+            return keyed.drop("t2"), texts.select("t", "copies")
+    raise RuntimeError("no hash tells the texts apart")
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: int = 4) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text, any other columns).
 
-    Counts are learnt from the rows for which `train` holds. Tokens are A-Z-folded words,
-    then one end. Null and empty texts are one end. Rows of one doc_id are one document:
-    repeated rows all get its values, and where their texts differ the mean of them. Rows
-    without an id are told apart by their text. With nothing to train on, every token is
-    unseen and scores log10(1). Every text is counted and scored whole.
+    Counts are learnt from the rows for which `train` holds (null: it does not). Tokens are
+    A-Z-folded words, then one end. Null and empty texts are one end. Each row gets the
+    values of its own text, whatever its doc_id, null ids and repeated ids included; a
+    repeated row counts each time. With nothing to train on, every token is unseen and
+    scores log10(1). An empty table gives an empty one. Every text is counted and scored whole.
     """
-    if passes & (passes - 1):
-        raise ValueError("passes is a power of two: parts are told by the last bits of hashes")
+    with lean_shuffles(spark):
+        return _score_texts(spark, docs, train, passes)
+
+
+def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: int) -> DataFrame:
     folder = shared_folder(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1)
-    docs = docs.withColumn("_train", train).select("doc_id", key.alias("doc"), "text", F.coalesce("_train", F.lit(False)).alias("train"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    docs, copies = told_apart(docs, folder)
     learnt = docs.where("train").select("text")
+    read = docs.select("t", "train", "text")
 
-    words = learnt.mapInArrow(word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
-    words = keep(words, f"{folder}/words")
+    words = keep(learnt.mapInArrow(word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), f"{folder}/counts")
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = int(size["n"] or 0), int(size["v"])
     d1 = discounts(spectrum(words))
     words = keep(words.select("w", "c", (discounted(F.col("c"), d1) / F.lit(float(max(tokens, 1)))).alias("p")), f"{folder}/unigrams")
+    drop(spark, f"{folder}/counts")
     seen = float(words.agg(F.sum("p")).first()[0] or 0.0)
     unseen = max(1.0 - seen, 1.0 / (tokens + 1))  # with no count to discount, one token's share is kept back
     scale = (1.0 - unseen) / seen if seen else 1.0
     words = words.withColumn("p", F.col("p") * F.lit(scale))
-    release(spark)
-
-    tables, counted = [], {}
+    frequent = words.orderBy(F.desc("c"), "w").limit(FREQUENT)
+    top = frequent.select("w", "p").toPandas()
+    known = Known(top["w"].to_numpy(np.int64).view(np.uint64), p=top["p"].to_numpy(float))
+
+    buckets = bucket_count(spark, tokens // passes)
+    rare = keep(words.select("w", "p").mapInArrow(rare_words(buckets, known), "bucket int, v array<long>, w array<long>, n array<int>, p array<double>"), f"{folder}/rare")
+    tables, histories = [], None
+    numbers: dict[int, int] = {}
+    heavy_x, heavy_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for part in range(passes):
-        pairs = learnt.mapInArrow(pair_counts(part, passes), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c"))
-        tables.append(keep(pairs, f"{folder}/pairs{part}"))
-        for c, n in spectrum(tables[-1]).items():
-            counted[c] = counted.get(c, 0) + n
-        release(spark)
-    d2 = discounts(counted)
-
+        pairs = learnt.mapInArrow(pair_counts(part, passes, buckets, known), "bucket int, v array<long>, w array<long>, n array<int>, p array<double>")
+        both = pairs.withColumn("kind", F.lit(0)).unionByName(rare.withColumn("kind", F.lit(1)))
+        table = together(both, "kind").select("bucket", "v", "w", "n", "p").mapInArrow(counted(buckets, known, max(tokens / FREQUENT, 2)), COUNTED)
+        table = keep(table, f"{folder}/table{part}")
+        tables.append(table.where(F.col("kind") == PAIRS))
+        for r in table.where(F.col("kind") == SPECTRUM).select(F.posexplode("m").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
+            numbers[r["c"]] = numbers.get(r["c"], 0) + int(r["n"])
+        # at most FREQUENT pairs have that share of all tokens
+        for r in table.where((F.col("kind") == HEAVY) & (F.size("x") > 0)).select("x", "c").collect():
+            heavy_x.append(np.array(r["x"], np.int64))
+            heavy_c.append(np.array(r["c"], np.int32))
+        own = together(table.where(F.col("kind") == HISTORIES).select("bucket", "x", "c", "m"))
+        own = keep(own.mapInArrow(histories_of, "v long, n1 long, n2 long, n3 long, n4 long, n5 long, mass double"), f"{folder}/histories{part}")
+        histories = own if histories is None else histories.unionByName(own)
+    drop(spark, f"{folder}/rare")
+    d2 = discounts(numbers)
+
+    # a history's tokens are as many as its own, the beginning's as many as there are texts
+    texts = learnt.count()
+    lost = sum((F.col(f"n{r}") * (r * (1 - d2[r - 1])) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
+    rows = words.join(histories.withColumnRenamed("v", "w"), "w", "full").withColumn("of", F.coalesce("c", F.lit(texts)))
+    kept = F.col("of") - lost
+    # a history whose counts are all above the discounted ones gives up one count in `of` + 1
+    left = F.greatest(1 - kept / F.col("of"), 1 / (F.col("of") + 1))
+    rows = rows.withColumns({"left": left, "kept": kept})
     line = float(tokens + vocabulary + 1)
-    words = words.select("w", "p", F.log10((F.col("c") + 1) / line).alias("base"), F.log10("p").alias("lp"), "c")
-    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp").toPandas()
-    hashes = top["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    asked = docs.select("doc", "text").mapInArrow(word_sums(hashes[order], top["base"].to_numpy(float)[order], top["lp"].to_numpy(float)[order]), "doc long, w long, n int, base double, lp double")
-    asked = keep(asked, f"{folder}/asked")
-    often = asked.where("w is null").select("doc", F.col("n").alias("n_tokens"), F.col("n").alias("n_known"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
-    rare = asked.where("w is not null").select("doc", "w", "n").join(words.select("w", "base", "lp").hint("shuffle_hash"), "w", "left")
-    rare = rare.select(
-        "doc",
-        F.col("n").alias("n_tokens"),
-        F.when(F.col("lp").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
-        (F.col("n") * F.coalesce("base", F.lit(float(-np.log10(line))))).alias("base_score"),
-        (F.col("n") * F.coalesce("lp", F.lit(float(np.log10(unseen))))).alias("score"),
+    rows = rows.select(
+        "w",
+        "c",
+        F.log10((F.col("c") + 1) / line).alias("base"),
+        F.log10("p").alias("lp"),
+        # the end is no history
+        F.when(F.col("mass").isNull(), 0.0).otherwise(F.log10((1 - F.col("left")) / F.col("kept"))).alias("fit"),
+        F.when(F.col("mass").isNull(), 0.0).otherwise(F.log10(F.col("left") / F.greatest(1 - F.col("mass"), F.lit(unseen)))).alias("back"),
     )
-    names = ("n_tokens", "n_known", "base_score", "score")
-    parts = [keep(often.unionByName(rare).groupBy("doc").agg(*[F.sum(c).alias(c) for c in names]), f"{folder}/words_of")]
-    drop(spark, f"{folder}/asked")
-    release(spark)
-    for part, pairs in enumerate(tables):
-        share = pairs.join(words.select("w", "p").hint("shuffle_hash"), "w").select("v", "w", "p", "c", discounted(F.col("c"), d2).alias("kept"))
-        share = keep(share, f"{folder}/share{part}")
-        drop(spark, f"{folder}/pairs{part}")
-        total = share.groupBy("v").agg(F.sum("c").alias("of"), F.sum("kept").alias("kept"), F.sum("p").alias("mass"))
-        # a history whose counts are all above the discounted ones gives up one count in `of` + 1
-        left = F.greatest(1 - F.col("kept") / F.col("of"), 1 / (F.col("of") + 1))
-        back = total.select("v", (left / F.greatest(1 - F.col("mass"), F.lit(unseen))).alias("alpha"), ((1 - left) / F.col("kept")).alias("fit"))
-        back = keep(back, f"{folder}/back{part}")
-        release(spark)
-        delta = F.log10(F.col("kept") * F.col("fit")) - F.log10("p")
-        table = share.join(back.select("v", "fit").hint("shuffle_hash"), "v").select("v", "w", delta.alias("delta")).mapInArrow(_keyed, "x long, delta double")
-        table = keep(table, f"{folder}/table{part}")
-        drop(spark, f"{folder}/share{part}")
-        release(spark)
-        found = docs.select("doc", "text").mapInArrow(pair_lookups(part, passes, False), "doc long, x long, n int").join(table.hint("shuffle_hash"), "x")
-        zero = [F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base_score")]
-        seen = found.groupBy("doc").agg(F.sum(F.col("n") * F.col("delta")).alias("score"))
-        parts.append(keep(seen.select("doc", *zero, "score"), f"{folder}/seen{part}"))
-        release(spark)
-        # a pair of a training row has been seen; those of the others that have not take the history's weight
-        other = docs.where(~F.col("train")).select("doc", "text").mapInArrow(pair_lookups(part, passes, True), "doc long, x long, n int, v long")
-        other = other.join(table.select("x").hint("shuffle_hash"), "x", "left_anti").groupBy("doc", "v").agg(F.count("*").alias("n"))
-        weighed = other.join(back.select("v", F.log10("alpha").alias("la")).hint("shuffle_hash"), "v").groupBy("doc").agg(F.sum(F.col("n") * F.col("la")).alias("score"))
-        parts.append(keep(weighed.select("doc", *zero, "score"), f"{folder}/weighed{part}"))
+    rows = keep(rows, f"{folder}/words")
+    for part in range(passes):
+        drop(spark, f"{folder}/histories{part}")
+    drop(spark, f"{folder}/unigrams")
+    of_begin = rows.where(F.col("w") == int(BEGIN.astype(np.int64))).select("fit", "back").first()
+    begin = (float(of_begin[0]), float(of_begin[1])) if of_begin else (0.0, 0.0)
+    words = rows.where("c is not null")
+    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp", "fit", "back").toPandas()
+    known = Known(top["w"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in ("base", "lp", "fit", "back")})
+    heavy = Known(np.concatenate(heavy_x).view(np.uint64), ld=log_discounted(np.concatenate(heavy_c), d2))
+
+    sums, asked = [], []
+    for part, table in enumerate(tables):
+        ask = read.mapInArrow(pair_lookups(part, passes, buckets, known, heavy, begin), ASKED)
+        both = table.select("bucket", F.lit(0).alias("kind"), "x", "c").unionByName(ask, allowMissingColumns=True)
+        empty = [F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("t", "array<long>"), ("e", "array<double>"), ("ht", "array<long>"), ("hv", "array<long>"), ("hw", "array<long>"))]
+        # sums over heavy pairs are dealt over the buckets, each after its own
+        both = both.select(F.when(F.col("bucket") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("bucket") < 0, 2).otherwise(F.col("kind")).alias("kind"), "x", "c", *empty)
+        found = together(both, "kind").select(F.when(F.col("kind") == 2, -1 - F.col("bucket")).otherwise(F.col("bucket")).alias("bucket"), "x", "c", "t", "e", "ht", "hv", "hw")
+        found = keep(found.mapInArrow(answered(buckets, known, begin, d2), FOUND), f"{folder}/found{part}")
         drop(spark, f"{folder}/table{part}")
-        release(spark)
-
-    sums = parts[0]
-    for more in parts[1:]:
-        sums = sums.unionByName(more)
-    sums = sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in names])
-    rows = docs.select("doc_id", "doc")
-    sums = rows.groupBy("doc").count().join(sums, "doc").select("doc", *[(F.col(c) / F.col("count")).alias(c) for c in names])
-    out = rows.join(sums, "doc")
+        of_text = together(found.where(F.size("t") > 0).select("bucket", "t", "score")).mapInArrow(summed, "t long, score double")
+        sums.append(keep(of_text, f"{folder}/sums{part}"))
+        rare = F.arrays_zip(F.col("vt").alias("t"), F.col("v").alias("w")), F.arrays_zip(F.col("wt").alias("t"), F.col("w").alias("w"))
+        for name, column in zip(("v", "w"), rare, strict=True):
+            asked.append(found.where(F.size(name) > 0).select(F.explode(column).alias("x")).select(F.col("x.t").alias("t"), F.col("x.w").alias("w"), F.lit(name).alias("as")))
+
+    by_word = keep(read.mapInArrow(word_sums(known, begin), "t long, w long, n int, train boolean, base double, score double"), f"{folder}/by_word")
+    rest = by_word.where("w is not null").select("t", "w", "n", F.when(F.col("train"), "train").otherwise("other").alias("as"))
+    for more in asked:
+        rest = rest.unionByName(more.withColumn("n", F.lit(1)))
+    rest = rest.join(words.hint("shuffle_hash"), "w", "left")
+    token = F.col("as").isin("train", "other")
+    score = (
+        F.when(F.col("as") == "train", F.col("fit"))
+        .when(F.col("as") == "other", F.coalesce("lp", F.lit(float(np.log10(unseen)))) + F.coalesce("back", F.lit(0.0)))
+        .when(F.col("as") == "v", F.col("fit") - F.col("back"))
+        .otherwise(-F.col("lp"))
+    )
+    rest = rest.select(
+        "t",
+        F.when(token, F.col("n")).otherwise(0).alias("n_tokens"),
+        F.when(token & F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
+        F.when(token, F.col("n") * F.coalesce("base", F.lit(float(-np.log10(line))))).otherwise(0.0).alias("base_score"),
+        (F.col("n") * score).alias("score"),
+    )
+    often = by_word.where("w is null").select("t", F.col("n").alias("n_tokens"), F.col("n").alias("n_known"), F.col("base").alias("base_score"), "score")
+    total = often.unionByName(rest)
+    for part in sums:
+        total = total.unionByName(part.select("t", F.lit(0).alias("n_tokens"), F.lit(0).alias("n_known"), F.lit(0.0).alias("base_score"), "score"))
+    names = ("n_tokens", "n_known", "base_score", "score")
+    total = total.groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).join(copies, "t")
+    total = keep(total.select("t", *[(F.col(c) / F.col("copies")).alias(c) for c in names]), f"{folder}/total")
+    for name in ("by_word", "words", *(f"{x}{part}" for part in range(passes) for x in ("found", "sums"))):
+        drop(spark, f"{folder}/{name}")
+    out = docs.select("doc_id", "t").join(total, "t")
     return out.select("doc_id", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 from postloom.tables import keep, shared_folder
 
-__all__ = ["drop", "keep", "partitions", "shared_folder"]
+__all__ = ["drop", "keep", "lean_shuffles", "partitions", "shared_folder"]
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes an execution's shuffle files as it ends; for work in many steps, each kept as a table."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def drop(spark: SparkSession, path: str) -> None:

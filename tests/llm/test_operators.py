@@ -285,6 +285,21 @@ def test_katz(spark, docs, empty):
         assert abs(sum(model.prob(history, w) for w in model.c) + model.alpha.get(history, 1.0) * model.unseen - 1) < 1e-9
 
 
+@pytest.mark.parametrize("frequent", [4, 1 << 17])
+def test_katz_rare_and_frequent_words(spark, monkeypatch, frequent):
+    """Words and pairs known to all tasks and those asked for by bucket; one id with two texts; equal texts on both sides of the split."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(katz, "FREQUENT", frequent)
+    pick = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{int(x)}" for x in pick.zipf(1.3, pick.integers(0, 60)) if x < 300)) for k in range(120)]
+    rows += [(7, "w1 w2 another text of id seven"), (1000, rows[4][1]), (1001, rows[4][1]), (1002, None), (1003, "UNSEEN w1 Never")]
+    model = brute.Katz([t for k, t in rows if k % 3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_texts(spark, docs, F.col("doc_id") % 3 != 0, passes=2).collect())
+    assert got == sorted((k, n, known, round(base, 6), round(score, 6)) for k, (n, known, base, score) in ((k, model.score(t)) for k, t in rows))
+
+
 # --- 7
 
 
