@@ -7,6 +7,7 @@ gets all rows of a bucket one after another and works on their arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -84,25 +85,37 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """Values by 64-bit hash: a table of bounded size that goes to all tasks. The hashes' first bits say where to look."""
 
-    BITS = 20
-
     def __init__(self, hashes: np.ndarray, **values: np.ndarray):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.values = {k: v[order] for k, v in values.items()}
-        slot = (self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self.begin = np.searchsorted(slot, np.arange((1 << self.BITS) + 1)).astype(np.int32)
-        self.most = int(np.diff(self.begin).max(initial=0))
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "values": self.values}
+
+    @cached_property
+    def _slots(self) -> tuple[np.uint64, np.ndarray, int]:
+        """How far a hash is shifted, where each slot begins, and how many hashes a slot has at most."""
+        bits = max(8, 3 + len(self.hashes).bit_length())
+        shift = np.uint64(64 - bits)
+        begin = np.searchsorted((self.hashes >> shift).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
+        return shift, begin, int(np.diff(begin).max(initial=0))
 
     def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash, and whether it is there."""
-        slot = (w >> np.uint64(64 - self.BITS)).astype(np.int64)
-        at, end = self.begin[slot], self.begin[slot + 1]
         if not len(self.hashes):
-            return at, np.zeros(len(w), bool)
+            return np.zeros(len(w), np.int32), np.zeros(len(w), bool)
+        shift, begin, most = self._slots
+        slot = (w >> shift).astype(np.int64)
+        at, end = begin[slot], begin[slot + 1]
         there = (at < end) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == w)
-        for _ in range(1, self.most):
+        for _ in range(1, most):
             more = np.flatnonzero(~there & (at + 1 < end))
             at[more] += 1
             there[more] = self.hashes[at[more]] == w[more]
         return np.where(there, at, 0), there
+
+    def of(self, name: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each hash, 0 where it has none, and whether it has one."""
+        at, there = self.find(w)
+        return (np.where(there, self.values[name][at], 0.0) if len(self.hashes) else np.zeros(len(w))), there

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _bucket(x: np.ndarray, w: np.ndarray, frequent: np.ndarray, buckets: int) ->
     return ((np.where(frequent, x, w) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
 
 
-def pair_counts(part: int, parts: int, buckets: int, known: Known):
+def pair_counts(part: int, parts: int, buckets: int, known: Broadcast):
     """Blocks (v, w, n) of the pairs whose history falls in the part; n is what one run of texts has."""
 
     def flushed(held: list) -> pa.RecordBatch:
@@ -93,7 +94,7 @@ def pair_counts(part: int, parts: int, buckets: int, known: Known):
         at = order[head]
         n = np.diff(np.append(head, len(x))).astype(np.int32)
         v, w = v[at], w[at]
-        return scattered(_bucket(x[at], w, known.find(w)[1], buckets), {"v": v, "w": w, "n": n, "p": np.zeros(0)})
+        return scattered(_bucket(x[at], w, known.value.find(w)[1], buckets), {"v": v, "w": w, "n": n, "p": np.zeros(0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -111,13 +112,13 @@ def pair_counts(part: int, parts: int, buckets: int, known: Known):
     return run
 
 
-def rare_words(buckets: int, known: Known):
+def rare_words(buckets: int, known: Broadcast):
     """Blocks (w, p) of the words that are not known to all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, p = batch.column("w").to_numpy().view(np.uint64), batch.column("p").to_numpy()
-            rare = ~known.find(w)[1]
+            rare = ~known.value.find(w)[1]
             w, p = w[rare], p[rare]
             if len(w):
                 yield scattered(_bucket(w, w, np.zeros(len(w), bool), buckets), {"v": np.zeros(0, np.int64), "w": w, "n": np.zeros(0, np.int32), "p": p})
@@ -127,16 +128,14 @@ def rare_words(buckets: int, known: Known):
 
 def _values(w: np.ndarray, known: Known, name: str, rare: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Of each word, from the table of frequent ones or from that of its bucket."""
-    at, there = known.find(w)
-    out = known.values[name][at] if len(known.hashes) else np.zeros(len(w))
+    out, there = known.of(name, w)
     if not there.all():
         order = np.argsort(rare)
-        out = np.where(there, out, 0.0)
         out[~there] = values[order[np.searchsorted(rare, w[~there], sorter=order)]]
     return out
 
 
-def counted(buckets: int, known: Known, heavy: float):
+def counted(buckets: int, known: Broadcast, heavy: float):
     """Of each bucket: its pairs with their counts; of each history how many pairs have counts 1 to 5, and the unigram mass of its words; how many pairs have each count; pairs of at least `heavy` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +150,7 @@ def counted(buckets: int, known: Known, heavy: float):
             order, head = groups(x)
             c, at = np.add.reduceat(n[order], head).astype(np.int32), order[head]
             x, v, w = x[at], v[at], w[at]
-            mass = _values(w, known, "p", rare, p)
+            mass = _values(w, known.value, "p", rare, p)
             yield one_row(bucket, {"x": x, "c": c, "m": floats}, **kind(PAIRS))
             order, head = groups(v)
             few = np.stack([np.add.reduceat((c[order] == r).astype(np.int32), head) for r in range(1, DISCOUNTED + 1)], axis=1).astype(np.int32)
@@ -204,7 +203,7 @@ def spectrum(counts: DataFrame) -> dict[int, int]:
     return {r["c"]: r["count"] for r in rows}
 
 
-def pair_lookups(part: int, parts: int, buckets: int, known: Known, heavy: Known, begin: tuple[float, float]):
+def pair_lookups(part: int, parts: int, buckets: int, known: Broadcast, heavy: Broadcast, begin: tuple[float, float]):
     """Asks for the pairs whose history falls in the part, by bucket; sums over heavy pairs, as answers already, have bucket -1.
 
     Training texts ask with e = 0. Others ask with what a seen pair of frequent words changes
@@ -215,13 +214,10 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Known, heavy: Known
     empty = np.zeros(0, np.uint64)
 
     def changed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, has_v = known.find(v)
-        j, has_w = known.find(w)
+        gain, has_v = known.value.of("gain", v)
+        lp, has_w = known.value.of("lp", w)
         first = v == BEGIN
-        if not len(known.hashes):
-            return np.zeros(len(v)), np.zeros(len(v), bool)
-        e = np.where(first, begin[0] - begin[1], known.values["fit"][i] - known.values["back"][i]) - known.values["lp"][j]
-        return e, (has_v | first) & has_w
+        return np.where(first, begin[0] - begin[1], gain) - lp, (has_v | first) & has_w
 
     def flushed(held: list) -> Iterator[pa.RecordBatch]:
         t, v, w, train = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -229,16 +225,16 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Known, heavy: Known
         e, both = np.zeros(len(x)), np.ones(len(x), bool)
         other = np.flatnonzero(~train)
         e[other], both[other] = changed(v[other], w[other])
-        at, often = heavy.find(x)
+        ld, often = heavy.value.of("ld", x)
         often &= both  # a heavy pair has frequent words
         key = t[often]
         order, head = groups(key)
         if len(head):
-            value = heavy.values["ld"][at[often]] + e[often]
+            value = ld[often] + e[often]
             yield scattered(np.full(len(head), -1, np.int32), {"x": empty, "c": none["c"], "t": key[order][head], "e": np.add.reduceat(value[order], head), "ht": empty, "hv": empty, "hw": empty}, kind=ask)
         rest = ~often
         t, v, w, x, e, both = t[rest], v[rest], w[rest], x[rest], e[rest], both[rest]
-        bucket = _bucket(x, w, known.find(w)[1], buckets)
+        bucket = _bucket(x, w, known.value.find(w)[1], buckets)
         a, b = np.flatnonzero(both), np.flatnonzero(~both)
         if len(a):
             yield scattered(bucket[a], {"x": x[a], "c": none["c"], "t": t[a], "e": e[a], "ht": empty, "hv": empty, "hw": empty}, kind=ask)
@@ -264,7 +260,7 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Known, heavy: Known
     return run
 
 
-def answered(buckets: int, known: Known, begin: tuple[float, float], d: list[float]):
+def answered(buckets: int, known: Broadcast, begin: tuple[float, float], d: list[float]):
     """Sums by text over the pairs that were seen, by bucket of the text; and rare words whose values are still to be added. A bucket's counts come before what is asked of it."""
     empty = np.zeros(0, np.uint64)
 
@@ -297,12 +293,10 @@ def answered(buckets: int, known: Known, begin: tuple[float, float], d: list[flo
                 of = of[seen]
                 if v is not None:  # frequent ones are added here
                     v, w = v[seen], w[seen]
-                    i, has_v = known.find(v)
-                    j, has_w = known.find(w)
+                    gain, has_v = known.value.of("gain", v)
+                    lp, has_w = known.value.of("lp", w)
                     first = v == BEGIN
-                    if len(known.hashes):
-                        score += np.where(has_v, known.values["fit"][i] - known.values["back"][i], 0.0) - np.where(has_w, known.values["lp"][j], 0.0)
-                    score += np.where(first, begin[0] - begin[1], 0.0)
+                    score += np.where(first, begin[0] - begin[1], gain) - lp
                     rare_v, rare_w = ~has_v & ~first, ~has_w
                     yield one_row(0, {"t": empty, "score": np.zeros(0), "vt": of[rare_v], "v": v[rare_v], "wt": of[rare_w], "w": w[rare_w]})
                 held.append((of, score))
@@ -319,7 +313,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t[order][head]), pa.array(np.add.reduceat(score[order], head) if len(head) else score)], names=["t", "score"])
 
 
-def word_sums(known: Known, begin: tuple[float, float]):
+def word_sums(known: Broadcast, begin: tuple[float, float]):
     """(t, w, n, train, base, score): for each text one row of sums over frequent words (w null), and a row for each of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +321,12 @@ def word_sums(known: Known, begin: tuple[float, float]):
             keys = batch.column("t").to_numpy(zero_copy_only=False)
             learnt = batch.column("train").to_numpy(zero_copy_only=False)
             for first, _, w, doc in _tokens(batch):
-                at, often = known.find(w)
+                at, often = known.value.find(w)
                 texts = int(doc[-1]) + 1
                 train = learnt[first : first + texts]
                 d, o = doc[often], at[often]
-                value = lambda name: np.bincount(d, known.values[name][o], texts) if len(known.hashes) else np.zeros(texts)
-                score = np.where(train, value("fit") + begin[0], value("lp") + value("back") + begin[1])
+                value = lambda name: np.bincount(d, known.value.values[name][o], texts)
+                score = np.where(train, value("fit") + begin[0], value("unseen") + begin[1])
                 rare, of = w[~often], doc[~often]
                 order = np.lexsort((rare, of))
                 rare, of = rare[order], of[order]
@@ -397,7 +391,8 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     words = words.withColumn("p", F.col("p") * F.lit(scale))
     frequent = words.orderBy(F.desc("c"), "w").limit(FREQUENT)
     top = frequent.select("w", "p").toPandas()
-    known = Known(top["w"].to_numpy(np.int64).view(np.uint64), p=top["p"].to_numpy(float))
+    share = spark.sparkContext.broadcast
+    known = share(Known(top["w"].to_numpy(np.int64).view(np.uint64), p=top["p"].to_numpy(float)))
 
     buckets = bucket_count(spark, tokens // passes)
     rare = keep(words.select("w", "p").mapInArrow(rare_words(buckets, known), "bucket int, v array<long>, w array<long>, n array<int>, p array<double>"), f"{folder}/rare")
@@ -420,6 +415,7 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
         own = keep(own.mapInArrow(histories_of, "v long, n1 long, n2 long, n3 long, n4 long, n5 long, mass double"), f"{folder}/histories{part}")
         histories = own if histories is None else histories.unionByName(own)
     drop(spark, f"{folder}/rare")
+    known.destroy()
     d2 = discounts(numbers)
 
     # a history's tokens are as many as its own, the beginning's as many as there are texts
@@ -447,9 +443,10 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     of_begin = rows.where(F.col("w") == int(BEGIN.astype(np.int64))).select("fit", "back").first()
     begin = (float(of_begin[0]), float(of_begin[1])) if of_begin else (0.0, 0.0)
     words = rows.where("c is not null")
-    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp", "fit", "back").toPandas()
-    known = Known(top["w"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in ("base", "lp", "fit", "back")})
-    heavy = Known(np.concatenate(heavy_x).view(np.uint64), ld=log_discounted(np.concatenate(heavy_c), d2))
+    # fit and unseen: what a token adds to a training text's score and another's; gain and lp: what a seen pair changes
+    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp", "fit", (F.col("lp") + F.col("back")).alias("unseen"), (F.col("fit") - F.col("back")).alias("gain")).toPandas()
+    known = share(Known(top["w"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in ("base", "lp", "fit", "unseen", "gain")}))
+    heavy = share(Known(np.concatenate(heavy_x).view(np.uint64), ld=log_discounted(np.concatenate(heavy_c), d2)))
 
     sums, asked = [], []
     for part, table in enumerate(tables):
@@ -493,6 +490,8 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     names = ("n_tokens", "n_known", "base_score", "score")
     total = total.groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).join(copies, "t")
     total = keep(total.select("t", *[(F.col(c) / F.col("copies")).alias(c) for c in names]), f"{folder}/total")
+    known.destroy()
+    heavy.destroy()
     for name in ("by_word", "words", *(f"{x}{part}" for part in range(passes) for x in ("found", "sums"))):
         drop(spark, f"{folder}/{name}")
     out = docs.select("doc_id", "t").join(total, "t")
