@@ -12,26 +12,30 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.llm.store import partitions
 
 
-def scattered(bucket: np.ndarray, columns: dict[str, np.ndarray], **fixed: pa.Scalar) -> pa.RecordBatch:
-    """One row for each bucket that has entries: bucket, the fixed values, and a list of each column's entries."""
-    order = np.argsort(bucket, kind="stable")
-    mine = bucket[order]
-    head = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1]))) if len(mine) else np.empty(0, np.int64)
-    edges = np.append(head, len(mine))
-    names, arrays = ["bucket"], [pa.array(mine[head].astype(np.int32))]
+def scattered(*parts: tuple[np.ndarray, dict[str, np.ndarray]], **fixed: pa.Scalar) -> pa.RecordBatch:
+    """One row for each bucket that has entries: bucket, the fixed values, and a list of its entries for each column.
+
+    Each part has the buckets of its entries and their columns; an entry may have several values.
+    """
+    present = np.unique(np.concatenate([np.unique(bucket) for bucket, _ in parts]))
+    names, arrays = ["bucket"], [pa.array(present.astype(np.int32))]
     for name, value in fixed.items():
         names.append(name)
-        arrays.append(pa.repeat(value, len(head)))
-    for name, values in columns.items():
-        wide = len(values) // max(len(mine), 1)  # entries of several values; a column may have none at all
-        values = values.reshape(-1, wide)[order].ravel() if wide else values
-        values = values.view(np.int64) if values.dtype == np.uint64 else values
-        names.append(name)
-        arrays.append(pa.ListArray.from_arrays(pa.array((edges * wide).astype(np.int32)), pa.array(values)))
+        arrays.append(pa.repeat(value, len(present)))
+    for bucket, columns in parts:
+        order = np.argsort(bucket, kind="stable")
+        edges = np.append(np.searchsorted(bucket[order], present), len(bucket))
+        for name, values in columns.items():
+            wide = len(values) // max(len(bucket), 1)
+            values = values.reshape(-1, wide)[order].ravel() if wide else values
+            values = values.view(np.int64) if values.dtype == np.uint64 else values
+            names.append(name)
+            arrays.append(pa.ListArray.from_arrays(pa.array((edges * wide).astype(np.int32)), pa.array(values)))
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -66,13 +70,14 @@ def gathered(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
 
 
 def together(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of a bucket in one task, one after another."""
-    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", *order)
+    """Rows of a bucket in one task, one after another; buckets are dealt in turn, so that tasks have equally many."""
+    n = partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", *order)
 
 
 def bucket_count(spark: SparkSession, entries: int, each: int = 1 << 19) -> int:
     """Buckets that keep every task at work and hold about `each` entries at most."""
-    return max(4 * partitions(spark), -(-entries // each))
+    return max(partitions(spark), -(-entries // each))
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

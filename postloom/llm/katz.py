@@ -94,7 +94,7 @@ def pair_counts(part: int, parts: int, buckets: int, known: Broadcast):
         at = order[head]
         n = np.diff(np.append(head, len(x))).astype(np.int32)
         v, w = v[at], w[at]
-        return scattered(_bucket(x[at], w, known.value.find(w)[1], buckets), {"v": v, "w": w, "n": n, "p": np.zeros(0)})
+        return scattered((_bucket(x[at], w, known.value.find(w)[1], buckets), {"v": v, "w": w, "n": n, "p": np.zeros(0)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -121,7 +121,7 @@ def rare_words(buckets: int, known: Broadcast):
             rare = ~known.value.find(w)[1]
             w, p = w[rare], p[rare]
             if len(w):
-                yield scattered(_bucket(w, w, np.zeros(len(w), bool), buckets), {"v": np.zeros(0, np.int64), "w": w, "n": np.zeros(0, np.int32), "p": p})
+                yield scattered((_bucket(w, w, np.zeros(len(w), bool), buckets), {"v": np.zeros(0, np.int64), "w": w, "n": np.zeros(0, np.int32), "p": p}))
 
     return run
 
@@ -155,7 +155,7 @@ def counted(buckets: int, known: Broadcast, heavy: float):
             order, head = groups(v)
             few = np.stack([np.add.reduceat((c[order] == r).astype(np.int32), head) for r in range(1, DISCOUNTED + 1)], axis=1).astype(np.int32)
             v = v[order][head]
-            yield scattered(((v >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32), {"x": v, "c": few.ravel(), "m": np.add.reduceat(mass[order], head)}, **kind(HISTORIES)).select(["bucket", "kind", "x", "c", "m"])
+            yield scattered((((v >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32), {"x": v, "c": few.ravel(), "m": np.add.reduceat(mass[order], head)}), **kind(HISTORIES))
             yield one_row(bucket, {"x": x[:0], "c": ints, "m": np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3).astype(float)}, **kind(SPECTRUM))
             often = c >= heavy
             yield one_row(bucket, {"x": x[often], "c": c[often], "m": floats}, **kind(HEAVY))
@@ -209,9 +209,8 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Broadcast, heavy: B
     Training texts ask with e = 0. Others ask with what a seen pair of frequent words changes
     beside its count; where a word is rare they name both.
     """
-    none = {"x": np.zeros(0, np.uint64), "c": np.zeros(0, np.int32)}
     ask = pa.scalar(1, pa.int32())
-    empty = np.zeros(0, np.uint64)
+    empty, none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def changed(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gain, has_v = known.value.of("gain", v)
@@ -227,19 +226,16 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Broadcast, heavy: B
         e[other], both[other] = changed(v[other], w[other])
         ld, often = heavy.value.of("ld", x)
         often &= both  # a heavy pair has frequent words
-        key = t[often]
+        rest, key = ~often, t[often]
         order, head = groups(key)
         if len(head):
             value = ld[often] + e[often]
-            yield scattered(np.full(len(head), -1, np.int32), {"x": empty, "c": none["c"], "t": key[order][head], "e": np.add.reduceat(value[order], head), "ht": empty, "hv": empty, "hw": empty}, kind=ask)
-        rest = ~often
+            yield scattered((np.full(len(head), -1, np.int32), {"x": empty, "c": none, "t": key[order][head], "e": np.add.reduceat(value[order], head), "ht": empty, "hv": empty, "hw": empty}), kind=ask)
         t, v, w, x, e, both = t[rest], v[rest], w[rest], x[rest], e[rest], both[rest]
         bucket = _bucket(x, w, known.value.find(w)[1], buckets)
         a, b = np.flatnonzero(both), np.flatnonzero(~both)
-        if len(a):
-            yield scattered(bucket[a], {"x": x[a], "c": none["c"], "t": t[a], "e": e[a], "ht": empty, "hv": empty, "hw": empty}, kind=ask)
-        if len(b):
-            yield scattered(bucket[b], {"x": empty, "c": none["c"], "t": empty, "e": np.zeros(0), "ht": t[b], "hv": v[b], "hw": w[b]}, kind=ask)
+        if len(t):
+            yield scattered((bucket[a], {"x": x[a], "c": none, "t": t[a], "e": e[a]}), (bucket[b], {"ht": t[b], "hv": v[b], "hw": w[b]}), kind=ask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -260,21 +256,27 @@ def pair_lookups(part: int, parts: int, buckets: int, known: Broadcast, heavy: B
     return run
 
 
-def answered(buckets: int, known: Broadcast, begin: tuple[float, float], d: list[float]):
+def answered(cells_of_text: int, known: Broadcast, begin: tuple[float, float], d: list[float]):
     """Sums by text over the pairs that were seen, by bucket of the text; and rare words whose values are still to be added. A bucket's counts come before what is asked of it."""
     empty = np.zeros(0, np.uint64)
 
-    def sums(t: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    def seen_in(table: np.ndarray, counts: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+        seen = np.flatnonzero(table[at] == x)
+        return seen, log_discounted(counts[at[seen]], d)
+
+    def flushed(sums: list, firsts: list, seconds: list) -> Iterator[pa.RecordBatch]:
+        t, value, vt, v, wt, w = (np.concatenate(x) if x else empty for held in (sums, firsts, seconds) for x in (list(zip(*held, strict=True)) or ([], [])))
         order, head = groups(t)
-        t, value = t[order][head], np.add.reduceat(value[order], head) if len(head) else value[:0]
-        return scattered(((t >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32), {"t": t, "score": value, "vt": empty, "v": empty, "wt": empty, "w": empty})
+        t, value = t[order][head], np.add.reduceat(value[order], head) if len(head) else np.zeros(0)
+        bucket = ((t >> np.uint64(16)) % np.uint64(cells_of_text)).astype(np.int32)
+        none = np.zeros(len(vt), np.int32), np.zeros(len(wt), np.int32)
+        yield scattered((bucket, {"t": t, "score": value}), (none[0], {"vt": vt, "v": v}), (none[1], {"wt": wt, "w": w}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, table, counts, held = None, empty, np.zeros(0, np.int32), []
+        last, table, counts, size = None, empty, np.zeros(0, np.int32), 0
+        held: tuple[list, list, list] = ([], [], [])
         for bucket, (x, c, t, e, ht, hv, hw) in cells(batches, ("x", "c", "t", "e", "ht", "hv", "hw")):
-            if bucket != last and held:
-                yield sums(*(np.concatenate(y) for y in zip(*held, strict=True)))
-                held = []
             if bucket != last:
                 last, table, counts = bucket, empty, np.zeros(0, np.int32)
             x, t, ht, hv, hw = (y.view(np.uint64) for y in (x, t, ht, hv, hw))
@@ -282,26 +284,25 @@ def answered(buckets: int, known: Broadcast, begin: tuple[float, float], d: list
                 table, counts = x, c
                 continue
             if bucket < 0:
-                held.append((t, e))
-                continue
-            for asked, of, value, v, w in ((x, t, e, None, None), (pair_hash(hv, hw), ht, np.zeros(len(ht)), hv, hw)):
-                if not len(asked) or not len(table):
-                    continue
-                at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
-                seen = np.flatnonzero(table[at] == asked)
-                score = log_discounted(counts[at[seen]], d) + value[seen]
-                of = of[seen]
-                if v is not None:  # frequent ones are added here
-                    v, w = v[seen], w[seen]
-                    gain, has_v = known.value.of("gain", v)
-                    lp, has_w = known.value.of("lp", w)
-                    first = v == BEGIN
-                    score += np.where(first, begin[0] - begin[1], gain) - lp
-                    rare_v, rare_w = ~has_v & ~first, ~has_w
-                    yield one_row(0, {"t": empty, "score": np.zeros(0), "vt": of[rare_v], "v": v[rare_v], "wt": of[rare_w], "w": w[rare_w]})
-                held.append((of, score))
-        if held:
-            yield sums(*(np.concatenate(y) for y in zip(*held, strict=True)))
+                held[0].append((t, e))
+            elif len(table):
+                seen, score = seen_in(table, counts, x)
+                held[0].append((t[seen], score + e[seen]))
+                seen, score = seen_in(table, counts, pair_hash(hv, hw))
+                ht, hv, hw = ht[seen], hv[seen], hw[seen]  # what is frequent is added here
+                gain, has_v = known.value.of("gain", hv)
+                lp, has_w = known.value.of("lp", hw)
+                first = hv == BEGIN
+                held[0].append((ht, score + np.where(first, begin[0] - begin[1], gain) - lp))
+                rare_v, rare_w = ~has_v & ~first, ~has_w
+                held[1].append((ht[rare_v], hv[rare_v]))
+                held[2].append((ht[rare_w], hw[rare_w]))
+            size += len(t) + len(ht)
+            if size >= FLUSH:
+                yield from flushed(*held)
+                held, size = ([], [], []), 0
+        if size:
+            yield from flushed(*held)
 
     return run
 
@@ -349,6 +350,18 @@ def word_sums(known: Broadcast, begin: tuple[float, float]):
     return run
 
 
+def least_frequent(words: DataFrame) -> int:
+    """The least count of which, with all greater ones, at most FREQUENT words are. Counts are told by sixteenths of powers of two, so no words are sorted."""
+    bins = words.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("bin")).collect()
+    least, total = 1 << 62, 0
+    for r in bins:  # no more than 1,024
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["least"]
+    return int(least)
+
+
 def told_apart(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """docs with t, 64 bits of the text that no other text of docs shares, and (t, copies)."""
     for seed in range(16):
@@ -359,7 +372,7 @@ def told_apart(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     raise RuntimeError("no hash tells the texts apart")
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: int = 4) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: int = 2) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text, any other columns).
 
     Counts are learnt from the rows for which `train` holds (null: it does not). Tokens are
@@ -389,8 +402,8 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     unseen = max(1.0 - seen, 1.0 / (tokens + 1))  # with no count to discount, one token's share is kept back
     scale = (1.0 - unseen) / seen if seen else 1.0
     words = words.withColumn("p", F.col("p") * F.lit(scale))
-    frequent = words.orderBy(F.desc("c"), "w").limit(FREQUENT)
-    top = frequent.select("w", "p").toPandas()
+    least = least_frequent(words)
+    top = words.where(F.col("c") >= least).select("w", "p").toPandas()
     share = spark.sparkContext.broadcast
     known = share(Known(top["w"].to_numpy(np.int64).view(np.uint64), p=top["p"].to_numpy(float)))
 
@@ -444,25 +457,28 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     begin = (float(of_begin[0]), float(of_begin[1])) if of_begin else (0.0, 0.0)
     words = rows.where("c is not null")
     # fit and unseen: what a token adds to a training text's score and another's; gain and lp: what a seen pair changes
-    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).select("w", "base", "lp", "fit", (F.col("lp") + F.col("back")).alias("unseen"), (F.col("fit") - F.col("back")).alias("gain")).toPandas()
+    top = words.where(F.col("c") >= least).select("w", "base", "lp", "fit", (F.col("lp") + F.col("back")).alias("unseen"), (F.col("fit") - F.col("back")).alias("gain")).toPandas()
     known = share(Known(top["w"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in ("base", "lp", "fit", "unseen", "gain")}))
     heavy = share(Known(np.concatenate(heavy_x).view(np.uint64), ld=log_discounted(np.concatenate(heavy_c), d2)))
 
+    cells_of_text = max(8, -(-tokens // passes // FLUSH))
     sums, asked = [], []
     for part, table in enumerate(tables):
         ask = read.mapInArrow(pair_lookups(part, passes, buckets, known, heavy, begin), ASKED)
         both = table.select("bucket", F.lit(0).alias("kind"), "x", "c").unionByName(ask, allowMissingColumns=True)
         empty = [F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("t", "array<long>"), ("e", "array<double>"), ("ht", "array<long>"), ("hv", "array<long>"), ("hw", "array<long>"))]
         # sums over heavy pairs are dealt over the buckets, each after its own
-        both = both.select(F.when(F.col("bucket") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("bucket") < 0, 2).otherwise(F.col("kind")).alias("kind"), "x", "c", *empty)
+        given = F.col("bucket") < 0
+        both = both.select(F.when(given, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")).alias("bucket"), F.when(given, 2).otherwise(F.col("kind")).alias("kind"), "x", "c", *empty)
         found = together(both, "kind").select(F.when(F.col("kind") == 2, -1 - F.col("bucket")).otherwise(F.col("bucket")).alias("bucket"), "x", "c", "t", "e", "ht", "hv", "hw")
-        found = keep(found.mapInArrow(answered(buckets, known, begin, d2), FOUND), f"{folder}/found{part}")
+        found = keep(found.mapInArrow(answered(cells_of_text, known, begin, d2), FOUND), f"{folder}/found{part}")
         drop(spark, f"{folder}/table{part}")
         of_text = together(found.where(F.size("t") > 0).select("bucket", "t", "score")).mapInArrow(summed, "t long, score double")
         sums.append(keep(of_text, f"{folder}/sums{part}"))
-        rare = F.arrays_zip(F.col("vt").alias("t"), F.col("v").alias("w")), F.arrays_zip(F.col("wt").alias("t"), F.col("w").alias("w"))
-        for name, column in zip(("v", "w"), rare, strict=True):
-            asked.append(found.where(F.size(name) > 0).select(F.explode(column).alias("x")).select(F.col("x.t").alias("t"), F.col("x.w").alias("w"), F.lit(name).alias("as")))
+        pairs = {"v": F.arrays_zip(F.col("vt").alias("t"), F.col("v").alias("w")), "w": F.arrays_zip(F.col("wt").alias("t"), F.col("w").alias("w"))}
+        more = [found.where(F.size(name) > 0).select(F.explode(column).alias("x")).select("x.t", "x.w", F.lit(name).alias("as")) for name, column in pairs.items()]
+        asked.append(keep(more[0].unionByName(more[1]), f"{folder}/asked{part}"))
+        drop(spark, f"{folder}/found{part}")
 
     by_word = keep(read.mapInArrow(word_sums(known, begin), "t long, w long, n int, train boolean, base double, score double"), f"{folder}/by_word")
     rest = by_word.where("w is not null").select("t", "w", "n", F.when(F.col("train"), "train").otherwise("other").alias("as"))
@@ -492,7 +508,7 @@ def _score_texts(spark: SparkSession, docs: DataFrame, train: Column, passes: in
     total = keep(total.select("t", *[(F.col(c) / F.col("copies")).alias(c) for c in names]), f"{folder}/total")
     known.destroy()
     heavy.destroy()
-    for name in ("by_word", "words", *(f"{x}{part}" for part in range(passes) for x in ("found", "sums"))):
+    for name in ("by_word", "words", *(f"{x}{part}" for part in range(passes) for x in ("asked", "sums"))):
         drop(spark, f"{folder}/{name}")
     out = docs.select("doc_id", "t").join(total, "t")
     return out.select("doc_id", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
