@@ -3,11 +3,12 @@
 Windows are first dealt by content: the least hash of any 64 bytes in a 200-byte window (its
 anchor) is the same wherever the window stands, so only anchors that occur twice can hold
 repeats, and all occurrences of a window meet under one anchor. Runs of windows with one
-anchor are cut out as short segments; equal ones are one. The segments of a block are a
-collection of documents whose Burrows-Wheeler transform and common prefixes are built
-column by column: each round puts one symbol of every segment, from the right, into both
-sequences and updates the common prefixes of what it has put in. Suffixes next to each
-other that share 200 bytes are repeats.
+anchor are cut out as short segments; equal ones are one. As all segments of an anchor hold
+its 64 bytes, three symbols that name the anchor stand for them, which makes the segments
+shorter and keeps anchors apart. The segments of a block are a collection of documents whose
+Burrows-Wheeler transform and common prefixes are built column by column: each round puts
+one symbol of every segment, from the right, into both sequences and updates the common
+prefixes of what it has put in. Suffixes next to each other that share a window are repeats.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from postloom.llm.store import drop, keep, partitions, shared_folder
 ANCHOR = 64
 #: Segments of a block; distinct segments from which an anchor is resolved window by window.
 BLOCK, HOT = 500, 20_000
-NOTHING = 255  # no byte of UTF-8
+NOTHING, NAME = 255, 254  # no bytes of UTF-8
 
 
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(length: int):
-    """(k1, k2, anchor, start, run, twice): `run` windows from `start` on share an anchor, which is in them more than once or not."""
+    """(k1, k2, anchor, start, run, at, twice): `run` windows from `start` on share an anchor, which stands `at` bytes after the start and is in them more than once or not."""
     reach = length - ANCHOR + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +76,18 @@ def anchored_runs(length: int):
                 since = np.arange(len(new)) - np.repeat(head, np.diff(np.append(head, len(new))))
                 head = np.flatnonzero(since % reach == 0)  # a periodic text keeps its anchor for long
                 runs = np.diff(np.append(head, len(new)))
-                twice = _occurrences(hashes, anchor[head], at[doc[head]] + start[head], runs + reach - 1) > 1
+                times, place = _occurrences(hashes, anchor[head], at[doc[head]] + start[head], runs + reach - 1)
+                place = (place - at[doc[head]] - start[head]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[i + doc[head]]), pa.array(k2[i + doc[head]]), pa.array(anchor[head].view(np.int64)), pa.array(start[head].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(twice)],
-                    names=["k1", "k2", "anchor", "start", "run", "twice"],
+                    [pa.array(k1[i + doc[head]]), pa.array(k2[i + doc[head]]), pa.array(anchor[head].view(np.int64)), pa.array(start[head].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(place), pa.array(times > 1)],
+                    names=["k1", "k2", "anchor", "start", "run", "at", "twice"],
                 )
 
     return run
 
 
-def _occurrences(hashes: np.ndarray, value: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """How often each value is among hashes[start : start + width]."""
+def _occurrences(hashes: np.ndarray, value: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each value is among hashes[start : start + width], where it always is, and its first place."""
     values = np.unique(value)
     maybe = np.zeros(1 << 16, bool)
     maybe[(values >> np.uint64(48)).astype(np.int64)] = True
@@ -94,11 +96,12 @@ def _occurrences(hashes: np.ndarray, value: np.ndarray, start: np.ndarray, width
     right = values[found] == hashes[at]
     keys = np.sort(found[right].astype(np.int64) << 32 | at[right])
     low = np.searchsorted(values, value).astype(np.int64) << 32 | start
-    return np.searchsorted(keys, low + width) - np.searchsorted(keys, low)
+    first = np.searchsorted(keys, low)
+    return np.searchsorted(keys, low + width) - first, keys[first] & 0xFFFFFFFF
 
 
 def cut_segments(length: int):
-    """(k1, k2, anchor, start, digest, segment, n, twice) for a text's list of runs."""
+    """(k1, k2, anchor, start, digest, segment, at, n, twice) for a text's list of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +118,11 @@ def cut_segments(length: int):
                         pa.array([r["start"] for r in runs], pa.int32()),
                         pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in parts], pa.binary()),
                         pa.array(parts, pa.binary()),
+                        pa.array([r["at"] for r in runs], pa.int32()),
                         pa.array([r["n"] for r in runs], pa.int64()),
                         pa.array([r["twice"] for r in runs], pa.bool_()),
                     ],
-                    names=["k1", "k2", "anchor", "start", "digest", "segment", "n", "twice"],
+                    names=["k1", "k2", "anchor", "start", "digest", "segment", "at", "n", "twice"],
                 )
 
     return run
@@ -211,23 +215,38 @@ def _ranges(flags: np.ndarray) -> list[dict]:
 
 
 def blocks_ordered(length: int):
-    """(anchor, digest, ranges): ranges of repeated windows in each segment. Rows come sorted by anchor, whose segments stay together."""
+    """(anchor, digest, ranges): ranges of repeated windows in each segment. Rows come sorted by anchor, whose segments stay together.
 
-    def of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        flags = repeated_windows([r[2] for r in rows], length)
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([_ranges(f) for f in flags], kind)], names=["anchor", "digest", "ranges"])
+    Where an anchor's place in its segments is one, the anchor's bytes are replaced by its
+    number in the block; a window is then shorter by as much, and their number stays the same.
+    """
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def of(rows: list[tuple[int, bytes, bytes, int, bool]]) -> Iterator[pa.RecordBatch]:
+        number: dict[int, bytes] = {}
+        for again in (False, True):
+            mine = [r for r in rows if r[4] == again]
+            if not mine:
+                continue
+            segments, shorter = [r[2] for r in mine], 0
+            if not again:
+                for r in mine:
+                    number.setdefault(r[0], bytes((NAME, len(number) // 250 % 250, len(number) % 250)))
+                segments = [r[2][: r[3]] + number[r[0]] + r[2][r[3] + ANCHOR :] for r in mine]
+                shorter = ANCHOR - 3
+            flags = repeated_windows(segments, length - shorter)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in mine], pa.int64()), pa.array([r[1] for r in mine], pa.binary()), pa.array([_ranges(f) for f in flags], kind)], names=["anchor", "digest", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, bytes, int, bool]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "segment")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "segment", "at", "again")), strict=True):
                 if len(held) >= BLOCK and row[0] != held[-1][0]:
-                    yield of(held)
+                    yield from of(held)
                     held = []
                 held.append(row)
         if held:
-            yield of(held)
+            yield from of(held)
 
     return run
 
@@ -281,24 +300,24 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = 200) ->
     folder = shared_folder(spark)
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2"))
-    runs = docs.select("k1", "k2", "text").mapInArrow(anchored_runs(length), "k1 long, k2 long, anchor long, start int, run int, twice boolean")
-    runs = keep(runs.groupBy("k1", "k2", "anchor", "start", "run", "twice").agg(F.count("*").alias("n")), f"{folder}/runs")
+    runs = docs.select("k1", "k2", "text").mapInArrow(anchored_runs(length), "k1 long, k2 long, anchor long, start int, run int, at int, twice boolean")
+    runs = keep(runs.groupBy("k1", "k2", "anchor", "start", "run", "at", "twice").agg(F.count("*").alias("n")), f"{folder}/runs")
     twice = runs.groupBy("anchor").agg(F.sum("n").alias("all"), F.max("twice").alias("twice")).where("all > 1 or twice").select("anchor")
     wanted = runs.join(twice.hint("merge"), "anchor", "left_semi")
-    wanted = keep(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "run", "twice", "n")).alias("runs")), f"{folder}/wanted")
+    wanted = keep(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "run", "at", "twice", "n")).alias("runs")), f"{folder}/wanted")
     drop(spark, f"{folder}/runs")
 
     texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     cut = texts.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "runs")
-    cut = keep(cut.mapInArrow(cut_segments(length), "k1 long, k2 long, anchor long, start int, digest binary, segment binary, n long, twice boolean"), f"{folder}/cut")
+    cut = keep(cut.mapInArrow(cut_segments(length), "k1 long, k2 long, anchor long, start int, digest binary, segment binary, at int, n long, twice boolean"), f"{folder}/cut")
     drop(spark, f"{folder}/wanted")
-    distinct = cut.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.first("segment").alias("segment"), F.max("twice").alias("twice"))
+    distinct = cut.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.first("segment").alias("segment"), F.min("at").alias("at"), F.max("twice").alias("twice"))
     distinct = keep(distinct, f"{folder}/segments")
-    sizes = keep(distinct.groupBy("anchor").agg(F.count("*").alias("segments"), F.max("twice").alias("twice")).where("segments > 1 or twice").drop("twice"), f"{folder}/sizes")
+    sizes = keep(distinct.groupBy("anchor").agg(F.count("*").alias("segments"), F.max("twice").alias("again")).where("segments > 1 or again"), f"{folder}/sizes")
 
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("segment") - length + 1).alias("b")))
     several = distinct.join(sizes.hint("merge"), "anchor")
-    dealt = several.where(F.col("segments") <= HOT).select("anchor", "digest", "segment").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "digest")
+    dealt = several.where(F.col("segments") <= HOT).select("anchor", "digest", "segment", "at", "again").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "digest")
     ordered = dealt.mapInArrow(blocks_ordered(length), "anchor long, digest binary, ranges array<struct<a:int,b:int>>")
     windows = several.where(F.col("segments") > HOT).select("anchor", "digest", "segment").mapInArrow(windows_hashed(length), "anchor long, digest binary, at int, w1 long, w2 long")
     common = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")

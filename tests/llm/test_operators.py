@@ -253,6 +253,18 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     assert [(r.n_bytes, sum(s.b - s.a for s in r.spans), bytes(r.rest)) for r in out] == removed(rows, 100)
 
 
+def test_suffix_dedup_anchors_apart(spark):
+    """Texts equal but for the middle, periodic texts, and passages that begin anywhere: as brute force says."""
+    pick = np.random.default_rng(3)
+    word = lambda n: " ".join(f"q{int(x)}" for x in pick.integers(0, 9000, n))
+    left, right, passage = word(12), word(12), word(50)
+    rows = [(k, f"{left} {word(14)} {right}") for k in range(12)]
+    rows += [(100 + k, f"{word(k)} {passage[k:]} {word(5)}") for k in range(12)]
+    rows += [(200, "ab" * 300), (201, "ab" * 150 + "c" + "ab" * 150), (202, "abcdefg " * 60), (203, word(20) + "abcdefg " * 40)]
+    out = suffix_dedup.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string"), 100).orderBy("doc_id").collect()
+    assert [(r.n_bytes, sum(s.b - s.a for s in r.spans), bytes(r.rest)) for r in out] == removed(rows, 100)
+
+
 def test_collection_order():
     pick = np.random.default_rng(2)
     for _ in range(60):
