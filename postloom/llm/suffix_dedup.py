@@ -3,9 +3,9 @@
 Windows are first dealt by content: the least hash of any 64 bytes in a 200-byte window (its
 anchor) is the same wherever the window stands, so only anchors that occur twice can hold
 repeats, and all occurrences of a window meet under one anchor. Runs of windows with one
-anchor are cut out as short segments; equal ones are one. As all segments of an anchor hold
-its 64 bytes, three symbols that name the anchor stand for them, which makes the segments
-shorter and keeps anchors apart. The segments of a block are a collection of documents whose
+anchor are cut out as short segments; equal ones are one. The bytes around an anchor that
+all its segments share and all their windows hold are named by three symbols, which makes
+segments shorter and keeps anchors apart. The segments of a block are a collection of documents whose
 Burrows-Wheeler transform and common prefixes are built column by column: each round puts
 one symbol of every segment, from the right, into both sequences and updates the common
 prefixes of what it has put in. Suffixes next to each other that share a window are repeats.
@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -188,15 +191,14 @@ def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows stand elsewhere in the collection too."""
+def repeated_windows(segments: list[bytes], need: np.ndarray) -> list[np.ndarray]:
+    """For each segment, which of its windows of `need` symbols stand elsewhere in the collection too."""
     bwt, lcp = collection_order(segments)
     count, lengths = len(segments), np.array([len(s) for s in segments])
-    far = lcp >= length
-    shared = far | np.append(far[1:], False)
+    shared = np.maximum(lcp, np.append(lcp[1:], 0))
     rank = np.empty(len(bwt), np.int64)
     rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-    windows = lengths - length + 1
+    windows = lengths - need + 1
     first = np.cumsum(windows) - windows
     flags = np.zeros(int(windows.sum()), bool)
     who, place = np.arange(count), np.arange(count)
@@ -204,11 +206,22 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
         stays = lengths[who] >= j
         who, place = who[stays], place[stays]
         place = count + rank[place]
-        if j >= length:
-            flags[first[who] + lengths[who] - j] = shared[place]
+        whole = need[who] <= j
+        of = who[whole]
+        flags[first[of] + lengths[of] - j] = shared[place[whole]] >= need[of]
     return np.split(flags, first[1:])
 
 
+def named(rows: list[tuple[bytes, int]], length: int, name: bytes) -> tuple[list[bytes], int]:
+    """Segments of one anchor, each with the anchor's place, in which the name stands for what all of them and all their windows hold; and the symbols of a window then."""
+    # all windows of a segment hold its bytes from the last window's start to the first one's end
+    before = min(at + length - len(x) for x, at in rows)
+    after = min(length - ANCHOR - at for _, at in rows)
+    left = len(commonprefix([x[at - before : at][::-1] for x, at in rows]))
+    right = len(commonprefix([x[at + ANCHOR : at + ANCHOR + after] for x, at in rows]))
+    return [x[: at - left] + name + x[at + ANCHOR + right :] for x, at in rows], length - (left + ANCHOR + right) + len(name)
+
+
 def _ranges(flags: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[0::2], edge[1::2], strict=True)]
@@ -217,36 +230,33 @@ def _ranges(flags: np.ndarray) -> list[dict]:
 def blocks_ordered(length: int):
     """(anchor, digest, ranges): ranges of repeated windows in each segment. Rows come sorted by anchor, whose segments stay together.
 
-    Where an anchor's place in its segments is one, the anchor's bytes are replaced by its
-    number in the block; a window is then shorter by as much, and their number stays the same.
+    An anchor that some segment holds more than once is not named.
     """
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def of(rows: list[tuple[int, bytes, bytes, int, bool]]) -> Iterator[pa.RecordBatch]:
-        number: dict[int, bytes] = {}
-        for again in (False, True):
-            mine = [r for r in rows if r[4] == again]
-            if not mine:
-                continue
-            segments, shorter = [r[2] for r in mine], 0
-            if not again:
-                for r in mine:
-                    number.setdefault(r[0], bytes((NAME, len(number) // 250 % 250, len(number) % 250)))
-                segments = [r[2][: r[3]] + number[r[0]] + r[2][r[3] + ANCHOR :] for r in mine]
-                shorter = ANCHOR - 3
-            flags = repeated_windows(segments, length - shorter)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in mine], pa.int64()), pa.array([r[1] for r in mine], pa.binary()), pa.array([_ranges(f) for f in flags], kind)], names=["anchor", "digest", "ranges"])
+    def of(rows: list[tuple[int, bytes, bytes, int, bool]]) -> pa.RecordBatch:
+        segments, need = [], []
+        for n, (_, group) in enumerate(groupby(rows, itemgetter(0))):
+            mine = list(group)
+            if mine[0][4]:
+                found, symbols = [r[2] for r in mine], length
+            else:
+                found, symbols = named([(r[2], r[3]) for r in mine], length, bytes((NAME, n // 250 % 250, n % 250)))
+            segments += found
+            need += [symbols] * len(found)
+        flags = repeated_windows(segments, np.array(need))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([_ranges(f) for f in flags], kind)], names=["anchor", "digest", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, bool]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "segment", "at", "again")), strict=True):
                 if len(held) >= BLOCK and row[0] != held[-1][0]:
-                    yield from of(held)
+                    yield of(held)
                     held = []
                 held.append(row)
         if held:
-            yield from of(held)
+            yield of(held)
 
     return run
 
