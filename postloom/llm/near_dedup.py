@@ -24,36 +24,43 @@ from pyspark.sql import functions as F
 from postloom.llm.bytehash import Words, chunks, shingles, text_bytes
 from postloom.llm.store import drop, keep, partitions, shared_folder
 
-PERMUTATIONS, BANDS, BLOCK = 60, 24, 512
+PERMUTATIONS, BLOCK = 60, 512
+VALUES, MISSED = 2 * PERMUTATIONS, 1e-6
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, (PERMUTATIONS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FOLD = _RNG.integers(1, 1 << 63, (2 * PERMUTATIONS // BANDS, 1), dtype=np.uint64) | np.uint64(1)
-_BAND = _RNG.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_FOLD = _RNG.integers(1, 1 << 63, (VALUES, 1), dtype=np.uint64) | np.uint64(1)
+_BAND = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SIGNATURE = "doc_id long, t1 long, t2 long, n_shingles long, digest binary, bands array<long>, sketch binary"
+
+
+def band_rows(percent: int) -> int:
+    """The most values a band can have if a pair at the threshold is to miss all bands with a chance of MISSED at most."""
+    fit = [r for r in range(1, VALUES + 1) if VALUES % r == 0 and (1 - (percent / 100) ** r) ** (VALUES // r) <= MISSED]
+    return max(fit, default=1)
 
 
 def min_max(values: np.ndarray) -> np.ndarray:
-    """The 120 signature values of a set of hashes: all minima, then all maxima."""
+    """The 120 signature values of a set of hashes: all minima, then all maxima, moved on by one."""
     low, high = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
     x = (values >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(x), 2048):
         y = (x[None, k : k + 2048] ^ _XOR) * _MUL
         np.minimum(low, y.min(axis=1), out=low)
         np.maximum(high, y.max(axis=1), out=high)
-    return np.concatenate((low, high))
+    return np.concatenate((low, np.roll(high, 1)))
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band; a permutation's minimum and maximum never share a band."""
-    rows = signature.reshape(-1, BANDS).astype(np.uint64)
-    h = (rows * _FOLD).sum(axis=0, dtype=np.uint64) + _BAND
+def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of so many values; a permutation's minimum and maximum never share a band."""
+    bands = VALUES // rows
+    h = (signature.reshape(rows, bands).astype(np.uint64) * _FOLD[:rows]).sum(axis=0, dtype=np.uint64) + _BAND[:bands]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def signatures(width: int):
+def signatures(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -67,15 +74,15 @@ def signatures(width: int):
                     if len(values):
                         signature = min_max(values)
                         digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-                        bands.append(band_hashes(signature))
+                        bands.append(band_hashes(signature, rows))
                         sketches.append(signature.astype(np.uint8).tobytes())
                     else:
                         digests.append(None)
                         bands.append(np.empty(0, np.int64))
                         sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [*(batch.column(c).cast(pa.int64()) for c in ("doc_id", "t1", "t2")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "t1", "t2", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return run
@@ -116,8 +123,8 @@ def confirmed(width: int, percent: int):
 
 def confirm(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """A document in many pairs is a skewed join that Spark splits."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     return joined.select("a", "b", "left", "right").mapInArrow(confirmed(width, percent), "a long, b long").distinct()
 
@@ -197,22 +204,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     Documents are linked when 100 * intersection >= percent * union of their sets of
     `width`-word shingles. Null or word-free texts have an empty set and are linked with
     nothing. A null doc_id names no document: n_shingles is given, component_id is null and
-    kept is true. Rows that share a doc_id are one document; repeated rows come back repeated.
-    Texts of any length are used whole.
+    kept is true. Rows that share a doc_id are one document: they come back one by one, each
+    with the set size of its own text, but in one component, which holds what any of them is
+    linked with. An empty table gives an empty one. Texts of any length are used whole.
     """
     folder = shared_folder(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = keep(docs.mapInArrow(signatures(width), SIGNATURE), f"{folder}/signatures")
-    named = signed.where("doc_id is not null")
-    nodes = named.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
-    nodes = keep(nodes.select("digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch"), f"{folder}/nodes")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"))
+    signed = keep(docs.mapInArrow(signatures(width, band_rows(percent)), SIGNATURE), f"{folder}/signatures")
+    named = signed.where("doc_id is not null and digest is not null")
+    # one node for each set; its number is fixed as the table is written
+    nodes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "t1", "t2", "n_shingles", "bands", "sketch")).alias("x"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "x.doc_id", "x.t1", "x.t2", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch")
+    nodes = keep(nodes, f"{folder}/nodes")
+    several = named.select("doc_id", "digest").distinct()
+    several = several.join(several.groupBy("doc_id").count().where("count > 1").select("doc_id").hint("merge"), "doc_id").join(nodes.select("digest", "node").hint("merge"), "digest")
+    of_one = several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = keep(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1"), f"{folder}/buckets")
     stars = keep(banded.join(buckets, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct(), f"{folder}/stars")
-    # only texts named in a pair are carried further
-    named_ids = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = keep(docs.where("doc_id is not null").join(named_ids.hint("merge"), "doc_id", "left_semi"), f"{folder}/texts")
+    # only texts named in a pair are carried further, each once
+    paired = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    keys = nodes.select("node", "t1", "t2").join(paired.hint("merge"), "node")
+    texts = docs.select("t1", "t2", "text").join(keys.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    texts = keep(texts.join(keys.hint("merge"), ["t1", "t2"]).select("node", "text"), f"{folder}/texts")
     links = keep(confirm(texts, stars, width, percent), f"{folder}/links1")
     first = components(spark, links, f"{folder}/first")
 
@@ -232,15 +248,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     )
     main = F.transform(to("few"), lambda k: cell(1, k, F.pmod("h", F.col("many")), F.lit(1)))
     dealt = dealt.select("family", "node", "label", F.explode(F.when(F.col("label") == F.col("main"), main).otherwise(minor)).alias("x")).select("family", "node", "label", "x.*")
-    dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").join(texts.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")
+    dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").join(texts.hint("merge"), "node")
     dealt = dealt.repartition(partitions(spark), "family", "kind", "i", "j").sortWithinPartitions("family", "kind", "i", "j", "node")
     more = dealt.select("family", "kind", "i", "j", "side", "node", "label", "n", "sketch", "text").mapInArrow(blocks_linked(width, percent), "a long, b long").distinct()
-    links = keep(links.union(more), f"{folder}/links")
+    links = keep(links.union(more).union(of_one), f"{folder}/links")
     final = components(spark, links, f"{folder}/final")
 
-    classes = nodes.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    # rows of one doc_id with different texts are one document: its smallest component holds
+    classes = nodes.join(final, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.select("digest", "label").join(least, "label").select("digest", "component_id")
     out = signed.where("doc_id is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a row without words goes with the others of its doc_id
+    alone = out.where("component_id is null").select("doc_id").distinct().join(out.where("component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("other")), "doc_id")
+    out = out.join(alone, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "other", "doc_id").alias("component_id"))
     nameless = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = keep(out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), f"{folder}/out")
+    for name in ("signatures", "nodes", "buckets", "stars", "texts", "links1", "members", "sizes", "links"):
+        drop(spark, f"{folder}/{name}")
+    return out

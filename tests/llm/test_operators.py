@@ -185,6 +185,32 @@ def test_near_dedup_odd_rows(spark, docs, empty):
     assert near_dedup.near_duplicates(spark, empty).count() == 0
 
 
+def test_near_dedup_rows_of_one_id(spark):
+    """An id with two texts joins what either is linked with."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, b), (9, a), (7, c), (7, ""), (8, c), (4, c + " c60")]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(2, 58, 2, True), (4, 59, 4, True), (5, 58, 2, False), (5, 58, 2, False), (7, 0, 4, False), (7, 58, 4, False), (8, 58, 4, False), (9, 58, 2, False)]
+
+
+def test_bands_of_a_threshold():
+    for percent in (50, 70, 80, 85, 90, 95):
+        rows = near_dedup.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (120 // rows) <= 1e-6
+    assert [near_dedup.band_rows(p) for p in (80, 85)] == [4, 5]
+    for rows in (4, 5):  # which band each value falls in
+        band = np.arange(120) % (120 // rows)
+        assert (band[:60] != band[60:][np.roll(np.arange(60), -1)]).all()
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_dedup_of_a_table(spark, width, percent):
+    """All pairs of the small table, as brute force finds them: every link there is."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    assert got == components(rows, width, percent)
+
+
 # --- 4
 
 
