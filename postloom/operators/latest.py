@@ -18,10 +18,12 @@ def latest_wins(proposals: DataFrame, exempt: str = "false") -> tuple[DataFrame,
     group = Window.partitionBy("author_key", "topic_id", "_free", F.when(F.col("_free"), F.col("ord")))
     order = group.orderBy(F.desc("chosen_lou"), F.desc("ord"))
     out = out.withColumn("_rank", F.row_number().over(order)).withColumn("_winner", F.first("chosen_lou").over(order))
-    losers = F.collect_list(F.when(F.col("_rank") > 1, F.col("source_lous"))).over(group)
-    out = out.withColumn("superseded_lous", F.array_sort(F.array_distinct(F.flatten(losers))))
-    kept = out.where("_rank = 1").drop("_free", "_rank", "_winner")
-    lost = out.where("_rank > 1").withColumn("superseded_by_lou", F.col("_winner")).drop("_free", "_rank", "_winner", "superseded_lous")
+    lost = out.where("_rank > 1").withColumn("superseded_by_lou", F.col("_winner")).drop("_free", "_rank", "_winner")
+    older = lost.select(F.col("author_key").alias("_author"), F.col("topic_id").alias("_topic"), F.explode("source_lous").alias("_lou"))
+    older = older.groupBy("_author", "_topic").agg(F.array_sort(F.collect_set("_lou")).alias("superseded_lous"))
+    kept = out.where("_rank = 1").join(older, F.col("author_key").eqNullSafe(F.col("_author")) & F.col("topic_id").eqNullSafe(F.col("_topic")) & ~F.col("_free"), "left")
+    kept = kept.withColumn("superseded_lous", F.coalesce("superseded_lous", F.array().cast(dict(lost.dtypes)["source_lous"])))
+    kept = kept.drop("_free", "_rank", "_winner", "_author", "_topic")
     return kept, lost
 
 

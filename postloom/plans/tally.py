@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions.markup import clean_post, reply_context, unescaped_twice
@@ -44,8 +45,25 @@ class Tally:
         return dict(vars(self))
 
 
+def holds_object(reply: str | None) -> bool:
+    """Whether the reply, or what stands from its first brace to its last, is a JSON object."""
+    text = (reply or "").strip()
+    for part in (text, text[text.find("{") : text.rfind("}") + 1]):
+        try:
+            if isinstance(json.loads(part), dict):
+                return True
+        except ValueError:
+            continue
+    return False
+
+
+def proposal_id(ord: Column, item_no: Column) -> Column:
+    """Tells proposals apart and orders them: by post, then by item; those that are no item of a reply have negative numbers."""
+    return F.struct(ord.cast("long").alias("ord"), item_no.cast("long").alias("item_no"))
+
+
 def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int = 2) -> DataFrame:
-    """(author_key, reply): the classifier's answer to each pack as JSON text; null where it failed or gave no object.
+    """(author_key, reply): the classifier's answer to each pack as JSON text; null where it failed. It is asked again while the answer holds no JSON object.
 
     A failure counts for its own pack alone. As many packs are asked at a time as there are partitions.
     """
@@ -62,7 +80,7 @@ def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int
                     except Exception:  # noqa: BLE001  whatever a remote service throws
                         reply = None
                         break
-                    if reply and "{" in reply:
+                    if holds_object(reply):
                         break
                 replies.append(reply)
             yield pd.DataFrame({"author_key": batch["author_key"], "reply": replies})
@@ -83,7 +101,7 @@ def unclassified(candidates: DataFrame, note: str = "") -> DataFrame:
         F.lit(None).cast("double").alias("confidence"),
         F.lit(True).alias("needs_manual_review"),
         F.lit(note).alias("note"),
-        "ord",
+        proposal_id(F.col("ord"), F.lit(-1)).alias("ord"),
     )
 
 
@@ -109,7 +127,7 @@ def normalised(candidates: DataFrame, replies: DataFrame) -> tuple[DataFrame, Da
     items = items.join(post, ["author_key", "chosen_lou"])
     refused_qa = qa_without_marker(F.col("topic_id"), F.col("quoted"), F.coalesce("normalized_anchor_text", F.lit("")), F.col("post"))
     proposals = items.where(~refused_qa).withColumn("needs_manual_review", F.col("review") | F.col("sources_missing"))
-    proposals = proposals.withColumn("ord", F.col("ord") * 100 + F.col("item_no")).select(*PROPOSAL)
+    proposals = proposals.withColumn("ord", proposal_id(F.col("ord"), F.col("item_no"))).select(*PROPOSAL)
     by_filter = items.where(refused_qa).select("author_key", F.col("chosen_lou").alias("lou"), "topic_id", F.lit("引用回复且没有提问标记").alias("ignore_reason"), F.lit("reply_quote_filter").alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
     named = parsed.select("author_key", F.posexplode("r.ignored_posts").alias("n", "i"))
     lous = F.coalesce(F.nullif(int_list(F.col("i.source_lous")), F.array().cast("array<bigint>")), F.array(F.col("i.lou").try_cast("long")))
@@ -118,8 +136,8 @@ def normalised(candidates: DataFrame, replies: DataFrame) -> tuple[DataFrame, Da
     blank = candidates.select("author_key", "lou", F.explode(placeholder_topics(F.col("content"))).alias("topic_id"), F.lit("未填写占位内容").alias("ignore_reason"), F.lit("placeholder").alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
     refused = named.unionByName(by_filter).unionByName(new_pairs(blank, named))
     proxied, refused = proxies_recovered(refused, candidates, proxy_reason)
-    back = candidates.select("lou", "content").join(proxied.select("author_key", "lou", "topic_id", "proxy_reason", "ord"), "lou")
-    back = back.select("author_key", "topic_id", F.col("lou").alias("chosen_lou"), F.array("lou").alias("source_lous"), F.col("content").alias("normalized_anchor_text"), F.create_map().cast("map<string,string>").alias("fields"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_manual_review"), F.col("proxy_reason").alias("note"), "ord")
+    back = candidates.select("lou", "content", F.col("ord").alias("post")).join(proxied.select("author_key", "lou", "topic_id", "proxy_reason", "ord"), "lou")
+    back = back.select("author_key", "topic_id", F.col("lou").alias("chosen_lou"), F.array("lou").alias("source_lous"), F.col("content").alias("normalized_anchor_text"), F.create_map().cast("map<string,string>").alias("fields"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_manual_review"), F.col("proxy_reason").alias("note"), proposal_id(F.col("post"), -2 - F.col("ord")).alias("ord"))
     proposals = proposals.unionByName(back).unionByName(unclassified(candidates.join(failed, "author_key", "left_semi"), "分类失败"))
     used = proposals.select(F.explode("source_lous").alias("lou"))
     bare = uncovered(candidates.select("author_key", "lou", "ord"), used, refused)
@@ -156,6 +174,7 @@ def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: Data
     found = reply_targets(asks, offers).join(offers.select(F.col("proposal_id").alias("target"), "topic_id", F.col("normalized_anchor_text").alias("meant")), "target")
     back = asks.join(found.select("lou", "topic_id", "meant"), "lou")
     back = back.select("author_key", "topic_id", F.col("lou").alias("chosen_lou"), F.array("lou").alias("source_lous"), F.concat(F.lit("加权："), F.coalesce("hint", "meant", F.lit(""))).alias("normalized_anchor_text"), F.create_map().cast("map<string,string>").alias("fields"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("needs_manual_review"), F.lit("回复加权").alias("note"), "ord")
+    back = back.withColumn("ord", proposal_id(F.col("ord"), F.lit(-1)))
     there = proposals.select(F.explode("source_lous").alias("lou"), "topic_id")
     fresh = new_pairs(back.withColumn("lou", F.col("chosen_lou")), there).drop("lou")
     return proposals.unionByName(fresh), refused.join(found.select("lou").distinct(), "lou", "left_anti")

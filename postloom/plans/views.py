@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.markup import export_reason, floor_label
 from postloom.functions.scalars import percent_label
 from postloom.operators.filters import matches
+from postloom.operators.numbering import dense_number
 
 
 def searched(rows: DataFrame, term: str, topic: str = "all") -> DataFrame:
@@ -16,17 +17,18 @@ def searched(rows: DataFrame, term: str, topic: str = "all") -> DataFrame:
 
 
 def topic_numbers(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("topic_number", F.row_number().over(Window.partitionBy("topic_id").orderBy("entry_id")))
+    return dense_number(entries, "topic_number", F.lit(0), F.col("entry_id"), [], within=["topic_id"])
 
 
-def text_export(entries: DataFrame, ignored: DataFrame) -> DataFrame:
-    """(topic_id, body): entries of a topic as marked-up lines, and refusals that have a reason left."""
+def text_export(entries: DataFrame, ignored: DataFrame, lines: int = 1000) -> DataFrame:
+    """(topic_id, part, body): entries of a topic as marked-up lines, and refusals that have a reason left, in parts of so many lines."""
     line = F.concat(F.lit("[b]"), floor_label(F.col("source_lous"), F.col("chosen_lou")), F.lit("[/b] "), F.coalesce("text", F.lit("")))
     rows = entries.select("topic_id", F.col("entry_id").alias("n"), line.alias("line"))
     reason = export_reason(F.col("ignore_reason"))
     lost = ignored.select(F.lit("ignored").alias("topic_id"), F.col("lou").alias("n"), F.concat(F.lit("[s]#"), F.col("lou").cast("string"), F.lit("[/s] "), reason).alias("line"), reason.alias("r")).where("r <> ''").drop("r")
-    grouped = rows.unionByName(lost).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
-    return grouped.select("topic_id", F.array_join("x.line", "\n").alias("body"))
+    placed = dense_number(rows.unionByName(lost), "at", F.lit(0), F.col("n"), [], within=["topic_id"])
+    grouped = placed.groupBy("topic_id", F.floor((F.col("at") - 1) / lines).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
+    return grouped.select("topic_id", "part", F.array_join("x.line", "\n").alias("body"))
 
 
 def field_columns(entries: DataFrame, first: tuple[str, ...] = ()) -> list[str]:
@@ -37,8 +39,8 @@ def field_columns(entries: DataFrame, first: tuple[str, ...] = ()) -> list[str]:
 
 def sheet_rows(entries: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each entry with a column for each field, numbered by floor in its topic."""
-    n = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.asc_nulls_last("chosen_lou"), "entry_id"))
-    return entries.select("topic_id", n.alias("row_no"), "entry_id", "chosen_lou", *[F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")).alias(f) for f in fields])
+    numbered = dense_number(entries, "row_no", F.col("chosen_lou").isNull().cast("int"), F.coalesce("chosen_lou", "entry_id"), ["entry_id"], within=["topic_id"])
+    return numbered.select("topic_id", "row_no", "entry_id", "chosen_lou", *[F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")).alias(f) for f in fields])
 
 
 def column_width(rows: DataFrame, column: str, cap: int = 60) -> DataFrame:

@@ -103,10 +103,10 @@ def marked(c: str) -> Column:
 
 
 @query(
-    "select conv_id, turn, md5('<blockquote><blockquote>' || text || '</blockquote></blockquote><strong><em>x</em>y</strong><a href=\"http://a/b\">t</a><img src=\"u.png\" alt=\"\" /><span style=\"color:red\">c</span><span style=\"font-size:2\">s</span>') digest from conversations where not contains(text, '[')"
+    "select conv_id, turn, md5('<blockquote><blockquote>' || text || '</blockquote></blockquote><strong><em>x</em>y</strong><a href=\"http://a/b\">t</a><img src=\"u.png\" alt=\"\" /><span style=\"color:red\">c</span><span style=\"font-size:2\">s</span>') digest from conversations"
 )
 def bbcode_to_html(spark, sf_dir):
-    return talk(spark, sf_dir).where(~F.contains("text", F.lit("["))).select("conv_id", "turn", F.md5(m.bbcode_to_html(marked("text"))).alias("digest"))
+    return talk(spark, sf_dir).select("conv_id", "turn", F.md5(m.bbcode_to_html(marked("text"))).alias("digest"))
 
 
 @query(r"select conv_id, turn, md5(regexp_replace('[b]' || text || '[/b][url=x]y[/url]', '\[/?[a-zA-Z]+(?:=[^\]]+)?\]', '', 'g')) digest from conversations")
@@ -121,10 +121,10 @@ QUOTED = "'[quote][pid=' || (conv_id * 100 + turn) || ',' || conv_id || ',' || (
     rf"""select conv_id, turn, 1 n, conv_id * 100 + turn as pid, conv_id tid, turn + 1 page, role author,
     md5(case when length(t) > 160 then substr(t, 1, 160) || chr(10) || '...[已截断]' else t end) preview, md5('ok') rest from (
       select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \n：:]+|[ \n：:]+$', '', 'g') t
-      from conversations where not regexp_matches(text, '[<\[&\r]') and length(text) > 0)"""
+      from conversations)"""
 )
 def reply_context(spark, sf_dir):
-    rows = talk(spark, sf_dir).where(~F.col("text").rlike(r"[<\[&\r]") & (F.length("text") > 0)).withColumn("post", F.expr(QUOTED))
+    rows = talk(spark, sf_dir).withColumn("post", F.expr(QUOTED))
     r = m.reply_context(F.col("post"), m.unescaped_basic)
     out = rows.select("conv_id", "turn", r.alias("r"), F.md5(m.without_reply_quotes(F.col("post"))).alias("rest"))
     return out.select("conv_id", "turn", F.col("r.reply_quote_count").alias("n"), F.col("r.reply_to_pid").alias("pid"), F.col("r.reply_to_tid").alias("tid"), F.col("r.reply_to_page").alias("page"), F.col("r.reply_to_author").alias("author"), F.md5("r.quoted_preview").alias("preview"), "rest")
@@ -419,16 +419,13 @@ SCORE = """case when h = '' then 0 when t = h then {same} when contains(t, h) th
 
 
 @query(
-    rf"""with b as (select item_id, item_id % 7 bucket, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') h from benchmark), d as (select doc_id, doc_id % 7 bucket, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') t from documents),
-    s as (select item_id, doc_id, {SCORE.format(same=300, holds=240)} score from b join d using (bucket)), m as (select item_id, score, count(*) ties, min(doc_id) target from s where score > 0 group by 1, 2),
+    rf"""with b as (select item_id, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') h from benchmark), d as (select doc_id, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') t from documents),
+    s as (select item_id, doc_id, {SCORE.format(same=300, holds=240)} score from b cross join d), m as (select item_id, score, count(*) ties, min(doc_id) target from s where score > 0 group by 1, 2),
     x as (select item_id, max(score) score from m group by 1)
     select item_id asker, x.score, ties, case when ties = 1 then target end target from x join m using (item_id, score)"""
 )
 def weighted_target(spark, sf_dir):
-    """Benchmark passages as hints, all documents as candidates. Odd entry ids ask, even ones are candidates.
-
-    The SQL twin still compares ids of one remainder by 7 only and so gives less.
-    """
+    """Benchmark passages as hints, all documents as candidates. Odd entry ids ask, even ones are candidates."""
     b = table(spark, sf_dir, "benchmark").select((2 * F.col("item_id") + 1).alias("entry_id"), F.coalesce("text", F.lit("")).alias("hint"), F.lit(None).cast("string").alias("content"))
     d = table(spark, sf_dir, "documents").select((2 * F.col("doc_id")).alias("entry_id"), F.lit(None).cast("string").alias("hint"), F.col("text").alias("content"))
     entries = b.unionByName(d).withColumns({"topic_id": F.lit("passages"), "fields": F.array().cast("array<string>")})
@@ -515,12 +512,13 @@ def html_parts(spark, sf_dir):
 
 
 @query(
-    f"select topic_id, md5(string_agg('[b]#' || lou || '[/b] ' || coalesce(content, ''), chr(10) order by entry_id)) digest from ({ENTRIES}) where topic_id is not null group by 1 union all select 'ignored', md5(string_agg('[s]#' || lou || '[/s] late', chr(10) order by lou)) from ({POSTS}) where k > 90"
+    f"""with r as (select topic_id, entry_id n, '[b]#' || lou || '[/b] ' || coalesce(content, '') line from ({ENTRIES}) union all select 'ignored', lou, '[s]#' || lou || '[/s] late' from ({POSTS}) where k > 90),
+    p as (select *, (row_number() over (partition by topic_id order by n) - 1) // 1000 part from r) select topic_id, part, md5(string_agg(line, chr(10) order by n)) digest from p group by 1, 2"""
 )
 def bbcode_export(spark, sf_dir):
     e = entries(spark, sf_dir).select("topic_id", "entry_id", F.array("lou").alias("source_lous"), "chosen_lou", F.col("content").alias("text"))
     i = posts(spark, sf_dir).where("k > 90").select("lou", F.format_string("作者 uid=%d 在忽略名单中；late", F.col("uid")).alias("ignore_reason"))
-    return views.text_export(e, i).select("topic_id", F.md5("body").alias("digest"))
+    return views.text_export(e, i).select("topic_id", "part", F.md5("body").alias("digest"))
 
 
 @query(f"select topic_id, row_number() over (partition by topic_id order by k, entry_id) row_no, entry_id, k chosen_lou, username as name, '' as empty from ({ENTRIES})")

@@ -143,3 +143,27 @@ def test_paged_service(spark, tmp_path):
     posts = pages.posts_of(pages.parsed(read))
     assert sorted(r.lou for r in posts.collect()) == [0, 1, 2, 3, 5, 6, 21, 25]
     server.shutdown()
+
+
+def test_replies_are_asked_for_until_they_parse(spark):
+    assert [tally.holds_object(x) for x in ('{"a": 1}', 'so: {"a": 1}.', "{broken", "[1]", None, "```json\n{}\n```")] == [True, True, False, False, False, True]
+
+    def classifier(prompt):
+        return '{"items": []}' if prompt.endswith("。") else "{broken"
+
+    packs = spark.createDataFrame([("a", [], [])], "author_key string, posts array<string>, context_posts array<string>")
+    assert tally.classified(packs, classifier).first()["reply"] == '{"items": []}'
+
+
+def test_items_are_told_apart(spark):
+    """More than a hundred items of one post, and posts whose numbers are a hundredfold of others'."""
+    def classifier(prompt):
+        post = json.loads(prompt)["posts"][0]
+        return json.dumps({"items": [{"topic_id": "qa", "normalized_anchor_text": f"{post['lou']}-{k}", "source_lous": [str(post["lou"])]} for k in range(130)]})
+
+    rows = [(n, n, n, n, f"u{n}", "2026-01-01 10:00", "提问", f"uid:{n}") for n in (1, 2, 100, 101)]
+    posts = spark.createDataFrame(rows, "ord long, lou long, pid long, uid long, username string, postdate string, content string, author_key string")
+    out = tally.tally(spark, posts, Rule(start_lou=0), classifier)
+    entries = out.entries.orderBy("entry_id").collect()
+    assert [(r.chosen_lou, r.normalized_anchor_text) for r in entries] == [(n, f"{n}-{k}") for n in (1, 2, 100, 101) for k in range(130)]
+    assert [r.entry_id for r in entries] == list(range(1, 521))
