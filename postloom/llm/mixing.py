@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.store import keep, shared_folder
+from postloom.llm.store import keep, set_aside, shared_folder
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+MADE = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def n_words(text: Column) -> Column:
@@ -100,16 +101,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     documents ranked by random odds divided by inclusion odds are taken until the words
     come nearest to what is left. Null text or text without words has size 0. Rows of equal
     id (and equal text where the id is null) share their rank and are taken together. A
-    source without words has target 0. Columns of docs with these names are replaced.
+    source without words has target 0. An empty table gives an empty one. Columns of docs
+    with these four names are replaced, all others stay.
     """
     folder = shared_folder(spark)
-    taken = [c for c in docs.columns if not c.startswith("mix_")]
-    rows = sized(docs.select(*taken), seed)
+    docs, taken = set_aside(docs, ("doc_id", "text", "source"), MADE)
+    rows = sized(docs, seed)
     facts = keep(rows.select("mix_group", "mix_size", "mix_rank"), f"{folder}/facts")
     plan = cuts(spark, facts, weights, share, most, folder)
     out = rows.join(plan, "mix_group")
     extra = F.coalesce(F.col("mix_rank") < F.col("below"), F.lit(False)) | F.coalesce(F.col("mix_rank") <= F.col("cut"), F.lit(False))
-    return out.withColumn("mix_copies", F.col("mix_whole") + extra.cast("int")).select(*taken, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return out.withColumn("mix_copies", F.col("mix_whole") + extra.cast("int")).select(*taken, *MADE)
 
 
 def op7_sql(weights: Sequence[float] = (1, 2, 3), seed: int = 11) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.store import keep, shared_folder
+from postloom.llm.store import keep, set_aside, shared_folder
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Ratios are whole millionths, so that sums are exact and a verdict never depends on their order.
@@ -81,11 +81,13 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, n: int = 1
     is kept if base rules hold and llr is no more than `margin` below the mean of all trusted
     n-grams. Null or word-free text: llr 0,
     base_failed. With no labels all ratios are near 0 and the base rules decide. Every
-    document is scored whole. The ratio table has n rows for any input and is broadcast. Columns of docs with these names are replaced.
+    document is scored whole. The ratio table has n rows for any input and is broadcast. Repeated
+    rows are judged alike; an empty table gives an empty one. Columns of docs with the made
+    names are replaced, all others stay.
     """
     folder = shared_folder(spark)
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    kept = [c for c in docs.columns if c not in made and not c.startswith("_")]
+    docs, kept = set_aside(docs, ("doc_id", "text"), made)
     table = ratio_table(docs, labels, n, smoothing, folder)
     trusted = table.agg(F.sum(F.col("ratio") * F.col("target")).alias("s"), F.sum("target").alias("n")).first()
     threshold = (trusted["s"] / trusted["n"] / MICRO if trusted["n"] else 0.0) - margin
@@ -94,6 +96,6 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, n: int = 1
     # the mean of a text's ratios is that of its copies together, so equal texts are one group
     grams = with_words(docs.select("text")).withColumns(keys).select("_t1", "_t2", F.explode(buckets(F.col("_w"), n)).alias("bucket"))
     means = grams.join(F.broadcast(table), "bucket").groupBy("_t1", "_t2").agg((F.sum("ratio") / F.count("*") / MICRO).alias("llr"))
-    scored = with_base(with_words(docs.select(*kept))).withColumns(keys).drop("_text", "_w").join(means, ["_t1", "_t2"], "left")
+    scored = with_base(with_words(docs)).withColumns(keys).drop("_text", "_w").join(means, ["_t1", "_t2"], "left")
     scored = scored.withColumn("llr", F.coalesce("llr", F.lit(0.0)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*kept, *made)

@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.store import keep, shared_folder
+from postloom.llm.store import keep, set_aside, shared_folder
 
 #: The ring has so many cells; a virtual node stands at the end of one of them.
 CELLS = 1 << 16
+MADE = ("ring_shard", "ring_slot")
 
 
 def ring(shards: int, virtual: int) -> np.ndarray:
@@ -64,12 +65,17 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 40, virtual: int =
     its exact share: the row count divided by the shards, one more for the first ones while
     there is a remainder. A row's key is its doc_id with a hash of its text (null: empty);
     rows equal in both stand side by side in no particular order. Only the counts of the
-    65,536 ring cells reach the driver. Slots count from 0 without gaps in each shard.
+    65,536 ring cells reach the driver. Slots count from 0 without gaps in each shard. An
+    empty table gives an empty one. Columns of docs with the two made names are replaced, all
+    others stay.
     """
     folder = shared_folder(spark)
-    kept = [c for c in (carry or docs.columns) if not c.startswith("ring_")]
+    carried = [c for c in (carry or docs.columns) if c not in MADE]
+    inside, columns = set_aside(docs.select(*dict.fromkeys(["doc_id", "text", *carried])), ("doc_id", "text"), MADE)
+    kept = [c for c, name in zip(columns, dict.fromkeys(["doc_id", "text", *carried]), strict=True) if name in carried]
     key = F.xxhash64(F.lit("ring"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    small = docs.select(*kept, key.alias("ring_key")).withColumn("ring_cell", F.shiftrightunsigned("ring_key", 48).cast("int"))
+    # of texts that are not carried only the key goes on
+    small = inside.withColumn("ring_key", key).drop(*([] if "text" in carried else ["text"])).withColumn("ring_cell", F.shiftrightunsigned("ring_key", 48).cast("int"))
     counts = np.zeros(CELLS, np.int64)
     for row in small.groupBy("ring_cell").count().collect():
         counts[row[0]] = row[1]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.tables import keep, shared_folder
 
-__all__ = ["drop", "keep", "lean_shuffles", "partitions", "shared_folder"]
+__all__ = ["drop", "keep", "lean_shuffles", "partitions", "set_aside", "shared_folder"]
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,3 +34,10 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def set_aside(docs: DataFrame, needed: tuple[str, ...], made: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns that are not needed renamed, so that none clashes with what an operator adds meanwhile, and the columns that give them back; those with the names it makes are left out."""
+    names = {c: f"own{n}" for n, c in enumerate(docs.columns) if c not in needed and c not in made}
+    inside = docs.select(*needed, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inside, [F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in made]

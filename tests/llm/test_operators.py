@@ -441,6 +441,16 @@ def test_media(spark, docs, empty):
     assert media.media_columns(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", [lambda s, d, lab: line_dedup.dedup_lines(s, d), lambda s, d, lab: quality.quality(s, d, lab), lambda s, d, lab: mixing.mix_sources(s, d), lambda s, d, lab: sharding.shard(s, d), lambda s, d, lab: toxicity.score(d, toxicity.ToxicityModel(np.zeros(0, np.uint64), np.zeros(6), np.zeros((2, 17)), np.eye(17)))])
+def test_columns_stay(spark, docs, labels, operator):
+    """Names that operators use on the way, and those of their helpers, are a user's own; made ones are replaced."""
+    names = ["_note", "_t1", "_w", "_text", "mix_id", "mix_rank", "below", "cut", "ring_key", "ring_cell", "own0", "hits", "lines", "row", "t1", "worded"]
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names], "1 as toxicity", "1 as llr", "1 as line_count", "1 as mix_size", "1 as ring_shard")
+    out = operator(spark, wide, labels)
+    assert set(wide.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    assert {(r.doc_id, *(r[n] for n in names)) for r in out.collect()} == {(r.doc_id, *(r[n] for n in names)) for r in wide.collect()}
+
+
 # --- pipeline
 
 
