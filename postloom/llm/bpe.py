@@ -30,7 +30,9 @@ from postloom.shipping import ship
 #: The pre-splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens in a worker, and the longest of them in characters.
-WORDS_KEPT, WORD_LENGTH = 200_000, 64
+WORDS_KEPT, WORD_LENGTH = 100_000, 64
+#: Transitions kept in a worker.
+STEPS_KEPT = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,7 +91,7 @@ class MergeAutomaton:
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self.allows(state, arc, 1 << 31)
-            if len(self.table) > 2_000_000:
+            if len(self.table) > STEPS_KEPT:
                 self.table.clear()
         return known
 
@@ -217,6 +219,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier steps left in this worker
         one = tokenizer(path)
         for batch in batches:
             for k in range(0, len(batch), 500):
