@@ -65,6 +65,13 @@ def int_list(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(c, to_int), lambda x: x.isNotNull())))
 
 
+def lou_list(c: Column) -> Column:
+    """Of JSON text, a list or one value: its integers, distinct and sorted. Null, blank text and a list without any give an empty array."""
+    listed = F.startswith(strip(c), F.lit("["))
+    values = F.when(listed, F.from_json(F.when(listed, c), "array<string>")).otherwise(F.array(c))
+    return F.coalesce(int_list(values), F.array().cast("array<bigint>"))
+
+
 def first_text(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

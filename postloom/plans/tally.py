@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postloom.functions.markup import clean_post, reply_context, unescaped_twice
-from postloom.functions.matching import inline_names, is_weight_only, match_form, names_in, placeholder_topics, proxy_reason, split_names, topic_id, weight_hint
-from postloom.functions.scalars import confidence, distinct_by, first_text, int_list, json_object, without_prefixes
+from postloom.functions.markup import clean_post, compact, reply_context, strip, truncated, unescaped_twice
+from postloom.functions.matching import asks_weight, inline_names, is_weight_only, match_form, names_in, placeholder_topics, proxy_reason, scoped_reasons, split_names, topic_id, weight_hint
+from postloom.functions.scalars import confidence, distinct_by, first_text, json_object, lou_list, to_int, without_prefixes
 from postloom.operators.anchors import author_anchors, topic_counts, topic_names, topic_table, warning_details
 from postloom.operators.filters import qa_without_marker, split_posts
 from postloom.operators.gaps import missing_ranges, raw_stats
@@ -21,14 +21,24 @@ from postloom.operators.links import item_sources, new_pairs, proxies_recovered,
 from postloom.operators.numbering import entry_ids
 from postloom.operators.packs import author_packs, reply_context_posts
 from postloom.operators.targets import reply_targets, weighted_targets
-from postloom.rules import ALIASES, Rule
+from postloom.rules import ALIASES, TOPICS, Rule, Topic
 from postloom.shipping import ship
 from postloom.tables import keep, shared_folder
 
-ITEM = "topic_id string, topic string, topic_name string, normalized_anchor_text string, content string, text string, fields map<string,string>, source_lous array<string>, chosen_lou string, confidence string, needs_manual_review string, note string"
-REFUSED = "lou string, source_lous array<string>, ignore_reason string, topic_id string, superseded_by_lou string"
+# a list of floors may come as one value: read as JSON text, see lou_list
+ITEM = "topic_id string, topic string, topic_name string, normalized_anchor_text string, content string, text string, fields map<string,string>, source_lous string, chosen_lou string, lou string, confidence string, needs_manual_review string, note string, classification_note string"
+REFUSED = "lou string, source_lous string, ignore_reason string, topic_id string, superseded_by_lou string"
 REPLY = f"items array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>, ignored_posts array<struct<{REFUSED.replace(' ', ':').replace(',:', ',')}>>, warnings array<string>"
 PROPOSAL = ("author_key", "topic_id", "chosen_lou", "source_lous", "normalized_anchor_text", "fields", "confidence", "needs_manual_review", "note", "ord")
+#: Stages and reasons of refused posts.
+MODEL, NOT_FOR_QA, BLANK = "llm_author_pack", "reply_quote_filter", "placeholder_topic_filter"
+MODEL_REASON, NOT_FOR_QA_REASON = "模型判定不是有效安价", "带 Reply 引用且正文缺少明确 Q&A 标记，按聊天处理"
+BLANK_REASON, UNCOVERED_REASON = "无有效安价内容，仅为占位符", "模型未将该楼归入任何有效条目"
+#: Warnings about several names in one post, which no longer hold once all of them are kept.
+NAMES_OF_FLOOR = r"候选楼(\d+)包含两个马车名字安价，按规则只保留第一个；第二个未计入。"
+NAMES_OF_ONE = ("一楼内出现两个名字，只保留第一个", "第二个")
+#: Lies below the numbers of all other proposals that are no item of a reply.
+RECOVERED = -(1 << 40)
 
 
 @dataclass
@@ -62,10 +72,38 @@ def proposal_id(ord: Column, item_no: Column) -> Column:
     return F.struct(ord.cast("long").alias("ord"), item_no.cast("long").alias("item_no"))
 
 
-def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int = 2) -> DataFrame:
+def pack_prompt(rule: Rule) -> Column:
+    """What a language model is asked about a pack: the task, notes on the pack's floors, topics, the form of the answer, and the posts, each cut at the rule's limit."""
+    topics = json.dumps([{"id": t.id, "name": t.name, "description": t.description, "allow_multiple_per_author": t.allow_multiple_per_author, "end_time": t.end_time} for t in rule.topics], ensure_ascii=False)
+    ids = " | ".join([*(t.id for t in rule.topics), "unclassified"])
+    item = {"topic_id": ids, "normalized_anchor_text": "该条目的正文", "fields": {"字段名": "值"}, "source_lous": [1], "chosen_lou": 1, "confidence": 0.0, "needs_manual_review": False, "note": "可选"}
+    form = json.dumps({"items": [item], "ignored_posts": [{"lou": 1, "source_lous": [1], "ignore_reason": "原因", "topic_id": "可选", "superseded_by_lou": "可选"}], "warnings": ["可选"]}, ensure_ascii=False)
+    task = "\n".join(
+        [
+            "把一位作者的全部候选楼整体归类为安价条目。",
+            "- 每个主题单独成条；作者没有提交的主题不要补写。",
+            "- 同一作者重复提交同一主题时只留最新一楼，旧楼写入 ignored_posts 并注明被哪一楼覆盖；允许多条的主题除外。",
+            "- 代发的安价不覆盖作者自己的安价，两者都保留。",
+            "- 一楼里的多个名字合成一条，用顿号连接。",
+            "- context_posts 只供理解回复关系，不得写入结果；回复里的“加权”以当前楼成条，正文写成“加权：<内容>”。",
+            "- 提问类主题只收明确的提问；引用回复里的闲聊、追问不算。",
+            "- 聊天、顶帖、无效内容写入 ignored_posts；像安价但无法归类的用 unclassified 并要求人工复核。",
+            "- 不要返回作者标识。",
+        ]
+    )
+    notes = F.array(*[F.struct(F.lit(lou).cast("long").alias("lou"), F.lit(text).alias("text")) for lou, text in rule.floor_notes]) if rule.floor_notes else F.array().cast("array<struct<lou:bigint,text:string>>")
+    here = F.filter(notes, lambda n: F.exists(F.col("posts"), lambda p: p["lou"] == n["lou"]))
+    special = F.when(F.size(here) > 0, F.concat(F.lit("特定楼层：\n"), F.array_join(F.transform(here, lambda n: F.concat(F.lit("- "), n["text"])), "\n"), F.lit("\n\n"))).otherwise("")
+    limit = rule.post_char_limit
+    cut = lambda p: p.withField("content", truncated(p["content"], limit)).withField("content_truncated", (F.length(p["content"]) > limit) if limit > 0 else F.lit(False))
+    shown = F.to_json(F.struct(F.transform("posts", cut).alias("posts"), F.transform("context_posts", lambda p: cut(p).withField("context_only", F.lit(True))).alias("context_posts")))
+    return F.concat(F.lit(task + "\n\n"), special, F.lit(f"主题：\n{topics}\n\n只返回一个 JSON 对象，形如：\n{form}\n\n候选楼：\n"), shown)
+
+
+def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int = 2, prompt: Column | None = None) -> DataFrame:
     """(author_key, reply): the classifier's answer to each pack as JSON text; null where it failed. It is asked again while the answer holds no JSON object.
 
-    A failure counts for its own pack alone. As many packs are asked at a time as there are partitions.
+    It is asked `prompt` (see pack_prompt), or the pack itself as JSON. A failure counts for its own pack alone. As many packs are asked at a time as there are partitions.
     """
     ship(packs.sparkSession)
 
@@ -85,7 +123,7 @@ def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int
                 replies.append(reply)
             yield pd.DataFrame({"author_key": batch["author_key"], "reply": replies})
 
-    prompt = F.to_json(F.struct("author_key", "posts", "context_posts"))
+    prompt = F.to_json(F.struct("author_key", "posts", "context_posts")) if prompt is None else prompt
     return packs.select("author_key", prompt.alias("prompt")).mapInPandas(run, "author_key string, reply string")
 
 
@@ -105,45 +143,71 @@ def unclassified(candidates: DataFrame, note: str = "") -> DataFrame:
     )
 
 
-def normalised(candidates: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def refusals_of(parsed: DataFrame, candidates: DataFrame, topics: Sequence[Topic]) -> tuple[DataFrame, DataFrame]:
+    """(rows, stubs) of the floors that replies refuse: a row for each floor of the author's own, and one for each refusal that names none of them."""
+    said = parsed.select("author_key", F.posexplode("r.ignored_posts").alias("n", "i")).where("i is not null")
+    topic = F.when(F.coalesce(F.col("i.topic_id"), F.lit("")) != "", topic_id(F.col("i.topic_id"), ALIASES))
+    reason = F.when(strip(F.coalesce("i.ignore_reason", F.lit(""))) != "", F.col("i.ignore_reason")).otherwise(MODEL_REASON)
+    said = said.select("author_key", "n", to_int(F.col("i.lou")).alias("named"), lou_list(F.col("i.source_lous")).alias("lous"), topic.alias("topic_id"), reason.alias("reason"), to_int(F.col("i.superseded_by_lou")).alias("superseded_by_lou"))
+    said = said.withColumns({"ignore_reason": F.when(F.col("topic_id").isNull(), F.col("reason")).otherwise(scoped_reasons(F.col("reason"), F.col("topic_id"), topics)), "stage": F.lit(MODEL), "ord": F.col("n").cast("long")})
+    all_lous = F.array_union("lous", F.when(F.col("named").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("named")))
+    found = said.withColumn("lou", F.explode(all_lous)).join(candidates.select("author_key", "lou"), ["author_key", "lou"])
+    stubs = said.join(found.select("author_key", "n").distinct(), ["author_key", "n"], "left_anti").withColumn("lou", F.col("named"))
+    columns = ["author_key", "lou", "topic_id", "ignore_reason", "stage", "superseded_by_lou", "ord"]
+    return found.select(*columns), stubs.select(*columns)
+
+
+def normalised(candidates: DataFrame, replies: DataFrame, topics: Sequence[Topic] = TOPICS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(proposals, refused, warnings) from the classifier's replies."""
     parsed = replies.select("author_key", F.from_json(json_object(F.col("reply")), REPLY).alias("r"))
     failed = parsed.where("r is null").select("author_key")
-    items = parsed.select("author_key", F.posexplode("r.items").alias("item_no", "i"))
+    items = parsed.select("author_key", F.posexplode("r.items").alias("item_no", "i")).where("i is not null")
+    chosen = F.coalesce(to_int(F.col("i.chosen_lou")), to_int(F.col("i.lou")))
     items = items.select(
         "author_key",
         "item_no",
         topic_id(first_text(F.col("i.topic_id"), F.col("i.topic"), F.col("i.topic_name")), ALIASES).alias("topic_id"),
-        first_text(F.col("i.normalized_anchor_text"), F.col("i.content"), F.col("i.text")).alias("normalized_anchor_text"),
+        first_text(F.col("i.normalized_anchor_text"), F.col("i.content"), F.col("i.text")).alias("given"),
         "i.fields",
-        F.coalesce(int_list(F.col("i.source_lous")), F.array().cast("array<bigint>")).alias("source_lous"),
-        F.col("i.chosen_lou").try_cast("long").alias("chosen_lou"),
+        F.array_union(lou_list(F.col("i.source_lous")), F.when(chosen.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(chosen))).alias("source_lous"),
+        chosen.alias("chosen_lou"),
         confidence(F.col("i.confidence").try_cast("double")).alias("confidence"),
         (~F.coalesce(F.col("i.needs_manual_review"), F.lit("")).isin("", "false", "0", "null")).alias("review"),
-        F.coalesce("i.note", F.lit("")).alias("note"),
+        F.coalesce(first_text(F.col("i.note"), F.col("i.classification_note")), F.lit("")).alias("note"),
     )
     items = item_sources(items, candidates)
     post = candidates.select("author_key", F.col("lou").alias("chosen_lou"), F.col("content").alias("post"), F.col("reply.has_reply_quote").alias("quoted"), "ord")
     items = items.join(post, ["author_key", "chosen_lou"])
+    items = items.withColumn("normalized_anchor_text", compact(F.when(strip(F.coalesce("given", F.lit(""))) != "", F.col("given")).otherwise(F.col("post"))))
     refused_qa = qa_without_marker(F.col("topic_id"), F.col("quoted"), F.coalesce("normalized_anchor_text", F.lit("")), F.col("post"))
-    proposals = items.where(~refused_qa).withColumn("needs_manual_review", F.col("review") | F.col("sources_missing"))
+    proposals = items.where(~refused_qa).withColumn("needs_manual_review", F.col("review") | F.col("sources_missing") | (F.col("topic_id") == "unclassified"))
     proposals = proposals.withColumn("ord", proposal_id(F.col("ord"), F.col("item_no"))).select(*PROPOSAL)
-    by_filter = items.where(refused_qa).select("author_key", F.col("chosen_lou").alias("lou"), "topic_id", F.lit("引用回复且没有提问标记").alias("ignore_reason"), F.lit("reply_quote_filter").alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
-    named = parsed.select("author_key", F.posexplode("r.ignored_posts").alias("n", "i"))
-    lous = F.coalesce(F.nullif(int_list(F.col("i.source_lous")), F.array().cast("array<bigint>")), F.array(F.col("i.lou").try_cast("long")))
-    named = named.select("author_key", F.explode(lous).alias("lou"), topic_id(F.col("i.topic_id"), ALIASES).alias("topic_id"), F.coalesce("i.ignore_reason", F.lit("")).alias("ignore_reason"), F.lit("llm").alias("stage"), F.col("i.superseded_by_lou").try_cast("long").alias("superseded_by_lou"), F.col("n").cast("long").alias("ord"))
-    named = named.join(candidates.select("author_key", "lou"), ["author_key", "lou"])
-    blank = candidates.select("author_key", "lou", F.explode(placeholder_topics(F.col("content"))).alias("topic_id"), F.lit("未填写占位内容").alias("ignore_reason"), F.lit("placeholder").alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
-    refused = named.unionByName(by_filter).unionByName(new_pairs(blank, named))
+    by_filter = items.where(refused_qa).select("author_key", F.col("chosen_lou").alias("lou"), "topic_id", F.lit(NOT_FOR_QA_REASON).alias("ignore_reason"), F.lit(NOT_FOR_QA).alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
+    said, stubs = refusals_of(parsed, candidates, topics)
+    blank = candidates.select("author_key", "lou", F.explode(placeholder_topics(F.col("content"))).alias("topic_id"), F.lit(BLANK).alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
+    blank = blank.withColumn("ignore_reason", scoped_reasons(F.lit(BLANK_REASON), F.col("topic_id"), topics))
+    pairs = proposals.select(F.explode("source_lous").alias("lou"), "topic_id").unionByName(said.select("lou", "topic_id")).unionByName(by_filter.select("lou", "topic_id"))
+    refused = said.unionByName(by_filter).unionByName(new_pairs(blank, pairs))
     proxied, refused = proxies_recovered(refused, candidates, proxy_reason)
-    back = candidates.select("lou", "content", F.col("ord").alias("post")).join(proxied.select("author_key", "lou", "topic_id", "proxy_reason", "ord"), "lou")
+    back = candidates.select("author_key", "lou", "content", F.col("ord").alias("post")).join(proxied.select("author_key", "lou", "topic_id", "proxy_reason", "ord"), ["author_key", "lou"])
     back = back.select("author_key", "topic_id", F.col("lou").alias("chosen_lou"), F.array("lou").alias("source_lous"), F.col("content").alias("normalized_anchor_text"), F.create_map().cast("map<string,string>").alias("fields"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_manual_review"), F.col("proxy_reason").alias("note"), proposal_id(F.col("post"), -2 - F.col("ord")).alias("ord"))
     proposals = proposals.unionByName(back).unionByName(unclassified(candidates.join(failed, "author_key", "left_semi"), "分类失败"))
     used = proposals.select(F.explode("source_lous").alias("lou"))
-    bare = uncovered(candidates.select("author_key", "lou", "ord"), used, refused)
-    rest = bare.select("author_key", "lou", F.lit(None).cast("string").alias("topic_id"), F.lit("模型未覆盖该楼层").alias("ignore_reason"), F.lit("uncovered").alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
-    warnings = parsed.select(F.lit(None).cast("long").alias("lou"), F.explode("r.warnings").alias("message"))
-    return proposals, refused.unionByName(rest), warnings
+    bare = uncovered(candidates.select("author_key", "lou", "ord"), used, said)
+    rest = bare.select("author_key", "lou", F.lit(None).cast("string").alias("topic_id"), F.lit(UNCOVERED_REASON).alias("ignore_reason"), F.lit(MODEL).alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
+    warnings = parsed.select("author_key", F.explode("r.warnings").alias("message")).withColumn("message", strip(F.col("message"))).where("message <> ''")
+    return proposals, refused.unionByName(stubs).unionByName(rest), warnings
+
+
+def warnings_that_hold(warnings: DataFrame, names: DataFrame) -> DataFrame:
+    """(lou, message) without those that say that only the first of several names was kept, where all were. warnings: author_key, message; names: proposals of names."""
+    several = names.where(F.contains("normalized_anchor_text", F.lit("、"))).select("author_key", F.explode("source_lous").alias("about")).distinct()
+    about = to_int(F.regexp_extract("message", NAMES_OF_FLOOR, 1))
+    left = warnings.withColumn("about", about).join(several, ["author_key", "about"], "left_anti")
+    of_one = F.contains("message", F.lit(NAMES_OF_ONE[0])) & F.contains("message", F.lit(NAMES_OF_ONE[1]))
+    gone = several.select("author_key").distinct().withColumn("_several", F.lit(True))
+    left = left.join(gone, "author_key", "left").where(~(of_one & F.coalesce("_several", F.lit(False))))
+    return left.select(F.lit(None).cast("long").alias("lou"), "message")
 
 
 def named(proposals: DataFrame, posts: DataFrame, topic: str = "theme4_carriage_name", unescape=lambda c: c) -> DataFrame:
@@ -163,30 +227,86 @@ def named(proposals: DataFrame, posts: DataFrame, topic: str = "theme4_carriage_
     return proposals.where(F.coalesce(F.col("topic_id") != topic, F.lit(True))).unionByName(ours)
 
 
+def _offers(proposals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Proposals with the post ids that a reply may name."""
+    rows = proposals.select(F.col("ord").alias("proposal_id"), "topic_id", "fields", "normalized_anchor_text", F.col("chosen_lou").alias("target_lou"), F.explode("source_lous").alias("lou")).join(candidates.select("lou", "pid"), "lou")
+    same = lambda c: F.min(c).alias(c)  # noqa: E731  the same in all rows of a proposal
+    rows = rows.groupBy("proposal_id").agg(same("topic_id"), F.min(F.map_values("fields")).alias("fields"), same("normalized_anchor_text"), same("target_lou"), F.collect_list("pid").alias("source_pids"))
+    return rows.withColumn("is_weight", F.coalesce(weight_hint(F.col("normalized_anchor_text")).isNotNull() | is_weight_only(F.col("normalized_anchor_text")), F.lit(False)))
+
+
+def weight_text(topic: Column, match_text: Column, meant: Column, content: Column) -> Column:
+    """What a reply that adds weight says: the target's names where it is one of names, else the text that matched, else the target's, else its own."""
+    blank = lambda c: F.nullif(compact(c), F.lit(""))
+    hint = F.when(topic == "theme4_carriage_name", F.coalesce(blank(meant), blank(match_text))).otherwise(F.coalesce(blank(match_text), blank(meant)))
+    one_line = F.nullif(strip(F.regexp_replace(hint, r"(?U)\n|\s{2,}", " ")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("加权："), one_line), blank(content), F.lit("加权"))
+
+
+def _weights(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """Submissions that replies stand for, one a target, in order of the targets. asks: key (the floor asked for), lou (the reply's), author_key, hint, preview, content, reply_to_pid, ord, confidence, source_lous."""
+    found = reply_targets(asks.select(F.col("key").alias("lou"), "reply_to_pid", "hint", "preview"), offers).withColumnRenamed("lou", "key")
+    offered = offers.select(F.col("proposal_id").alias("target"), "topic_id", F.col("normalized_anchor_text").alias("meant"), "target_lou")
+    rows = asks.join(found.select("key", "target", "match_text").join(offered, "target"), "key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("target_lou", "topic_id", "target"))
+    pid = F.col("reply_to_pid").cast("string")
+    every = F.when(F.col("hint").isNull(), F.concat(F.lit("Reply 引用 pid="), pid, F.lit("，无显式目标，按被回复楼全部主题加权处理")))
+    return rows.select(
+        "key",
+        "author_key",
+        "topic_id",
+        F.col("lou").alias("chosen_lou"),
+        F.array_sort(F.array_union("source_lous", F.array("lou"))).alias("source_lous"),
+        weight_text(F.col("topic_id"), F.col("match_text"), F.col("meant"), F.col("content")).alias("normalized_anchor_text"),
+        F.create_map().cast("map<string,string>").alias("fields"),
+        "confidence",
+        F.lit(False).alias("needs_manual_review"),
+        F.coalesce(every, F.concat(F.lit("Reply 引用 pid="), pid, F.lit("，按加权处理"))).alias("note"),
+        proposal_id(F.col("ord"), F.lit(RECOVERED) + rank).alias("ord"),
+    )
+
+
 def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Refused replies that add weight become submissions to the topics of what they reply to."""
-    asks = refused.select("lou").distinct().join(candidates.where(F.coalesce(F.col("hint").isNotNull() | F.col("weight_only"), F.lit(False))), "lou").where("reply.reply_to_pid is not null")
-    asks = asks.select("lou", "author_key", "hint", "content", F.col("reply.reply_to_pid").alias("reply_to_pid"), "ord")
-    pids = candidates.select("lou", "pid")
-    offers = proposals.select(F.col("ord").alias("proposal_id"), "topic_id", "fields", "normalized_anchor_text", F.explode("source_lous").alias("lou")).join(pids, "lou")
-    offers = offers.groupBy("proposal_id").agg(F.first("topic_id").alias("topic_id"), F.first(F.map_values("fields")).alias("fields"), F.first("normalized_anchor_text").alias("normalized_anchor_text"), F.collect_list("pid").alias("source_pids"))
-    offers = offers.withColumn("is_weight", F.coalesce(weight_hint(F.col("normalized_anchor_text")).isNotNull() | is_weight_only(F.col("normalized_anchor_text")), F.lit(False)))
-    found = reply_targets(asks, offers).join(offers.select(F.col("proposal_id").alias("target"), "topic_id", F.col("normalized_anchor_text").alias("meant")), "target")
-    back = asks.join(found.select("lou", "topic_id", "meant"), "lou")
-    back = back.select("author_key", "topic_id", F.col("lou").alias("chosen_lou"), F.array("lou").alias("source_lous"), F.concat(F.lit("加权："), F.coalesce("hint", "meant", F.lit(""))).alias("normalized_anchor_text"), F.create_map().cast("map<string,string>").alias("fields"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("needs_manual_review"), F.lit("回复加权").alias("note"), "ord")
-    back = back.withColumn("ord", proposal_id(F.col("ord"), F.lit(-1)))
-    there = proposals.select(F.explode("source_lous").alias("lou"), "topic_id")
-    fresh = new_pairs(back.withColumn("lou", F.col("chosen_lou")), there).drop("lou")
-    return proposals.unionByName(fresh), refused.join(found.select("lou").distinct(), "lou", "left_anti")
-
-
-def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice) -> Tally:
-    """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at."""
+    """Replies that add weight become submissions to the topics of what they reply to.
+
+    First those that the classifier made submissions of: all of a floor are replaced by what
+    the first one's earliest post points to. Then those that were refused, unless the floor
+    has a submission to the topic. Where no target is found, rows stay as they are.
+    """
+    folder = shared_folder(proposals.sparkSession)
+    posts = candidates.where("reply.reply_to_pid is not null").where(F.coalesce(F.col("asks") | F.col("weight_only"), F.lit(False)))
+    posts = posts.select("author_key", "lou", "hint", "content", F.col("reply.reply_to_pid").alias("reply_to_pid"), F.col("reply.quoted_preview").alias("preview"), "ord")
+    offers = keep(_offers(proposals, candidates), f"{folder}/offers")
+    made = proposals.select("author_key", F.col("chosen_lou").alias("key"), F.array_min("source_lous").alias("lou"), F.col("ord").alias("proposal"), "confidence", "source_lous")
+    asked = made.join(posts, ["author_key", "lou"])
+    first = asked.groupBy("author_key", "key").agg(F.min("proposal").alias("proposal"))
+    fresh = keep(_weights(asked.join(first, ["author_key", "key", "proposal"]), offers), f"{folder}/fresh")
+    proposals = proposals.join(fresh.select(F.col("key").alias("chosen_lou")).distinct(), "chosen_lou", "left_anti").select(*PROPOSAL).unionByName(fresh.select(*PROPOSAL))
+    asks = refused.select("author_key", "lou").distinct().join(posts, ["author_key", "lou"])
+    asks = asks.withColumns({"key": F.col("lou"), "confidence": F.lit(None).cast("double"), "source_lous": F.array().cast("array<bigint>")})
+    back = keep(_weights(asks, offers), f"{folder}/back")
+    there = proposals.select(F.col("chosen_lou").alias("lou"), "topic_id")
+    added = new_pairs(back.withColumn("lou", F.col("chosen_lou")), there)
+    return proposals.unionByName(added.select(*PROPOSAL)), refused.join(back.select("author_key", F.col("key").alias("lou")).distinct(), ["author_key", "lou"], "left_anti")
+
+
+def run_counts(out: Tally) -> DataFrame:
+    """One row: entries, authors, refused rows, those that a newer submission superseded, and whether somebody has to look."""
+    superseded = (F.col("stage") == "superseded") | (F.coalesce("superseded_by_lou", F.lit(0)) != 0)
+    parts = out.entries.agg(F.count("*").alias("entry_count"), F.countDistinct("author_key").alias("author_count"), F.count(F.when(F.col("needs_manual_review"), 1)).alias("to_review"))
+    parts = parts.unionByName(out.ignored.agg(F.count("*").alias("ignored_count"), F.count(F.when(superseded, 1)).alias("superseded_count")), allowMissingColumns=True)
+    parts = parts.unionByName(out.warnings.agg(F.count(F.when(F.col("type") == "runtime_warning", 1)).alias("warning_count")), allowMissingColumns=True)
+    names = ("entry_count", "author_count", "ignored_count", "superseded_count", "warning_count")
+    return parts.agg(*[F.max(c).alias(c) for c in names], (F.max("to_review") + F.max("warning_count") > 0).alias("manual_review_required"))
+
+
+def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice, prompt: Column | None = None) -> Tally:
+    """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at. For prompt see classified."""
     folder = shared_folder(spark)
     cleaned = posts.withColumns({"reply": reply_context(F.col("content"), unescape), "raw": F.col("content"), "content": clean_post(F.col("content"), unescape)})
     cleaned = keep(cleaned, f"{folder}/cleaned")
     candidates, ignored = split_posts(cleaned, rule, "content", "raw")
-    candidates = candidates.withColumns({"hint": weight_hint(F.col("content")), "weight_only": is_weight_only(F.col("content")), "proxy": proxy_reason(F.col("content"))})
+    candidates = candidates.withColumns({"hint": weight_hint(F.col("content")), "weight_only": is_weight_only(F.col("content")), "asks": asks_weight(F.col("content")), "proxy": proxy_reason(F.col("content"))})
     candidates = keep(candidates, f"{folder}/candidates")
     refusals = ignored.select("author_key", "lou", F.lit(None).cast("string").alias("topic_id"), "ignore_reason", "stage", F.lit(None).cast("long").alias("superseded_by_lou"))
     warnings = spark.createDataFrame([], "lou long, message string")
@@ -195,12 +315,14 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
     else:
         context = reply_context_posts(candidates.select("author_key", "lou", "pid", F.col("reply.reply_to_pid").alias("reply_to_pid")), cleaned)
         # kept, so that no pack is sent to the classifier twice
-        replies = keep(classified(author_packs(candidates, context), classifier), f"{folder}/replies")
-        proposals, refused, warnings = normalised(candidates, replies)
+        replies = keep(classified(author_packs(candidates, context), classifier, prompt=prompt), f"{folder}/replies")
+        proposals, refused, warnings = normalised(candidates, replies, rule.topics)
         proposals, refused = keep(proposals, f"{folder}/proposals"), keep(refused, f"{folder}/refused")
         proposals = keep(named(proposals, candidates), f"{folder}/named")
+        warnings = warnings_that_hold(warnings, proposals.where("topic_id = 'theme4_carriage_name'"))
         proposals, refused = recovered_weights(proposals, refused, candidates)
-        refusals = refusals.unionByName(refused.drop("ord"))
+        proposals, refused = keep(proposals, f"{folder}/weighted"), keep(refused.drop("ord"), f"{folder}/left")
+        refusals = refusals.unionByName(refused)
     own = candidates.select(F.col("lou").alias("chosen_lou"), "hint", "proxy", F.col("content").alias("post"))
     proposals = proposals.join(own.dropDuplicates(["chosen_lou"]), "chosen_lou", "left")
     several = [t.id for t in rule.topics if t.allow_multiple_per_author]

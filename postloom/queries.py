@@ -485,7 +485,7 @@ def classified_entries(spark, sf_dir):
 
 @query(
     f"""with c as (select *, case k % 3 when 0 then 'view' when 1 then 'click' else 'signup' end t from ({POSTS}) where {REASONS} = ''), k as (select *, row_number() over (partition by author_key, t order by lou desc) n from c where k % 10 <> 0)
-    select lou, {REASONS} ignore_reason, 'deterministic' stage from ({POSTS}) where {REASONS} <> '' union all select lou, 'tenth', 'llm' from c where k % 10 = 0
+    select lou, {REASONS} ignore_reason, 'deterministic' stage from ({POSTS}) where {REASONS} <> '' union all select lou, 'tenth', 'llm_author_pack' from c where k % 10 = 0
     union all select l.lou, '被同一作者的更新楼层 ' || w.lou || ' 覆盖', 'superseded' from k l join k w on l.author_key = w.author_key and l.t = w.t and w.n = 1 where l.n > 1 and l.t <> 'view'"""
 )
 def classified_ignored(spark, sf_dir):

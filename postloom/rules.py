@@ -24,14 +24,14 @@ class Topic:
         return out
 
 
-#: The topics of the default thread, in order.
+#: The topics of the default thread, in order, with what they ask for and when they end.
 TOPICS = (
-    Topic("theme1_travel", "主题1：旅行", "旅行"),
-    Topic("theme2_training", "主题2：女仆修行 livehouse / 修行之道", "修行之道"),
-    Topic("theme2_guest", "主题2：女仆修行 livehouse / 难缠之客", "难缠之客"),
-    Topic("theme3_engagement", "主题3：订婚大作战", "订婚"),
-    Topic("theme4_carriage_name", "主题4：马车的名字", "马车名字"),
-    Topic("qa", "特别环节：诡秘小祥一周年 Q&A", "Q&A", allow_multiple_per_author=True),
+    Topic("theme1_travel", "主题1：旅行", "旅行", description="人物、地点、事件形式的暑假马车旅行安价。", end_time="2026-05-04 23:00"),
+    Topic("theme2_training", "主题2：女仆修行 livehouse / 修行之道", "修行之道", description="老师、主要属性培养、事件形式的女仆培训安价。", end_time="2026-05-04 23:00"),
+    Topic("theme2_guest", "主题2：女仆修行 livehouse / 难缠之客", "难缠之客", description="客人、事件形式的委托或招待测试安价。", end_time="2026-05-04 23:00"),
+    Topic("theme3_engagement", "主题3：订婚大作战", "订婚", description="人物、地点、事件形式的促成贴贴安价。", end_time="2026-05-04 23:00"),
+    Topic("theme4_carriage_name", "主题4：马车的名字", "马车名字", description="安价名字形式的马车命名。", end_time="2026-05-04 23:00"),
+    Topic("qa", "特别环节：诡秘小祥一周年 Q&A", "Q&A", allow_multiple_per_author=True, description="向神奇小猪提问；同一作者可提交多个问题。"),
 )
 #: Other names of the topics.
 ALIASES = {
@@ -59,6 +59,9 @@ class Rule:
     not_anjia_lou_list: tuple[int, ...] = ()
     keyword: str | None = None
     topics: tuple[Topic, ...] = field(default=TOPICS)
+    #: What a model is told about single floors, and how much of a post it is shown (0: all).
+    floor_notes: tuple[tuple[int, str], ...] = ()
+    post_char_limit: int = 7000
 
     def overridden(self, **given) -> Rule:
         """Given values replace the rule's; lists of ids are united with it."""
