@@ -413,6 +413,16 @@ def warning_details(spark, sf_dir):
     return anchors.warning_details(e, posts(spark, sf_dir).where("k = 0").select("lou", F.lit("value").alias("message")))
 
 
+@query(f"select lou, case when k % 3 = 0 then k || ',' || (k + 1) else k::varchar end lous from ({POSTS})")
+def lou_lists(spark, sf_dir):
+    """Floors as lists, single numbers and text, as replies give them."""
+    from postloom.functions.scalars import lou_list
+
+    k = F.col("k").cast("string")
+    given = F.when(F.col("k") % 3 == 0, F.concat(F.lit("["), (F.col("k") + 1).cast("string"), F.lit(', "'), k, F.lit('", '), k, F.lit("]"))).when(F.col("k") % 3 == 1, k).otherwise(F.concat(F.lit(" "), k, F.lit(" ")))
+    return posts(spark, sf_dir).select("lou", F.array_join(lou_list(given).cast("array<string>"), ",").alias("lous"))
+
+
 # --- scored matches
 
 SCORE = """case when h = '' then 0 when t = h then {same} when contains(t, h) then {holds} when length(t) >= 4 and contains(h, t) then 120 else 0 end"""
