@@ -19,7 +19,8 @@ _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S29, _S32 = np.uint64(33), np.uint64(29), np.uint64(32)
 
 _values = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Byte values with A-Z taken as a-z.
+#: Values of the bytes as they are, and with A-Z taken as a-z.
+PLAIN = _values
 FOLDED = _values.copy()
 FOLDED[65:91] = _values[97:123]
 

@@ -1,4 +1,4 @@
-"""One query for each operator, over the whole `documents` table."""
+"""One query for each operator, over the whole `documents` or `embeddings` table."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.bpe import bpe_decode, bpe_encode
+from postloom.llm.exact_dedup import exact_dedup, op12_sql
+from postloom.llm.hard_negatives import hard_negatives, op11_sql
 from postloom.llm.katz import score_texts
 from postloom.llm.line_dedup import dedup_lines, op1_sql
 from postloom.llm.media import media_columns
 from postloom.llm.mixing import mix_sources, op7_sql
 from postloom.llm.near_dedup import near_duplicates
 from postloom.llm.quality import quality
+from postloom.llm.runs import mark_runs
 from postloom.llm.sharding import shard
 from postloom.llm.suffix_dedup import dedup_substrings
 from postloom.llm.toxicity import held_out, toxicity
@@ -79,10 +82,27 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op11_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", relabelled)
+    return hard_negatives(spark, rows, lambda vec_id: vec_id % 100 == 0)
+
+
+def op12_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup(spark, table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", F.col("copy_keep").alias("keep_id"), F.col("copy_count").alias("group_size"), F.col("copy_kept").alias("kept"), F.col("copy_digest").alias("text_sha256"))
+
+
+def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mark_runs(spark, table(spark, sf_dir, "documents"), periodic=True, carry=["doc_id"], digests=True)
+    exponent = F.expr("1000 * run_length div run_period")
+    return out.select("doc_id", F.col("run_count").alias("n_runs"), F.col("run_start").alias("start"), F.col("run_length").alias("length"), F.col("run_period").alias("period"), exponent.alias("exponent_milli"), F.col("runs").alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op5_column_wise_bwt, op6_katz_backoff, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media)
+    found = (op1_site_spread_lines, op2_weak_toxicity, op3_minmax_near_dedup, op4_ngram_ratio_rules, op5_column_wise_bwt, op6_katz_backoff, op7_pareto_mix, op8_bounded_ring, op9_bpe_automaton, op10_tar_media, op11_cover_tree_negatives, op12_heavy_hitter_dedup, op13_maximal_pair_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_site_spread_lines": op1_sql(), "op7_pareto_mix": op7_sql()}
+    return {"op1_site_spread_lines": op1_sql(), "op7_pareto_mix": op7_sql(), "op11_cover_tree_negatives": op11_sql(), "op12_heavy_hitter_dedup": op12_sql()}
