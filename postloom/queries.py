@@ -315,7 +315,7 @@ def canonical_files(spark, sf_dir):
 )
 def link_manifest(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("lou"), "html")
-    manifest = links.download_manifest(archive.image_links(pages, "href").select("url", "path"))
+    manifest = links.download_manifest(archive.attribute_links(pages, "href").select("url", "path"))
     return links.pending(manifest, pages.select(F.concat(F.lit("p"), F.col("lou").cast("string")).alias("path")))
 
 
@@ -537,6 +537,9 @@ def sheet_rows(spark, sf_dir):
     return views.sheet_rows(e, ["name", "empty"])
 
 
+from postloom import queries_archive  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
