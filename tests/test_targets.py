@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from postloom import queries as core
-from postloom.operators import targets
+from postloom.operators import grams, targets
 
 
 def form(text: str | None) -> str:
@@ -33,10 +36,10 @@ def test_all_documents_are_candidates(spark, sf_dir):
     assert got == best(hints, texts)
 
 
-def test_hints_of_several_blocks_and_topics(spark):
-    """More hints than a block holds; ties, texts inside a hint, entries without a match, two topics."""
+def test_hints_of_two_topics(spark):
+    """Ties, texts inside a hint, entries without a match, two topics."""
     rows = []
-    for k in range(2 * targets.HINTS + 9):
+    for k in range(137):
         rows.append((k, f"t{k % 2}", f"Word {k % 40} x", None))
     for k in range(60):
         rows.append((1000 + k, f"t{k % 2}", None, [f"word{k}x", f"so word {k} x it is", f"rd{k}x", "", None][k % 5]))
@@ -46,5 +49,67 @@ def test_hints_of_several_blocks_and_topics(spark):
     for topic in ("t0", "t1"):
         want |= best({r[0]: r[2] for r in rows if r[1] == topic and r[2]}, {r[0]: r[3] for r in rows if r[1] == topic and not r[2]})
     assert {r.asker: (r.score, r.ties, r.target) for r in found if r.score} == want
-    assert len(found) == 2 * targets.HINTS + 9
+    assert len(found) == 137
     assert all(r.needs_manual_review == (r.target is None) for r in found)
+
+
+def plain_score(h: str, fields: list[str], texts: dict[str, str]) -> int:
+    """The score of a hint and a candidate's normal forms, read off the table of scores."""
+    if not h:
+        return 0
+    if h in fields:
+        return targets.FIELD_EQUAL
+    best = max([0, *(targets.FIELD_HOLDS if h in v else targets.FIELD_INSIDE if len(v) >= 4 and v in h else 0 for v in fields)])
+    for name, (same, holds) in targets.TEXT_SCORES.items():
+        if name in texts:
+            v = texts[name]
+            if v == h:
+                return same
+            best = max(best, holds if h in v else targets.TEXT_INSIDE if len(v) >= 4 and v in h else 0)
+    return best
+
+
+def test_weighted_targets_of_random_texts(spark):
+    """Hints and texts of 0 to 60 characters over few letters, one to three bytes each: every containment either way, topic by topic."""
+    pick = random.Random(7)
+    word = lambda most, letters: "".join(pick.choice(letters) for _ in range(pick.randrange(most)))
+    rows, wanted = [], []
+    for k in range(900):
+        letters = pick.choice(["ab", "a猪b", "abcdef", "猪安价"])
+        text = word(pick.choice([4, 9, 60]), letters)
+        if pick.random() < 0.5 and rows:
+            old = pick.choice(rows)
+            base = old[2] or old[4]
+            a = pick.randrange(len(base) + 1)
+            text = pick.choice([base[a : a + pick.randrange(1, 40)], "x" + base + "y", base])
+        asks = pick.random() < 0.3
+        rows.append((k, pick.choice(["t", "u"]), text if asks else None, [word(12, letters) for _ in range(pick.randrange(3))], text, word(20, letters)))
+    schema = "entry_id long, topic_id string, hint string, fields array<string>, content string, original_content string"
+    got = {r.asker: (r.score, r.ties, r.target) for r in targets.weighted_targets(spark.createDataFrame(rows, schema).repartition(3), ("content", "original_content")).collect()}
+    for asker, topic, hint, *_ in rows:
+        if hint is None:
+            continue
+        h = form(hint)
+        scores = {r[0]: plain_score(h, [form(x) for x in r[3]], {"content": form(r[4]), "original_content": form(r[5])}) for r in rows if r[2] is None and r[1] == topic}
+        top = max(scores.values())
+        same = [k for k, s in scores.items() if s == top]
+        wanted.append((asker, (top, len(same), same[0] if len(same) == 1 else None) if top else (None, None, None)))
+    assert got == dict(wanted)
+    assert sum(x[1][2] is not None for x in wanted) > 50
+
+
+def test_pairs_share_a_gram(spark):
+    """Only pairs that share the needle's rarest gram are formed."""
+    needles = spark.createDataFrame([(1, "t", "common words and then zebra"), (2, "t", "common words and then none"), (3, "u", "common")], "n long, w string, part string")
+    texts = [(k, "t", f"common words and then {k} more") for k in range(50)] + [(100, "t", "so common words and then zebra it is"), (101, "u", "common"), (102, "t", ""), (103, "t", None)]
+    texts = spark.createDataFrame(texts, "k long, w string, part string")
+    assert {tuple(r) for r in grams.holders(needles, texts, "w", "n", "k").collect()} == {(1, 100), (3, 101)}
+    assert grams.holders(needles.where("false"), texts, "w", "n", "k").count() == 0
+
+
+def test_hot_hint(spark):
+    """A third of all entries ask for the same, many texts hold it."""
+    rows = [(k, "t", "加权 the same thing" if k % 3 == 0 else None, [], f"they say the same thing {k}" if k % 3 == 1 else f"other {k}") for k in range(3000)]
+    entries = spark.createDataFrame(rows, "entry_id long, topic_id string, hint string, fields array<string>, content string").withColumn("hint", F.regexp_replace("hint", "加权 ", ""))
+    got = targets.weighted_targets(entries).groupBy("score", "ties", "target", "note").count().collect()
+    assert [tuple(r) for r in got] == [(240, 1000, None, "加权目标匹配到 1000 个同分候选", 1000)]
