@@ -81,10 +81,33 @@ def test_gaps(spark):
 
 
 def test_dense_numbers(spark):
-    rows = spark.createDataFrame([(k % 3, (k * 7919) % 1000, k) for k in range(500)], "a int, b long, k long")
-    got = numbering.dense_number(rows, "n", F.col("a"), F.col("b"), ["k"], cell=64).orderBy("n").collect()
-    assert [r.n for r in got] == list(range(1, 501))
-    assert [(r.a, r.b, r.k) for r in got] == sorted((r.a, r.b, r.k) for r in got)
+    rows = [(k % 3, (k * 7919) % 1000, k, "ab"[k % 2]) for k in range(500)] + [(None, None, None, None), (1, None, -1, None), (1, 5, None, "a"), (1, 5, None, "a")]
+    df = spark.createDataFrame(rows, "a int, b long, k long, w string").repartition(5)
+    order = lambda r: tuple((x is not None, x or 0) for x in (r.a, r.b, r.k))
+    got = numbering.dense_number(df, "n", F.col("a"), F.col("b"), ["k"]).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, len(rows) + 1))
+    assert [order(r) for r in got] == sorted(order(r) for r in got)
+    groups = numbering.dense_number(df, "n", F.col("a"), F.col("b"), ["k"], within=["w"]).orderBy("w", "n").collect()
+    for w in (None, "a", "b"):
+        mine = [r for r in groups if r.w == w]
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+        assert [order(r) for r in mine] == sorted(order(r) for r in mine)
+    assert numbering.dense_number(df.where("false"), "n", F.col("a"), F.col("b"), ["k"]).count() == 0
+
+
+def test_one_number_in_many_tasks(spark, tmp_path):
+    """Rows of one floor, and rows that are equal in everything, are sorted in as many tasks as any others."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k, column in enumerate((F.col("id"), F.lit(0))):
+            rows = spark.range(400_000, numPartitions=8).select(F.lit(7).alias("lou"), column.alias("ord"))
+            sizes = [r["count"] for r in numbering.in_order(rows, ["lou", "ord"], str(tmp_path / str(k))).groupBy("_part").count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+            numbered = numbering.dense_number(rows, "n", F.lit(0), F.col("lou"), ["ord"])
+            assert numbered.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (400_000, 1, 400_000)
+            assert k or numbered.where("n <> ord + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_titles_and_widths(spark):
