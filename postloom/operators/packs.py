@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What a pack shows of the post that a reply quotes.
+SHOWN_OF_REPLY = ("has_reply_quote", "reply_quote_count", "reply_to_author", "reply_to_pid", "quoted_preview")
+
+
 def author_key() -> Column:
     return F.coalesce(
         F.concat(F.lit("uid:"), F.col("uid").cast("string")),
@@ -27,8 +31,10 @@ def reply_context_posts(candidates: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def author_packs(candidates: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """One row for each author: posts by floor, context posts by floor, first_lou."""
-    packs = candidates.groupBy("author_key").agg(F.array_sort(F.collect_list(F.struct("lou", "pid", "content"))).alias("posts"), F.min("lou").alias("first_lou"))
+    """One row for each author: posts by floor, context posts by floor, first_lou. Where candidates have postdate and reply (see reply_context), posts show them."""
+    shown = [c for c in ("lou", "pid", "postdate", "content") if c in candidates.columns]
+    reply = [F.struct(*[F.col(f"reply.{c}") for c in SHOWN_OF_REPLY]).alias("reply_context")] if "reply" in candidates.columns else []
+    packs = candidates.groupBy("author_key").agg(F.array_sort(F.collect_list(F.struct(*shown, *reply))).alias("posts"), F.min("lou").alias("first_lou"))
     if context is None:
         return packs.withColumn("context_posts", F.array().cast("array<struct<lou:bigint,content:string,linked_from_lous:array<bigint>>>"))
     extra = context.groupBy("author_key").agg(F.array_sort(F.collect_list(F.struct("lou", "content", "linked_from_lous"))).alias("context_posts"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from postloom.functions.markup import clean_post, compact, reply_context, strip, truncated, unescaped_twice
 from postloom.functions.matching import asks_weight, inline_names, is_weight_only, match_form, names_in, placeholder_topics, proxy_reason, scoped_reasons, split_names, topic_id, weight_hint
-from postloom.functions.scalars import confidence, distinct_by, first_text, json_object, lou_list, to_int, without_prefixes
+from postloom.functions.scalars import confidence, distinct_by, json_object, to_int, without_prefixes
+from postloom.functions.typed import as_float, as_int, as_ints, as_text, elements, field_texts, first_held, holds, is_nothing, kind, member, members, plain
 from postloom.operators.anchors import author_anchors, topic_counts, topic_names, topic_table, warning_details
 from postloom.operators.filters import qa_without_marker, split_posts
 from postloom.operators.gaps import missing_ranges, raw_stats
@@ -20,15 +21,11 @@ from postloom.operators.latest import latest_wins, superseded_rows
 from postloom.operators.links import item_sources, new_pairs, proxies_recovered, uncovered
 from postloom.operators.numbering import entry_ids
 from postloom.operators.packs import author_packs, reply_context_posts
-from postloom.operators.targets import reply_targets, weighted_targets
+from postloom.operators.targets import reply_failures, reply_targets, weighted_targets
 from postloom.rules import ALIASES, TOPICS, Rule, Topic
 from postloom.shipping import ship
 from postloom.tables import keep, shared_folder
 
-# a list of floors may come as one value: read as JSON text, see lou_list
-ITEM = "topic_id string, topic string, topic_name string, normalized_anchor_text string, content string, text string, fields map<string,string>, source_lous string, chosen_lou string, lou string, confidence string, needs_manual_review string, note string, classification_note string"
-REFUSED = "lou string, source_lous string, ignore_reason string, topic_id string, superseded_by_lou string"
-REPLY = f"items array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>, ignored_posts array<struct<{REFUSED.replace(' ', ':').replace(',:', ',')}>>, warnings array<string>"
 PROPOSAL = ("author_key", "topic_id", "chosen_lou", "source_lous", "normalized_anchor_text", "fields", "confidence", "needs_manual_review", "note", "ord")
 #: Stages and reasons of refused posts.
 MODEL, NOT_FOR_QA, BLANK = "llm_author_pack", "reply_quote_filter", "placeholder_topic_filter"
@@ -143,12 +140,19 @@ def unclassified(candidates: DataFrame, note: str = "") -> DataFrame:
     )
 
 
+def objects_of(parsed: DataFrame, name: str, number: str) -> DataFrame:
+    """(author_key, number, i): the objects in a reply's list of that name; other values in it are left out. parsed: author_key, r (VARIANT)."""
+    listed = parsed.select("author_key", F.posexplode(elements(member(F.col("r"), name))).alias(number, "i"))
+    return listed.where(kind(F.col("i")) == "OBJECT")
+
+
 def refusals_of(parsed: DataFrame, candidates: DataFrame, topics: Sequence[Topic]) -> tuple[DataFrame, DataFrame]:
     """(rows, stubs) of the floors that replies refuse: a row for each floor of the author's own, and one for each refusal that names none of them."""
-    said = parsed.select("author_key", F.posexplode("r.ignored_posts").alias("n", "i")).where("i is not null")
-    topic = F.when(F.coalesce(F.col("i.topic_id"), F.lit("")) != "", topic_id(F.col("i.topic_id"), ALIASES))
-    reason = F.when(strip(F.coalesce("i.ignore_reason", F.lit(""))) != "", F.col("i.ignore_reason")).otherwise(MODEL_REASON)
-    said = said.select("author_key", "n", to_int(F.col("i.lou")).alias("named"), lou_list(F.col("i.source_lous")).alias("lous"), topic.alias("topic_id"), reason.alias("reason"), to_int(F.col("i.superseded_by_lou")).alias("superseded_by_lou"))
+    said = objects_of(parsed, "ignored_posts", "n")
+    of = lambda name: member(F.col("i"), name)
+    topic = F.when(holds(of("topic_id")), topic_id(plain(of("topic_id")), ALIASES))
+    reason = F.when(strip(F.coalesce(as_text(of("ignore_reason")), F.lit(""))) != "", as_text(of("ignore_reason"))).otherwise(MODEL_REASON)
+    said = said.select("author_key", "n", as_int(of("lou")).alias("named"), as_ints(of("source_lous")).alias("lous"), topic.alias("topic_id"), reason.alias("reason"), as_int(of("superseded_by_lou")).alias("superseded_by_lou"))
     said = said.withColumns({"ignore_reason": F.when(F.col("topic_id").isNull(), F.col("reason")).otherwise(scoped_reasons(F.col("reason"), F.col("topic_id"), topics)), "stage": F.lit(MODEL), "ord": F.col("n").cast("long")})
     all_lous = F.array_union("lous", F.when(F.col("named").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("named")))
     found = said.withColumn("lou", F.explode(all_lous)).join(candidates.select("author_key", "lou"), ["author_key", "lou"])
@@ -159,21 +163,21 @@ def refusals_of(parsed: DataFrame, candidates: DataFrame, topics: Sequence[Topic
 
 def normalised(candidates: DataFrame, replies: DataFrame, topics: Sequence[Topic] = TOPICS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(proposals, refused, warnings) from the classifier's replies."""
-    parsed = replies.select("author_key", F.from_json(json_object(F.col("reply")), REPLY).alias("r"))
+    parsed = replies.select("author_key", F.try_parse_json(json_object(F.col("reply"))).alias("r"))
     failed = parsed.where("r is null").select("author_key")
-    items = parsed.select("author_key", F.posexplode("r.items").alias("item_no", "i")).where("i is not null")
-    chosen = F.coalesce(to_int(F.col("i.chosen_lou")), to_int(F.col("i.lou")))
-    items = items.select(
+    of = lambda name: member(F.col("i"), name)
+    chosen = F.coalesce(as_int(of("chosen_lou")), as_int(of("lou")))
+    items = objects_of(parsed, "items", "item_no").select(
         "author_key",
         "item_no",
-        topic_id(first_text(F.col("i.topic_id"), F.col("i.topic"), F.col("i.topic_name")), ALIASES).alias("topic_id"),
-        first_text(F.col("i.normalized_anchor_text"), F.col("i.content"), F.col("i.text")).alias("given"),
-        "i.fields",
-        F.array_union(lou_list(F.col("i.source_lous")), F.when(chosen.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(chosen))).alias("source_lous"),
+        topic_id(plain(first_held(of("topic_id"), of("topic"), of("topic_name"))), ALIASES).alias("topic_id"),
+        as_text(first_held(of("normalized_anchor_text"), of("content"), of("text"))).alias("given"),
+        F.coalesce(F.transform_values(members(of("fields")), lambda _, v: F.to_json(v)), F.create_map().cast("map<string,string>")).alias("fields"),
+        F.array_union(as_ints(of("source_lous")), F.when(chosen.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(chosen))).alias("source_lous"),
         chosen.alias("chosen_lou"),
-        confidence(F.col("i.confidence").try_cast("double")).alias("confidence"),
-        (~F.coalesce(F.col("i.needs_manual_review"), F.lit("")).isin("", "false", "0", "null")).alias("review"),
-        F.coalesce(first_text(F.col("i.note"), F.col("i.classification_note")), F.lit("")).alias("note"),
+        confidence(as_float(of("confidence"))).alias("confidence"),
+        holds(of("needs_manual_review")).alias("review"),
+        F.coalesce(as_text(first_held(of("note"), of("classification_note"))), F.lit("")).alias("note"),
     )
     items = item_sources(items, candidates)
     post = candidates.select("author_key", F.col("lou").alias("chosen_lou"), F.col("content").alias("post"), F.col("reply.has_reply_quote").alias("quoted"), "ord")
@@ -195,7 +199,9 @@ def normalised(candidates: DataFrame, replies: DataFrame, topics: Sequence[Topic
     used = proposals.select(F.explode("source_lous").alias("lou"))
     bare = uncovered(candidates.select("author_key", "lou", "ord"), used, said)
     rest = bare.select("author_key", "lou", F.lit(None).cast("string").alias("topic_id"), F.lit(UNCOVERED_REASON).alias("ignore_reason"), F.lit(MODEL).alias("stage"), F.lit(None).cast("long").alias("superseded_by_lou"), "ord")
-    warnings = parsed.select("author_key", F.explode("r.warnings").alias("message")).withColumn("message", strip(F.col("message"))).where("message <> ''")
+    told = parsed.select("author_key", F.explode(F.transform(elements(member(F.col("r"), "warnings")), plain)).alias("message")).withColumn("message", strip(F.col("message"))).where("message <> ''")
+    wrong = [parsed.where(~is_nothing(F.col("r"))).where(kind(member(F.col("r"), name)) != "ARRAY").select("author_key", F.concat("author_key", F.lit(f" 的模型返回 {name} 不是数组，已忽略该字段")).alias("message")) for name in ("items", "ignored_posts")]
+    warnings = told.unionByName(wrong[0]).unionByName(wrong[1])
     return proposals, refused.unionByName(stubs).unionByName(rest), warnings
 
 
@@ -218,7 +224,7 @@ def named(proposals: DataFrame, posts: DataFrame, topic: str = "theme4_carriage_
     ours = proposals.where(F.col("topic_id") == topic)
     texts = ours.select("ord", "author_key", F.explode("source_lous").alias("lou")).join(posts.select("author_key", "lou", "content"), ["author_key", "lou"])
     texts = texts.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("lou", "content"))).alias("_posts"))
-    given = F.flatten(F.transform(F.coalesce(F.map_values("fields"), F.array().cast("array<string>")), lambda v: split_names(v, unescape)))
+    given = F.flatten(F.transform(field_texts(F.col("fields")), lambda v: split_names(v, unescape)))
     here = inline_names(F.coalesce("normalized_anchor_text", F.lit("")), unescape)
     there = F.flatten(F.transform(F.coalesce(F.col("_posts.content"), F.array().cast("array<string>")), lambda v: names_in(v, unescape)))
     names = without_prefixes(distinct_by(F.concat(given, here, there), match_form))
@@ -231,7 +237,7 @@ def _offers(proposals: DataFrame, candidates: DataFrame) -> DataFrame:
     """Proposals with the post ids that a reply may name."""
     rows = proposals.select(F.col("ord").alias("proposal_id"), "topic_id", "fields", "normalized_anchor_text", F.col("chosen_lou").alias("target_lou"), F.explode("source_lous").alias("lou")).join(candidates.select("lou", "pid"), "lou")
     same = lambda c: F.min(c).alias(c)  # noqa: E731  the same in all rows of a proposal
-    rows = rows.groupBy("proposal_id").agg(same("topic_id"), F.min(F.map_values("fields")).alias("fields"), same("normalized_anchor_text"), same("target_lou"), F.collect_list("pid").alias("source_pids"))
+    rows = rows.groupBy("proposal_id").agg(same("topic_id"), F.min(field_texts(F.col("fields"))).alias("fields"), same("normalized_anchor_text"), same("target_lou"), F.collect_list("pid").alias("source_pids"))
     return rows.withColumn("is_weight", F.coalesce(weight_hint(F.col("normalized_anchor_text")).isNotNull() | is_weight_only(F.col("normalized_anchor_text")), F.lit(False)))
 
 
@@ -243,9 +249,13 @@ def weight_text(topic: Column, match_text: Column, meant: Column, content: Colum
     return F.coalesce(F.concat(F.lit("加权："), one_line), blank(content), F.lit("加权"))
 
 
+def _askers(asks: DataFrame) -> DataFrame:
+    return asks.select(F.col("key").alias("lou"), "reply_to_pid", "hint", "preview")
+
+
 def _weights(asks: DataFrame, offers: DataFrame) -> DataFrame:
     """Submissions that replies stand for, one a target, in order of the targets. asks: key (the floor asked for), lou (the reply's), author_key, hint, preview, content, reply_to_pid, ord, confidence, source_lous."""
-    found = reply_targets(asks.select(F.col("key").alias("lou"), "reply_to_pid", "hint", "preview"), offers).withColumnRenamed("lou", "key")
+    found = reply_targets(_askers(asks), offers).withColumnRenamed("lou", "key")
     offered = offers.select(F.col("proposal_id").alias("target"), "topic_id", F.col("normalized_anchor_text").alias("meant"), "target_lou")
     rows = asks.join(found.select("key", "target", "match_text").join(offered, "target"), "key")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("target_lou", "topic_id", "target"))
@@ -266,28 +276,33 @@ def _weights(asks: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
-def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replies that add weight become submissions to the topics of what they reply to.
+def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proposals, refused, warnings): replies that add weight become submissions to the topics of what they reply to.
 
     First those that the classifier made submissions of: all of a floor are replaced by what
     the first one's earliest post points to. Then those that were refused, unless the floor
-    has a submission to the topic. Where no target is found, rows stay as they are.
+    has a submission to the topic. Where no target is found, rows stay as they are and a
+    warning says why.
     """
     folder = shared_folder(proposals.sparkSession)
-    posts = candidates.where("reply.reply_to_pid is not null").where(F.coalesce(F.col("asks") | F.col("weight_only"), F.lit(False)))
-    posts = posts.select("author_key", "lou", "hint", "content", F.col("reply.reply_to_pid").alias("reply_to_pid"), F.col("reply.quoted_preview").alias("preview"), "ord")
+    posts = candidates.where(F.coalesce(F.col("asks") | F.col("weight_only"), F.lit(False)))
+    posts = posts.select("author_key", "lou", "hint", "content", F.col("reply.reply_to_pid").alias("reply_to_pid"), F.col("reply.quoted_preview").alias("preview"), "ord", "weight_only")
+    named_posts = posts.where("reply_to_pid is not null")
     offers = keep(_offers(proposals, candidates), f"{folder}/offers")
     made = proposals.select("author_key", F.col("chosen_lou").alias("key"), F.array_min("source_lous").alias("lou"), F.col("ord").alias("proposal"), "confidence", "source_lous")
-    asked = made.join(posts, ["author_key", "lou"])
+    asked = made.join(named_posts, ["author_key", "lou"])
     first = asked.groupBy("author_key", "key").agg(F.min("proposal").alias("proposal"))
-    fresh = keep(_weights(asked.join(first, ["author_key", "key", "proposal"]), offers), f"{folder}/fresh")
+    asked = keep(asked.join(first, ["author_key", "key", "proposal"]), f"{folder}/asked")
+    fresh = keep(_weights(asked, offers), f"{folder}/fresh")
     proposals = proposals.join(fresh.select(F.col("key").alias("chosen_lou")).distinct(), "chosen_lou", "left_anti").select(*PROPOSAL).unionByName(fresh.select(*PROPOSAL))
-    asks = refused.select("author_key", "lou").distinct().join(posts, ["author_key", "lou"])
-    asks = asks.withColumns({"key": F.col("lou"), "confidence": F.lit(None).cast("double"), "source_lous": F.array().cast("array<bigint>")})
-    back = keep(_weights(asks, offers), f"{folder}/back")
+    asks = refused.select("author_key", "lou").distinct().join(posts.where("reply_to_pid is not null or weight_only"), ["author_key", "lou"])
+    asks = keep(asks.withColumns({"key": F.col("lou"), "confidence": F.lit(None).cast("double"), "source_lous": F.array().cast("array<bigint>")}), f"{folder}/asks")
+    back = keep(_weights(asks.where("reply_to_pid is not null"), offers), f"{folder}/back")
     there = proposals.select(F.col("chosen_lou").alias("lou"), "topic_id")
     added = new_pairs(back.withColumn("lou", F.col("chosen_lou")), there)
-    return proposals.unionByName(added.select(*PROPOSAL)), refused.join(back.select("author_key", F.col("key").alias("lou")).distinct(), ["author_key", "lou"], "left_anti")
+    said = lambda rows, what: reply_failures(_askers(rows), offers).select("lou", F.concat(F.format_string("楼层 %d 的 Reply 加权", F.col("lou")), F.lit(what), F.col("reason")).alias("message"))
+    warnings = said(asked, "未能从模型条目规范化：").unionByName(said(asks, "未能恢复："))
+    return proposals.unionByName(added.select(*PROPOSAL)), refused.join(back.select("author_key", F.col("key").alias("lou")).distinct(), ["author_key", "lou"], "left_anti"), warnings
 
 
 def run_counts(out: Tally) -> DataFrame:
@@ -313,25 +328,28 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
     if classifier is None:
         proposals = unclassified(candidates)
     else:
-        context = reply_context_posts(candidates.select("author_key", "lou", "pid", F.col("reply.reply_to_pid").alias("reply_to_pid")), cleaned)
+        # only replies that ask for weight show what they reply to
+        context = reply_context_posts(candidates.select("author_key", "lou", "pid", F.when(F.col("asks"), F.col("reply.reply_to_pid")).alias("reply_to_pid")), cleaned)
         # kept, so that no pack is sent to the classifier twice
         replies = keep(classified(author_packs(candidates, context), classifier, prompt=prompt), f"{folder}/replies")
         proposals, refused, warnings = normalised(candidates, replies, rule.topics)
         proposals, refused = keep(proposals, f"{folder}/proposals"), keep(refused, f"{folder}/refused")
         proposals = keep(named(proposals, candidates), f"{folder}/named")
         warnings = warnings_that_hold(warnings, proposals.where("topic_id = 'theme4_carriage_name'"))
-        proposals, refused = recovered_weights(proposals, refused, candidates)
+        proposals, refused, unmet = recovered_weights(proposals, refused, candidates)
+        warnings = keep(warnings.unionByName(unmet), f"{folder}/warnings")
         proposals, refused = keep(proposals, f"{folder}/weighted"), keep(refused.drop("ord"), f"{folder}/left")
         refusals = refusals.unionByName(refused)
-    own = candidates.select(F.col("lou").alias("chosen_lou"), "hint", "proxy", F.col("content").alias("post"))
-    proposals = proposals.join(own.dropDuplicates(["chosen_lou"]), "chosen_lou", "left")
+    # of an author's posts on one floor (a page read twice) the first holds
+    own = candidates.groupBy("author_key", F.col("lou").alias("chosen_lou")).agg(F.min(F.struct("ord", "hint", "proxy", F.col("content").alias("post"))).alias("own"))
+    proposals = proposals.join(own.select("author_key", "chosen_lou", "own.hint", "own.proxy", "own.post"), ["author_key", "chosen_lou"], "left")
     several = [t.id for t in rule.topics if t.allow_multiple_per_author]
     free = " or ".join(["topic_id = 'unclassified'", "proxy is not null", *(f"topic_id = '{t}'" for t in several)])
     kept, lost = latest_wins(proposals, free)
     entries = entry_ids(kept, {t.id: n for n, t in enumerate(rule.topics)})
     entries = keep(entries, f"{folder}/entries")
     entries = topic_names(entries, topic_table(spark, rule.topics))
-    targets = weighted_targets(entries.select("entry_id", "topic_id", "hint", F.map_values("fields").alias("fields"), F.col("post").alias("content")))
+    targets = weighted_targets(entries.select("entry_id", "topic_id", "hint", field_texts(F.col("fields")).alias("fields"), F.col("post").alias("content")))
     targets = targets.select(F.col("asker").alias("entry_id"), F.col("target").alias("weighted_entry_id"), F.col("note").alias("weight_note"))
     entries = entries.join(targets, "entry_id", "left").withColumn("needs_manual_review", F.col("needs_manual_review") | F.col("weight_note").isNotNull())
     refusals = refusals.unionByName(superseded_rows(lost).select("author_key", "lou", "topic_id", "ignore_reason", "stage", "superseded_by_lou"))

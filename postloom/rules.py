@@ -5,6 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
+#: How reasons may call a topic, by the first part of its id.
+PREFIXES = {
+    "theme1": ["主题1", "主题一"],
+    "theme2": ["主题2", "主题二"],
+    "theme3": ["主题3", "主题三"],
+    "theme4": ["主题4", "主题四"],
+    "qa": ["特别环节", "Q&A", "qa", "问答"],
+}
+
+
 @dataclass(frozen=True)
 class Topic:
     id: str
@@ -16,12 +26,8 @@ class Topic:
 
     def prefixes(self) -> list[str]:
         """How a reason may already begin with the topic."""
-        out = [self.name, self.short_name]
-        if self.id.startswith("theme") and self.id[5:6] in "1234" and self.id[6:7] == "_":
-            out += [f"主题{self.id[5]}", f"主题{dict(zip('1234', '一二三四', strict=True))[self.id[5]]}"]
-        elif self.id == "qa":
-            out += ["特别环节", "Q&A", "qa", "问答"]
-        return out
+        kind = self.id.split("_")[0] if "_" in self.id else self.id
+        return [self.name, self.short_name, *PREFIXES.get(kind, [])]
 
 
 #: The topics of the default thread, in order, with what they ask for and when they end.
@@ -35,16 +41,41 @@ TOPICS = (
 )
 #: Other names of the topics.
 ALIASES = {
-    alias: topic
-    for topic, names in {
-        "theme1_travel": "主题1 主题一 theme1 travel 旅行 旅游",
-        "theme2_training": "主题2 主题二 theme2 女仆修行 修行之道 training",
-        "theme2_guest": "难缠之客 难缠的客人 难缠顾客 不速之客 guest 客人",
-        "theme3_engagement": "主题3 主题三 theme3 订婚 订婚大作战 engagement",
-        "theme4_carriage_name": "主题4 主题四 theme4 马车名字 马车名称 马车的名字 carriage_name",
-        "qa": "特别环节 q&a qa 问答",
-    }.items()
-    for alias in names.split()
+    "主题1": "theme1_travel",
+    "主题一": "theme1_travel",
+    "theme1": "theme1_travel",
+    "travel": "theme1_travel",
+    "旅行": "theme1_travel",
+    "旅游": "theme1_travel",
+    "主题2": "theme2_training",
+    "主题二": "theme2_training",
+    "theme2": "theme2_training",
+    "女仆修行": "theme2_training",
+    "修行之道": "theme2_training",
+    "training": "theme2_training",
+    "难缠之客": "theme2_guest",
+    "难缠的客人": "theme2_guest",
+    "难缠顾客": "theme2_guest",
+    "不速之客": "theme2_guest",
+    "guest": "theme2_guest",
+    "客人": "theme2_guest",
+    "主题3": "theme3_engagement",
+    "主题三": "theme3_engagement",
+    "theme3": "theme3_engagement",
+    "订婚": "theme3_engagement",
+    "订婚大作战": "theme3_engagement",
+    "engagement": "theme3_engagement",
+    "主题4": "theme4_carriage_name",
+    "主题四": "theme4_carriage_name",
+    "theme4": "theme4_carriage_name",
+    "马车名字": "theme4_carriage_name",
+    "马车名称": "theme4_carriage_name",
+    "马车的名字": "theme4_carriage_name",
+    "carriage_name": "theme4_carriage_name",
+    "特别环节": "qa",
+    "q&a": "qa",
+    "qa": "qa",
+    "问答": "qa",
 }
 
 
