@@ -37,6 +37,11 @@ def percent_label(c: Column) -> Column:
     return F.concat(F.bround(c * 100).cast("long").cast("string"), F.lit("%"))
 
 
+def percent_shown(c: Column) -> Column:
+    """As readers see it on a screen: halves upwards, a note where there is none."""
+    return F.coalesce(F.concat(F.floor(c * 100 + 0.5).cast("string"), F.lit("%")), F.lit("待复核"))
+
+
 def flag_label(c: Column) -> Column:
     return F.when(c, F.lit("是")).otherwise(F.lit(""))
 

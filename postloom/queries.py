@@ -537,7 +537,7 @@ def sheet_rows(spark, sf_dir):
     return views.sheet_rows(e, ["name", "empty"])
 
 
-from postloom import queries_archive, queries_typed  # noqa: E402, F401  register their queries here
+from postloom import queries_archive, queries_typed, queries_views  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Query]:
