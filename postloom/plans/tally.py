@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from postloom.functions.matching import asks_weight, inline_names, is_weight_onl
 from postloom.functions.scalars import confidence, distinct_by, json_object, to_int, without_prefixes
 from postloom.functions.typed import as_float, as_int, as_ints, as_text, elements, field_texts, first_held, holds, is_nothing, kind, member, members, plain
 from postloom.operators.anchors import author_anchors, topic_counts, topic_names, topic_table, warning_details
+from postloom.operators.calls import Limits, called
 from postloom.operators.filters import qa_without_marker, split_posts
 from postloom.operators.gaps import missing_ranges, raw_stats
 from postloom.operators.latest import latest_wins, superseded_rows
@@ -23,7 +23,6 @@ from postloom.operators.numbering import entry_ids
 from postloom.operators.packs import author_packs, reply_context_posts
 from postloom.operators.targets import reply_failures, reply_targets, weighted_targets
 from postloom.rules import ALIASES, TOPICS, Rule, Topic
-from postloom.shipping import ship
 from postloom.tables import keep, shared_folder
 
 PROPOSAL = ("author_key", "topic_id", "chosen_lou", "source_lous", "normalized_anchor_text", "fields", "confidence", "needs_manual_review", "note", "ord")
@@ -97,31 +96,25 @@ def pack_prompt(rule: Rule) -> Column:
     return F.concat(F.lit(task + "\n\n"), special, F.lit(f"主题：\n{topics}\n\n只返回一个 JSON 对象，形如：\n{form}\n\n候选楼：\n"), shown)
 
 
-def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int = 2, prompt: Column | None = None) -> DataFrame:
+def classified(packs: DataFrame, classifier: Callable[[str], str], retries: int = 2, prompt: Column | None = None, limits: Limits | None = None) -> DataFrame:
     """(author_key, reply): the classifier's answer to each pack as JSON text; null where it failed. It is asked again while the answer holds no JSON object.
 
-    It is asked `prompt` (see pack_prompt), or the pack itself as JSON. A failure counts for its own pack alone. As many packs are asked at a time as there are partitions.
+    It is asked `prompt` (see pack_prompt), or the pack itself as JSON. A failure, or an answer that takes
+    longer than the limits allow, counts for its own pack alone. So many packs are asked at a time in each task
+    as the limits say.
     """
-    ship(packs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = []
-            for prompt in batch["prompt"]:
-                reply = None
-                for attempt in range(retries + 1):
-                    try:
-                        reply = classifier(prompt if not attempt else prompt + "\n只输出一个 JSON 对象。")
-                    except Exception:  # noqa: BLE001  whatever a remote service throws
-                        reply = None
-                        break
-                    if holds_object(reply):
-                        break
-                replies.append(reply)
-            yield pd.DataFrame({"author_key": batch["author_key"], "reply": replies})
-
-    prompt = F.to_json(F.struct("author_key", "posts", "context_posts")) if prompt is None else prompt
-    return packs.select("author_key", prompt.alias("prompt")).mapInPandas(run, "author_key string, reply string")
+
+    def ask(text: str) -> str | None:
+        reply = None
+        for attempt in range(retries + 1):
+            reply = classifier(text if not attempt else text + "\n只输出一个 JSON 对象。")
+            if holds_object(reply):
+                break
+        return reply
+
+    shown = F.to_json(F.struct("author_key", "posts", "context_posts")) if prompt is None else prompt
+    asked = called(packs.select("author_key", shown.alias("prompt")), "prompt", ask, limits or Limits(seconds=180 * (retries + 1)), "reply")
+    return asked.select("author_key", "reply")
 
 
 def unclassified(candidates: DataFrame, note: str = "") -> DataFrame:
@@ -315,8 +308,8 @@ def run_counts(out: Tally) -> DataFrame:
     return parts.agg(*[F.max(c).alias(c) for c in names], (F.max("to_review") + F.max("warning_count") > 0).alias("manual_review_required"))
 
 
-def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice, prompt: Column | None = None) -> Tally:
-    """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at. For prompt see classified."""
+def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice, prompt: Column | None = None, limits: Limits | None = None) -> Tally:
+    """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at. For prompt and limits see classified."""
     folder = shared_folder(spark)
     cleaned = posts.withColumns({"reply": reply_context(F.col("content"), unescape), "raw": F.col("content"), "content": clean_post(F.col("content"), unescape)})
     cleaned = keep(cleaned, f"{folder}/cleaned")
@@ -331,7 +324,7 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
         # only replies that ask for weight show what they reply to
         context = reply_context_posts(candidates.select("author_key", "lou", "pid", F.when(F.col("asks"), F.col("reply.reply_to_pid")).alias("reply_to_pid")), cleaned)
         # kept, so that no pack is sent to the classifier twice
-        replies = keep(classified(author_packs(candidates, context), classifier, prompt=prompt), f"{folder}/replies")
+        replies = keep(classified(author_packs(candidates, context), classifier, prompt=prompt, limits=limits), f"{folder}/replies")
         proposals, refused, warnings = normalised(candidates, replies, rule.topics)
         proposals, refused = keep(proposals, f"{folder}/proposals"), keep(refused, f"{folder}/refused")
         proposals = keep(named(proposals, candidates), f"{folder}/named")

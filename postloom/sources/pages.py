@@ -9,9 +9,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from postloom.functions.scalars import page_of, to_int
+from postloom.functions.scalars import PAGE_POSTS, to_int
 from postloom.operators.packs import author_key
 from postloom.shipping import ship
 
@@ -32,8 +32,9 @@ def page_warnings(pages: DataFrame) -> DataFrame:
 
 def in_floors(pages: DataFrame, first: int, last: int | None) -> DataFrame:
     """Pages that can hold floors first..last; a filter on `page`, so a partitioned folder is pruned."""
-    out = pages.where(F.col("page") >= page_of(F.lit(first)))
-    return out if last is None else out.where(F.col("page") <= page_of(F.lit(last)))
+    page = lambda lou: lou // PAGE_POSTS + 1
+    out = pages.where(F.col("page") >= page(first))
+    return out if last is None else out.where(F.col("page") <= max(page(first), page(last)))
 
 
 def posts_of(pages: DataFrame) -> DataFrame:
@@ -61,10 +62,22 @@ def rule_post(posts: DataFrame, lou: int) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Threads in order: ord, thread_name, tid, aid, description; none where there is no such file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], "ord int, thread_name string, tid long, aid long, description string")
     rows = spark.read.schema("ThreadList array<struct<thread_name:string,tid:long,aid:long,description:string>>").json(path, multiLine=True)
     return rows.select(F.posexplode("ThreadList").alias("ord", "t")).select("ord", "t.*")
 
 
+def thread_of(catalog: DataFrame, name: str) -> tuple[int | None, int | None]:
+    """(tid, aid) of the first thread of that name; fails where there is none."""
+    found = catalog.where(F.col("thread_name") == name).orderBy("ord").head()
+    if found is None:
+        raise LookupError(f"no thread is called {name}")
+    return found.tid, found.aid
+
+
 def new_threads(catalog: DataFrame, more: DataFrame) -> DataFrame:
     """Catalog with the threads that are not in it yet, told by tid and aid (null equals null)."""
     same = (F.col("m.tid") == F.col("c.tid")) & F.col("m.aid").eqNullSafe(F.col("c.aid"))
@@ -82,7 +95,12 @@ def html_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class PageSource(DataSource):
-    """`spark.read.format("forum_pages")` with options url, tid, authorid, first, last: one partition for each page."""
+    """`spark.read.format("forum_pages")` with options url, tid, authorid, first, last: one partition for each page.
+
+    A filter on `page` decides which pages are asked for, as first and last do; all are clamped
+    to the pages that the thread has. Such filters are pushed down where
+    spark.sql.python.filterPushdown.enabled is on.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -96,16 +114,39 @@ class PageSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session and its workers."""
+    """Makes the format known to the session and its workers, and lets filters reach it."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PageSource)
 
 
 class _PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.first, self.last, self.only = max(1, int(options.get("first", 1))), int(options["last"]) if options.get("last") else None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) != ("page",) or not self._take(f):
+                yield f  # left to Spark
+
+    def _take(self, f: Filter) -> bool:
+        least = {GreaterThan: 1, GreaterThanOrEqual: 0}.get(type(f))
+        most = {LessThan: 1, LessThanOrEqual: 0}.get(type(f))
+        if least is not None:
+            self.first = max(self.first, f.value + least)
+        elif most is not None:
+            self.last = min(x for x in (self.last, f.value - most) if x is not None)
+        elif isinstance(f, (EqualTo, In)):
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.only = wanted if self.only is None else self.only & wanted
+        else:
+            return isinstance(f, IsNotNull)
+        return True
 
     def _page(self, page: int) -> str:
+        if page < 1:
+            raise ValueError(f"page {page}: pages begin at 1")
         form = {"page": page, "tid": self.options["tid"]} | ({"authorid": self.options["authorid"]} if self.options.get("authorid") else {})
         with urllib.request.urlopen(self.options["url"], urllib.parse.urlencode(form).encode(), timeout=60) as reply:
             body = reply.read().decode()
@@ -114,8 +155,11 @@ class _PageReader(DataSourceReader):
         return body
 
     def partitions(self) -> list[InputPartition]:
-        last = int(self.options.get("last") or json.loads(self._page(1)).get("totalPage") or 1)
-        return [InputPartition(k) for k in range(max(1, int(self.options.get("first", 1))), last + 1)]
+        if self.last is not None and self.last < self.first or self.only == set():
+            return []
+        total = int(json.loads(self._page(1)).get("totalPage") or 1)
+        last = total if self.last is None else min(self.last, total)
+        return [InputPartition(k) for k in range(self.first, last + 1) if self.only is None or k in self.only]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
         yield partition.value, self._page(partition.value)
