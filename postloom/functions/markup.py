@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from postloom.functions.entities import unescaped_twice
 
 #: The reply-quote block and what it holds.
 REPLY_QUOTE = r"(?iusU)\[quote\]\s*\[pid=(\d+)(?:,(\d+),(\d+))?\]Reply\[/pid\](.*?)\[/quote\]"
@@ -46,13 +44,8 @@ def strip(c: Column) -> Column:
     return sub(c, (r"(?U)\A\s+|\s+\z", ""))
 
 
-@F.pandas_udf(StringType())
-def unescaped_twice(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
-
-
 def unescaped_basic(c: Column) -> Column:
-    """The five entities that markup needs, twice; stays in the JVM. Numbered and other named entities are left."""
+    """The five entities that markup needs, twice. Numbered and other named entities are left."""
     for _ in range(2):
         for name, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
             c = F.replace(c, F.lit(name), F.lit(to))

@@ -46,9 +46,10 @@ class Tally:
     topic_counts: DataFrame
     missing: DataFrame
     stats: DataFrame
+    counts: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return dict(vars(self))
+        return {name: df for name, df in vars(self).items() if df is not None}
 
 
 def holds_object(reply: str | None) -> bool:
@@ -298,13 +299,14 @@ def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: Data
     return proposals.unionByName(added.select(*PROPOSAL)), refused.join(back.select("author_key", F.col("key").alias("lou")).distinct(), ["author_key", "lou"], "left_anti"), warnings
 
 
-def run_counts(out: Tally) -> DataFrame:
-    """One row: entries, authors, refused rows, those that a newer submission superseded, and whether somebody has to look."""
+def run_counts(out: Tally, candidates: DataFrame) -> DataFrame:
+    """One row: candidates, entries, authors, refused rows, those that a newer submission superseded, and whether somebody has to look."""
     superseded = (F.col("stage") == "superseded") | (F.coalesce("superseded_by_lou", F.lit(0)) != 0)
     parts = out.entries.agg(F.count("*").alias("entry_count"), F.countDistinct("author_key").alias("author_count"), F.count(F.when(F.col("needs_manual_review"), 1)).alias("to_review"))
     parts = parts.unionByName(out.ignored.agg(F.count("*").alias("ignored_count"), F.count(F.when(superseded, 1)).alias("superseded_count")), allowMissingColumns=True)
     parts = parts.unionByName(out.warnings.agg(F.count(F.when(F.col("type") == "runtime_warning", 1)).alias("warning_count")), allowMissingColumns=True)
-    names = ("entry_count", "author_count", "ignored_count", "superseded_count", "warning_count")
+    parts = parts.unionByName(candidates.agg(F.count("*").alias("candidate_count")), allowMissingColumns=True)
+    names = ("candidate_count", "entry_count", "author_count", "ignored_count", "superseded_count", "warning_count")
     return parts.agg(*[F.max(c).alias(c) for c in names], (F.max("to_review") + F.max("warning_count") > 0).alias("manual_review_required"))
 
 
@@ -346,4 +348,6 @@ def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callabl
     targets = targets.select(F.col("asker").alias("entry_id"), F.col("target").alias("weighted_entry_id"), F.col("note").alias("weight_note"))
     entries = entries.join(targets, "entry_id", "left").withColumn("needs_manual_review", F.col("needs_manual_review") | F.col("weight_note").isNotNull())
     refusals = refusals.unionByName(superseded_rows(lost).select("author_key", "lou", "topic_id", "ignore_reason", "stage", "superseded_by_lou"))
-    return Tally(entries, author_anchors(entries), refusals, warning_details(entries, warnings), topic_counts(entries), missing_ranges(posts, rule.start_lou, rule.end_lou), raw_stats(posts))
+    out = Tally(entries, author_anchors(entries), refusals, warning_details(entries, warnings), topic_counts(entries), missing_ranges(posts, rule.start_lou, rule.end_lou), raw_stats(posts))
+    out.counts = run_counts(out, candidates)
+    return out

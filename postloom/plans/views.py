@@ -90,15 +90,20 @@ def text_export(entries: DataFrame, ignored: DataFrame, lines: int = 1000, tab:
     return grouped.select("topic_id", "part", F.array_join("x.line", "\n").alias("body"))
 
 
-def field_headers(entries: DataFrame, first: dict[str, list[str]] | None = None) -> DataFrame:
-    """(topic_id, headers): names of a topic's fields: the fixed ones of FIELD_ORDER, then by the entry that names them first. A list is as long as a sheet is wide."""
+def field_headers(entries: DataFrame, first: dict[str, list[str]] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(topic_id, headers): names of a topic's fields: the fixed ones of FIELD_ORDER, then by the entry that names them first, those of one entry in order of their letters.
+
+    A list is as long as a sheet is wide. Topics are those of the entries, and those of `of`.
+    """
     order = first if first is not None else FIELD_ORDER
     fixed = entries.sparkSession.createDataFrame([(t, -1, n, f) for t, fields in order.items() for n, f in enumerate(fields)] or [("", -1, 0, "")], "topic_id string, lou long, at int, field string")
-    fixed = fixed.join(entries.select("topic_id").distinct(), "topic_id", "left_semi")
+    topics = entries.select("topic_id") if of is None else entries.select("topic_id").union(of.select("topic_id"))
+    topics = topics.where("topic_id is not null").distinct()
+    fixed = fixed.join(topics, "topic_id", "left_semi")
     own = entries.select("topic_id", F.coalesce("chosen_lou", "entry_id").alias("lou"), F.posexplode(F.map_keys("fields")).alias("at", "field"))
     firsts = fixed.unionByName(own).groupBy("topic_id", "field").agg(F.min(F.struct("lou", "at", "field")).alias("x"))
     sorted_ = firsts.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["field"]).alias("headers"))
-    return sorted_
+    return topics.join(sorted_, "topic_id", "left").withColumn("headers", F.coalesce("headers", F.array().cast("array<string>")))
 
 
 def sheet_cells(entries: DataFrame, headers: DataFrame) -> DataFrame:
@@ -115,8 +120,7 @@ def sheet_cells(entries: DataFrame, headers: DataFrame) -> DataFrame:
     after = F.array(text("content"), floor_label(F.col("source_lous"), F.col("chosen_lou")), *map(text, ("target", "target_lou", "target_author")), F.coalesce(flag_label(F.col("needs_manual_review")), F.lit("")), text("notes"), text("url"))
     body = rows.select("topic_id", "row_no", F.concat(before, own, after).alias("cells"))
     top = headers.select("topic_id", F.lit(0).cast("long").alias("row_no"), F.concat(F.array(*map(F.lit, HEADINGS_BEFORE)), "headers", F.array(*map(F.lit, HEADINGS_AFTER))).alias("cells"))
-    bare = entries.select("topic_id").distinct().join(headers.select("topic_id"), "topic_id", "left_anti").select("topic_id", F.lit(0).cast("long").alias("row_no"), F.array(*map(F.lit, (*HEADINGS_BEFORE, *HEADINGS_AFTER))).alias("cells"))
-    return body.unionByName(top).unionByName(bare)
+    return body.unionByName(top)
 
 
 def sheet_widths(cells: DataFrame, cap: int = 60, looked_at: int = 200) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postloom.functions.entities import unescaped
+from postloom.functions.markup import clean_legacy
 from postloom.functions.scalars import percent_shown
 from postloom.operators import anchors
-from postloom.plans import views
-from postloom.queries import ENTRIES, POSTS, TOPICS, entries, posts, query, table
+from postloom.plans import legacy, views, workbook
+from postloom.queries import ENTRIES, POSTS, RULE, TOPICS, entries, posts, query, table, talk
 from postloom.rules import Topic
 
 
@@ -71,3 +73,25 @@ def topics_in_order(spark, sf_dir):
 @query(f"select lou, case when k % 7 = 0 then '待复核' else floor(k / 200.0 * 100 + 0.5)::int || '%' end shown from ({POSTS})")
 def percents_shown(spark, sf_dir):
     return posts(spark, sf_dir).select("lou", percent_shown(F.when(F.col("k") % 7 != 0, F.col("k") / 200)).alias("shown"))
+
+
+@query(
+    f"""with r as (select * from ({POSTS}) where lou > 100 and uid not in (3, 7, 11) and postdate <= '2024-01-20 12:00' and lou not in (500, 501, 777)), a as (select author_key, min(lou) f, count(*) n from r group by 1), b as (select *, row_number() over (order by f, author_key) author_number from a),
+    x as (select 'Sheet1' sheet, row_number() over (order by author_number, lou) row_no, concat_ws('|', author_number, uid, username, lou, trim(content), case when n > 1 then '是' else '' end) cells, (length(trim(content)) // 100 + 1) * 50 height, n > 1 marked from r join b using (author_key)),
+    y as (select 'Ignored' sheet, row_number() over (order by lou) row_no, concat_ws('|', uid, username, lou, trim(content), case when lou <= 100 then '楼层 ' || lou || ' 小于等于起始楼层 100' when uid in (3, 7, 11) then '作者' || username || '在忽略名单中' when postdate > '2024-01-20 12:00' then '时间 ' || postdate || ' 超过截止时间 2024-01-20 12:00' else '楼层 ' || lou || ' 在忽略楼层名单中' end) cells, (length(trim(content)) // 100 + 1) * 25 height, false marked from ({POSTS}) where lou not in (select lou from r))
+    select * from x union all select * from y union all select 'Sheet1', 0, '编号|作者ID|作者名称|安价楼层|安价内容|是否有可能重复安价', null, false union all select 'Ignored', 0, '作者ID|作者名称|楼层|内容|忽略原因', null, false"""
+)
+def older_sheets(spark, sf_dir):
+    rows, refused = legacy.legacy_tally(posts(spark, sf_dir), RULE)
+    refused = refused.withColumn("text", clean_legacy(F.col("content")))
+    return workbook.older_book(rows, refused).select("sheet", "row_no", F.array_join("cells", "|").alias("cells"), "height", "marked")
+
+
+@query(
+    """select conv_id, turn, '<' || role || 'A©¬it; &<é\U0001f437€&unknown;' || chr(160) || '�' || 'fj∾̳' once, '<' || role || 'A©¬it; &<é\U0001f437€&unknown;' || chr(160) || '�' || 'fj∾̳' twice from conversations"""
+)
+def references(spark, sf_dir):
+    """Named, numbered, unended and unknown character references."""
+    text = F.concat(F.lit("&lt;"), "role", F.lit("&#x41;&copy;&notit; &amp;&lt&#233;&#x1F437;&#128;&unknown;&nbsp;&#xD800;&fjlig;&acE;"))
+    once = unescaped(text)
+    return talk(spark, sf_dir).select("conv_id", "turn", once.alias("once"), unescaped(once).alias("twice"))

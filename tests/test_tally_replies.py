@@ -65,7 +65,7 @@ def test_odd_replies(spark):
         ("uid:2", 5, qa + "无有效安价内容，仅为占位符", "placeholder_topic_filter"),
         ("uid:2", 5, "模型未将该楼归入任何有效条目", "llm_author_pack"),
     }
-    counts = tally.run_counts(out).first()
+    counts = out.counts.first()
     assert counts.asDict() == {"entry_count": 2, "author_count": 1, "ignored_count": 5, "superseded_count": 1, "warning_count": 1, "manual_review_required": True}
 
 

@@ -83,7 +83,7 @@ def test_warnings_of_replies_without_a_target(spark):
         (2, "楼层 2 的 Reply 加权未能恢复：reply pid=556 没有对应候选条目"),
         (3, "楼层 3 的 Reply 加权未能恢复：Reply 引用里没有 pid"),
     }
-    assert tally.run_counts(out).first()["warning_count"] == 3
+    assert out.counts.first()["warning_count"] == 3
 
 
 def test_packs_show_replies(spark):
