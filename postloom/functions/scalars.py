@@ -20,10 +20,6 @@ def whole(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("long"))
 
 
-def to_float(c: Column, default: float | None = None) -> Column:
-    return F.coalesce(strip(c).try_cast("double"), F.lit(default).cast("double"))
-
-
 def confidence(c: Column) -> Column:
     """Into 0 to 1; null stays."""
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double"))))
@@ -77,11 +73,6 @@ def lou_list(c: Column) -> Column:
     return F.coalesce(int_list(values), F.array().cast("array<bigint>"))
 
 
-def first_text(*columns: Column) -> Column:
-    """The first that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
-
-
 def distinct_by(values: Column, norm) -> Column:
     """The first of the values that share a normal form, in order; those with an empty one are left out."""
     empty = F.array().cast("array<struct<n:string,v:string>>")
@@ -99,10 +90,6 @@ def without_prefixes(values: Column) -> Column:
     return F.filter(values, lambda v: ~F.exists(values, lambda o: (o != v) & (F.startswith(o, F.concat(v, F.lit("("))) | F.startswith(o, F.concat(v, F.lit("（"))))))
 
 
-def non_blank(fields: Column) -> Column:
-    return F.map_filter(fields, lambda _, v: F.coalesce(strip(v), F.lit("")) != "")
-
-
 def json_object(c: Column) -> Column:
     """Text of the JSON object in a reply: code fence taken off, else from the first brace to the last; null where there is none."""
     bare = strip(F.regexp_replace(strip(c), r"(?is)\A```(?:json)?\s*|\s*```\z", ""))

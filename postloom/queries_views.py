@@ -95,3 +95,23 @@ def references(spark, sf_dir):
     text = F.concat(F.lit("&lt;"), "role", F.lit("&#x41;&copy;&notit; &amp;&lt&#233;&#x1F437;&#128;&unknown;&nbsp;&#xD800;&fjlig;&acE;"))
     once = unescaped(text)
     return talk(spark, sf_dir).select("conv_id", "turn", once.alias("once"), unescaped(once).alias("twice"))
+
+
+@query(
+    f"""with r as (select * from ({POSTS}) where lou > 100 and uid not in (3, 7, 11) and postdate <= '2024-01-20 12:00' and lou not in (500, 501, 777))
+    select p.n posts, a.n authors, p.n - r.n refused, a.n + p.n - r.n = p.n adds_up from (select count(*) n from ({POSTS})) p, (select count(*) n from r) r, (select count(distinct author_key) n from r) a"""
+)
+def reconciliation(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    return legacy.reconciliation(p, *legacy.legacy_tally(p, RULE))
+
+
+@query(
+    f"""select lou, concat_ws(chr(10), case when k % 3 = 0 then 'n' || k end, case when k % 5 = 0 then '文本包含“代发安价”' end, case when k % 2 = 0 then '覆盖楼层 #' || k || ', #' || (k + 1) end,
+      case when k < 50 then '置信度 ' || (2 * k)::varchar || '%' end) notes from ({POSTS})"""
+)
+def entry_notes(spark, sf_dir):
+    k = F.col("k")
+    older = F.when(k % 2 == 0, F.array(k, k + 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = posts(spark, sf_dir).select("lou", F.col("lou").alias("chosen_lou"), (k / 50).alias("confidence"), older.alias("superseded_lous"), F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))).alias("note"), F.when(k % 5 == 0, F.lit("文本包含“代发安价”")).alias("proxy"))
+    return views.entry_notes(rows).select("lou", "notes")

@@ -20,11 +20,6 @@ def write_failure(spark, message: str, warnings: list[str], folder: str) -> None
     row.write.mode("overwrite").json(f"{folder}/meta")
 
 
-def write_sheets(rows: DataFrame, folder: str) -> None:
-    """A folder of CSV for each topic."""
-    rows.write.mode("overwrite").partitionBy("topic_id").option("header", True).csv(folder)
-
-
 def write_pages(pages: DataFrame, folder: str) -> None:
     pages.drop("_corrupt").write.mode("overwrite").partitionBy("page").json(folder)
 

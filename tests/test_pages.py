@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators.calls import Limits, called, calls
-from postloom.plans import tally
-from postloom.sources import cache, pages
+from postloom.plans import archive, tally, views
+from postloom.sources import cache, files, pages, sinks
 
 
 @pytest.fixture
@@ -174,3 +174,23 @@ def test_slow_packs(spark):
     got = {r.author_key: r.reply for r in tally.classified(packs, classifier, limits=Limits(at_once=12, seconds=2)).collect()}
     assert got == {f"a{k}": None if k == 7 else "{}" for k in range(24)}
     assert time.monotonic() - began < 15
+
+
+def test_folders_written_and_read(spark, tmp_path):
+    """Page dumps, a failed run's envelope, single HTML files and images, search over rows."""
+    pages_ = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "page int, code int, msg string").withColumn("_corrupt", F.lit(None).cast("string"))
+    sinks.write_pages(pages_, str(tmp_path / "dump"))
+    assert {(r.page, r.msg) for r in spark.read.json(str(tmp_path / "dump")).collect()} == {(1, "a"), (2, "b")}
+    sinks.write_failure(spark, "no pages", ["w"], str(tmp_path / "failed"))
+    row = spark.read.json(str(tmp_path / "failed" / "meta")).first()
+    assert (row.schema_version, row.status, row.message, row.warnings) == (4, "failed", "no pages", ["w"])
+    files.write_files(files.post_files(spark.createDataFrame([(3, "<p>x"), (12, "y")], "lou long, html string")), str(tmp_path / "html"))
+    assert {(r.lou, r.html) for r in pages.html_parts(spark, str(tmp_path / "html" / "post_*.html")).collect()} == {(3, "<p>x"), (12, "y")}
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.gif").write_bytes(b"GIF89a\5\0\6\0")
+    (tmp_path / "images" / "b.gif").write_bytes(b"GIF89a\5\0\6\0")
+    sized = archive.image_files(pages.images(spark, str(tmp_path / "images")))
+    assert {(r.filename, r.canonical, r.width, r.height) for r in sized.collect()} == {("a.gif", "a.gif", 5, 6), ("b.gif", "a.gif", 5, 6)}
+    rows = spark.createDataFrame([(1, "t", "some thing"), (2, "u", "thing")], "n long, topic_id string, search string")
+    assert [r.n for r in views.searched(rows, " THING ").collect()] == [1, 2]
+    assert [r.n for r in views.searched(rows, "", "u").collect()] == [2]

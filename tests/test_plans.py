@@ -110,11 +110,9 @@ def test_one_number_in_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_titles_and_widths(spark):
+def test_titles(spark):
     titles = spark.createDataFrame([("a" * 40, 1), ("a" * 40, 2), ("b", 3)], "title string, ord int")
     assert [r.sheet for r in numbering.unique_titles(titles).orderBy("ord").collect()] == ["a" * 31, "a" * 29 + "_2", "b"]
-    rows = spark.createDataFrame([(1, "x" * 30)], "row_no int, c string")
-    assert views.column_width(rows, "c").first()["width"] == 32
 
 
 def test_catalog(spark, tmp_path):
