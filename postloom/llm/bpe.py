@@ -30,7 +30,7 @@ from postloom.shipping import ship
 #: The pre-splitting pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens in a worker, and the longest of them in characters.
-WORDS_KEPT, WORD_LENGTH = 100_000, 64
+WORDS_KEPT, WORD_LENGTH = 250_000, 64
 #: Transitions kept in a worker.
 STEPS_KEPT = 500_000
 
@@ -179,16 +179,25 @@ class Tokenizer:
         total = int(ends[-1]) if len(ends) else 0
         return self.arcs[np.repeat(self.begins[ids] - (ends - lengths), lengths) + np.arange(total)].tobytes()
 
+    def text(self, packed: bytes) -> str:
+        return self.decode(np.frombuffer(packed, "<u4")).decode("utf-8", "replace")
+
 
 class _Words(dict):
+    """Tokens of the words met lately, in two generations: when the young one is full it becomes the old one, and words met again come back from there."""
+
     def __init__(self, automaton: MergeAutomaton):
         super().__init__()
         self.automaton = automaton
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
         if len(word) <= WORD_LENGTH:
-            if len(self) >= WORDS_KEPT:
+            if len(self) >= WORDS_KEPT // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -208,14 +217,17 @@ def _with(batch: pa.RecordBatch, names: list[str], column: str, values: pa.Array
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [values], names=names)
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds `ids`: the text's token ids, packed as little-endian unsigned 32-bit integers.
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds `ids`: the text's token ids, packed as little-endian unsigned 32-bit integers; and what they decode to (see bpe_decode) where `decoded` names a column for it.
 
-    Null texts count as empty and have no ids. A column of docs that is named like `ids` is
-    replaced; all others stay. No shuffle: each row is encoded where it is read.
+    Null texts count as empty and have no ids. A column of docs that is named like a new one is
+    replaced; all others stay. No shuffle: each row is encoded, and decoded again, where it is
+    read, so repeated rows come out alike and an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     schema = _extended(docs, ids, T.BinaryType())
+    if decoded is not None:
+        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +236,11 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids")
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                yield _with(part, names, ids, pa.array([one.encode(t) if t else b"" for t in part.column(text).to_pylist()], pa.binary()))
+                packed = [one.encode(t) if t else b"" for t in part.column(text).to_pylist()]
+                made = [pa.array(packed, pa.binary())]
+                if decoded is not None:
+                    made.append(pa.array([one.text(p) for p in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names[: -len(made)]] + made, names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -241,6 +257,6 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
                 rows = pc.fill_null(part.column(ids), b"").to_pylist()
-                yield _with(part, names, decoded, pa.array([one.decode(np.frombuffer(r, "<u4")).decode("utf-8", "replace") for r in rows], pa.string()))
+                yield _with(part, names, decoded, pa.array([one.text(r) for r in rows], pa.string()))
 
     return encoded.mapInArrow(run, schema)

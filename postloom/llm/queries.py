@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.bpe import bpe_decode, bpe_encode
+from postloom.llm.bpe import bpe_encode
 from postloom.llm.exact_dedup import exact_dedup, op12_sql
 from postloom.llm.hard_negatives import hard_negatives, op11_sql
 from postloom.llm.katz import score_texts
@@ -72,8 +72,7 @@ def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    out = bpe_decode(encoded, path)
+    out = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
