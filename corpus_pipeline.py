@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to; null and empty texts have no ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, path).select("doc_id", "lang", "source", "ids"), path)
+    out = bpe.bpe_encode(docs, path, decoded="decoded")
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
