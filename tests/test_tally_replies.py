@@ -66,7 +66,7 @@ def test_odd_replies(spark):
         ("uid:2", 5, "模型未将该楼归入任何有效条目", "llm_author_pack"),
     }
     counts = out.counts.first()
-    assert counts.asDict() == {"entry_count": 2, "author_count": 1, "ignored_count": 5, "superseded_count": 1, "warning_count": 1, "manual_review_required": True}
+    assert counts.asDict() == {"candidate_count": 5, "entry_count": 2, "author_count": 1, "ignored_count": 5, "superseded_count": 1, "warning_count": 1, "manual_review_required": True}
 
 
 def test_weights_among_submissions_are_rewritten(spark):
