@@ -3,12 +3,12 @@
 Each permutation of a document's shingle set gives two signature values, its least and
 its greatest, so 60 hash evaluations a shingle give 120 values. They are banded by five
 (24 bands: a pair at the threshold shares a band but for 8 chances in 10 million). Documents
-of equal sets are one node from the start. In every bucket each node is held against the
-bucket's first one, on full sets. Nodes that share buckets form families; a family's
-largest component is then left alone with itself, and its other nodes meet all the rest in
-blocks of bounded size, where one-byte sketches pick what is confirmed on full sets and
-links alone come out. So every pair of a bucket is joined by links already or looked at,
-and no bucket is expanded into its pairs.
+of equal sets are one node from the start. Each node is held, on full sets, against the first
+nodes of its buckets: those that it shares most buckets with. Nodes that share buckets form
+families, whichever pairs were held against each other. A family's largest component is then
+left alone with itself, and its other nodes meet all the rest in blocks of bounded size, where
+one-byte sketches pick what is confirmed on full sets and links alone come out. So every pair
+of a bucket is joined by links already or looked at, and no bucket is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.bytehash import Words, chunks, shingles, text_bytes
 from postloom.llm.store import drop, keep, partitions, shared_folder
 
 PERMUTATIONS, BLOCK = 60, 512
+#: First nodes of its buckets that a node is held against before families are looked at. Pairs beyond these are looked at there.
+CENTRES = 3
 VALUES, MISSED = 2 * PERMUTATIONS, 1e-6
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
@@ -130,23 +132,28 @@ def confirm(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
 
 def components(spark: SparkSession, links: DataFrame, folder: str) -> DataFrame:
-    """(node, label): label is the least node reachable. Minimum over neighbours, then the label's own label, until nothing changes."""
-    edges = keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{folder}/edges")
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{folder}/labels0")
+    """(node, label): label is the least node reachable.
+
+    In each round a node goes over to its least smaller neighbour, and from there to that one's own;
+    links are then between those that are left. The least node of a component never goes over, so it
+    is the one that remains. Each round's links are fewer, down to none.
+    """
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    edges = keep(links.where("a <> b").select(*pair("a", "b")).distinct(), f"{folder}/edges0")
+    labels = keep(links.select("a").union(links.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), f"{folder}/labels0")
     step = 0
-    while True:
+    while not edges.isEmpty():
         step += 1
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        least = keep(least, f"{folder}/least{step}")
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = keep(least.join(up, "label", "left").select("node", "old", F.coalesce("up", "label").alias("label")), f"{folder}/labels{step}")
-        done = new.where("label < old").isEmpty()
-        labels = new.select("node", "label")
-        drop(spark, f"{folder}/labels{step - 1}")
-        drop(spark, f"{folder}/least{step}")
-        if done:
-            return labels
+        up = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        up = keep(up.join(further, "up", "left").select("node", F.coalesce("top", "up").alias("up")), f"{folder}/up{step}")
+        of = lambda name, to: up.select(F.col("node").alias(name), F.col("up").alias(to))  # noqa: E731, B023
+        moved = edges.join(of("b", "to_b"), "b").join(of("a", "to_a"), "a", "left").select(F.coalesce("to_a", "a").alias("x"), F.col("to_b").alias("y"))
+        edges = keep(moved.where("x <> y").select(*pair("x", "y")).distinct(), f"{folder}/edges{step}")
+        labels = keep(labels.join(of("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{folder}/labels{step}")
+        for name in (f"edges{step - 1}", f"labels{step - 1}", f"up{step}"):
+            drop(spark, f"{folder}/{name}")
+    return labels
 
 
 def blocks_linked(width: int, percent: int, slack: float = 0.2):
@@ -223,13 +230,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = keep(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("a")).where("size > 1"), f"{folder}/buckets")
-    stars = keep(banded.join(buckets, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct(), f"{folder}/stars")
+    stars = banded.join(buckets, "bucket").where("a < node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    stars = keep(stars, f"{folder}/stars")
     # only texts named in a pair are carried further, each once
     paired = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     keys = nodes.select("node", "t1", "t2").join(paired.hint("merge"), "node")
     texts = docs.select("t1", "t2", "text").join(keys.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     texts = keep(texts.join(keys.hint("merge"), ["t1", "t2"]).select("node", "text"), f"{folder}/texts")
-    links = keep(confirm(texts, stars, width, percent), f"{folder}/links1")
+    # a node is held against those that it shares most buckets with; what else a bucket joins is left to the families
+    likely = stars.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).where(F.col("n") <= CENTRES).select("a", "b")
+    links = keep(confirm(texts, likely, width, percent), f"{folder}/links1")
     first = components(spark, links, f"{folder}/first")
 
     families = components(spark, stars, f"{folder}/family").select("node", F.col("label").alias("family"))

@@ -25,7 +25,8 @@ from postloom.llm.near_dedup import near_duplicates
 from postloom.llm.store import keep, shared_folder
 
 PREFIXES = (4, 5, 6)
-#: Rows of labels that the model is fitted on at most, entries of the lexicon, lexicon voters.
+#: Rows of labels that the model is fitted on at most, entries of the lexicon, lexicon voters. The bound on entries keeps the
+#: most telling ones; it bounds the model, which goes to all tasks, and no document.
 SAMPLE, LEXICON, VOTERS = 16_000, 2_048, 12
 #: A lexicon entry has so many toxic rows at least, near copies counted once, they are this share of its rows, and the
 #: signed root of the likelihood ratio against the sample's share of toxic rows is this: one chance in 30,000.

@@ -14,7 +14,8 @@ from brute import FOLD, WORD
 from odd_rows import ROWS
 from sql_twins import same
 
-from postloom.llm import cover_tree, exact_dedup, hard_negatives, queries, runs
+from postloom.llm import cover_tree, exact_dedup, hard_negatives, near_dedup, queries, runs
+from postloom.llm.store import shared_folder
 
 
 @pytest.mark.parametrize("name", ["op11_cover_tree_negatives", "op12_heavy_hitter_dedup"])
@@ -240,3 +241,25 @@ def test_runs_query(spark, sf_dir):
     for k in [k for k, t in texts.items() if len(t or "") < 40_000]:
         doc, n, start, length, period, lists, rest = plain_row(k, texts[k])
         assert got[k] == (doc, n, start, length, period, None if period is None else 1000 * length // period, lists, rest)
+
+
+# --- 3
+
+
+def test_components(spark):
+    """Stars whose centre is the greatest node, chains, rings, single links and a link of a node with itself."""
+    pick = random.Random(12)
+    links = [(999, k) for k in range(500, 600)] + [(k, k + 1) for k in range(2000, 2060)] + [(3000 + k, 3000 + (k + 1) % 9) for k in range(9)] + [(7, 7), (5, 4)]
+    links += [(pick.randrange(4000, 4400), pick.randrange(4000, 4400)) for _ in range(250)]
+    least = {n: n for pair in links for n in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.label for r in near_dedup.components(spark, df, shared_folder(spark)).collect()}
+    assert got == least
+    assert near_dedup.components(spark, df.where("false"), shared_folder(spark)).count() == 0
