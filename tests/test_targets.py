@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import threading
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,34 @@ def test_hot_hint(spark):
     entries = spark.createDataFrame(rows, "entry_id long, topic_id string, hint string, fields array<string>, content string").withColumn("hint", F.regexp_replace("hint", "加权 ", ""))
     got = targets.weighted_targets(entries).groupBy("score", "ties", "target", "note").count().collect()
     assert [tuple(r) for r in got] == [(240, 1000, None, "加权目标匹配到 1000 个同分候选", 1000)]
+
+
+def test_replies_of_one_post_that_say_the_same(spark):
+    """40,000 replies with a hint meet 40,000 proposals of one post: 1.6 billion pairs of rows, two of forms."""
+    asks = spark.range(40_000).select(F.col("id").alias("lou"), F.lit(7).cast("long").alias("reply_to_pid"), F.lit("Al pha").alias("hint"))
+    text = F.when(F.col("id") == 5, "alpha").otherwise("alphabet")
+    offers = spark.range(40_000).select(F.col("id").alias("proposal_id"), F.lit("t").alias("topic_id"), F.array(F.lit(7).cast("long")).alias("source_pids"), F.array().cast("array<string>").alias("fields"), text.alias("normalized_anchor_text"), F.lit(False).alias("is_weight"))
+    stop = threading.Timer(100, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        found = targets.reply_targets(asks, offers)
+        assert found.agg(F.count("*"), F.countDistinct("lou"), F.min("target"), F.max("target"), F.min("score")).first()[:] == (40_000, 40_000, 5, 5, 320)
+        alike = offers.where("proposal_id <> 5")
+        assert targets.reply_targets(asks, alike).count() == 0
+        assert {r[0] for r in targets.reply_failures(asks, alike).select("reason").distinct().collect()} == {"reply pid=7 存在 39999 个同分候选"}
+    finally:
+        stop.cancel()
+
+
+def test_every_reply_without_a_hint_meets_every_proposal(spark):
+    """More of both than a list holds, nulls and repeated rows among them."""
+    n = targets.LIST * 2 + 10
+    null_at = lambda k: F.when(F.col("id") != k, F.col("id"))
+    asks = spark.range(n).select(null_at(3).alias("lou"), (F.col("id") % 2).alias("reply_to_pid"), F.lit(None).cast("string").alias("hint"), F.lit("x").alias("preview"))
+    asks = asks.union(asks.where("lou = 4"))
+    offers = spark.range(n).select(null_at(4).alias("proposal_id"), F.lit("t").alias("topic_id"), F.array(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("source_pids"), F.array().cast("array<string>").alias("fields"), F.lit("x").alias("normalized_anchor_text"), F.lit(False).alias("is_weight"))
+    want = asks.where("reply_to_pid = 0").select("lou").crossJoin(offers.select(F.col("proposal_id").alias("target")))
+    got = targets.reply_targets(asks, offers)
+    assert got.where("score is not null or match_text is not null").count() == 0
+    assert got.count() == want.count() == (n // 2 + 1) * n
+    assert got.select("lou", "target").exceptAll(want).isEmpty()
