@@ -23,7 +23,8 @@ def reply_context_posts(candidates: DataFrame, posts: DataFrame) -> DataFrame:
 
     candidates: author_key, lou, pid, reply_to_pid; posts: pid, lou, content (last of equal pids holds).
     """
-    last = posts.where("pid is not null").groupBy("pid").agg(F.max_by(F.struct("lou", "content"), "ord").alias("p")).select("pid", "p.*")
+    # only posts that are asked for are compared
+    last = posts.join(candidates.where("reply_to_pid is not null").select(F.col("reply_to_pid").alias("pid")).distinct(), "pid", "left_semi").groupBy("pid").agg(F.max_by(F.struct("lou", "content"), "ord").alias("p")).select("pid", "p.*")
     asked = candidates.where("reply_to_pid is not null").select("author_key", F.col("lou").alias("from_lou"), F.col("reply_to_pid").alias("pid"))
     own = candidates.select("author_key", "pid")
     linked = asked.join(last, "pid").join(own, ["author_key", "pid"], "left_anti")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postloom.functions.markup import clean_post, compact, reply_context, strip, truncated, unescaped_twice
+from postloom.functions.markup import cleaned_post, compact, reply_context, strip, truncated, unescaped_twice
 from postloom.functions.matching import asks_weight, inline_names, is_weight_only, match_form, names_in, placeholder_topics, proxy_reason, scoped_reasons, split_names, topic_id, weight_hint
 from postloom.functions.scalars import confidence, distinct_by, json_object, to_int, without_prefixes
 from postloom.functions.typed import as_float, as_int, as_ints, as_text, elements, field_texts, first_held, holds, is_nothing, kind, member, members, plain
@@ -278,8 +278,11 @@ def recovered_weights(proposals: DataFrame, refused: DataFrame, candidates: Data
     has a submission to the topic. Where no target is found, rows stay as they are and a
     warning says why.
     """
-    folder = shared_folder(proposals.sparkSession)
+    spark = proposals.sparkSession
+    folder = shared_folder(spark)
     posts = candidates.where(F.coalesce(F.col("asks") | F.col("weight_only"), F.lit(False)))
+    if posts.isEmpty():
+        return proposals.select(*PROPOSAL), refused, spark.createDataFrame([], "lou long, message string")
     posts = posts.select("author_key", "lou", "hint", "content", F.col("reply.reply_to_pid").alias("reply_to_pid"), F.col("reply.quoted_preview").alias("preview"), "ord", "weight_only")
     named_posts = posts.where("reply_to_pid is not null")
     offers = keep(_offers(proposals, candidates), f"{folder}/offers")
@@ -313,7 +316,7 @@ def run_counts(out: Tally, candidates: DataFrame) -> DataFrame:
 def tally(spark: SparkSession, posts: DataFrame, rule: Rule, classifier: Callable[[str], str] | None = None, unescape=unescaped_twice, prompt: Column | None = None, limits: Limits | None = None) -> Tally:
     """posts: ord, lou, pid, uid, username, postdate, content, author_key. Without a classifier every post is for somebody to look at. For prompt and limits see classified."""
     folder = shared_folder(spark)
-    cleaned = posts.withColumns({"reply": reply_context(F.col("content"), unescape), "raw": F.col("content"), "content": clean_post(F.col("content"), unescape)})
+    cleaned = posts.withColumns({"reply": reply_context(F.col("content"), unescape), "raw": F.col("content"), "content": cleaned_post(F.col("content"), unescape)})
     cleaned = keep(cleaned, f"{folder}/cleaned")
     candidates, ignored = split_posts(cleaned, rule, "content", "raw")
     candidates = candidates.withColumns({"hint": weight_hint(F.col("content")), "weight_only": is_weight_only(F.col("content")), "asks": asks_weight(F.col("content")), "proxy": proxy_reason(F.col("content"))})

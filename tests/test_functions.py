@@ -87,3 +87,11 @@ def test_rule_overrides():
     rule = Rule(5, ignore_author_user=(1,)).overridden(start_lou=7, ignore_author_user=[2, 1], keyword=None)
     assert (rule.start_lou, rule.ignore_author_user, rule.keyword) == (7, (1, 2), None)
     assert [t.id for t in Rule(1, topics=TOPICS[2:3]).with_default_topics().topics][0] == "theme2_guest"
+
+
+def test_texts_without_markup_are_only_stripped(spark):
+    odd = [None, "", " \t", "plain", " a b ", "a\r\nb", "a \n\n\n\n b", "a&lt;b", "a&amp;amp;lt;", "<br>x", "[b]x[/b]", "a\x0bb\x85", "]>;", "a  \tb ", "[quote][pid=1]Reply[/pid]x[/quote]y", '{"k": 1}']
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows = df.select(m.clean_post(F.col("t")).alias("whole"), m.cleaned_post(F.col("t")).alias("short"), m.reply_context(F.col("t"))["has_reply_quote"].alias("quoted"), m.reply_context(F.col("t"))["reply_quote_count"].alias("n")).collect()
+    assert [r.whole for r in rows] == [r.short for r in rows]
+    assert [r.n for r in rows] == [int("Reply" in (t or "")) for t in odd] and [r.quoted for r in rows] == [r.n > 0 for r in rows]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.matching import scoped_reasons
 from postloom.functions.scalars import lou_list
-from postloom.operators.packs import author_packs
+from postloom.operators.packs import author_packs, reply_context_posts
 from postloom.operators.targets import reply_targets
 from postloom.plans import tally
 from postloom.rules import TOPICS, Rule
@@ -112,3 +112,25 @@ def test_prompt(spark):
     assert [(p["lou"], p["content"], p["content_truncated"]) for p in shown["posts"]] == [(1, "short", False), (2, "far t\n...[已截断]", True)]
     assert "note of two" in text and "note of three" not in text and "uid:1" not in text
     assert all(t.id in text and t.description in text for t in TOPICS) and "2026-05-04 23:00" in text
+
+
+def test_posts_that_nobody_asks_for_are_not_compared(spark, monkeypatch):
+    """No reply that adds weight: no table is made to look for targets; context is read of posts that are replied to."""
+    kept = []
+    monkeypatch.setattr(tally, "keep", lambda df, path: kept.append(path) or df)
+    none = lambda kind: F.lit(None).cast(kind)
+    candidates = spark.range(3).select(F.lit("a").alias("author_key"), F.col("id").alias("lou"), none("string").alias("hint"), F.lit("x").alias("content"), F.lit(False).alias("asks"), F.lit(False).alias("weight_only"))
+    proposals = spark.createDataFrame([("a", 1, "extra")], "author_key string, chosen_lou long, more string")
+    for c in set(tally.PROPOSAL) - set(proposals.columns):
+        proposals = proposals.withColumn(c, none("string"))
+    refused = spark.createDataFrame([("a", 2)], "author_key string, lou long")
+    out, left, warnings = tally.recovered_weights(proposals, refused, candidates)
+    assert not kept and out.columns == list(tally.PROPOSAL) and out.count() == left.count() == 1 and warnings.isEmpty()
+
+
+def test_context_is_read_of_asked_posts_alone(spark):
+    cands = spark.createDataFrame([("a", 1, 10, 12), ("a", 2, 11, 10), ("b", 3, 12, None), ("b", 4, 13, 99)], "author_key string, lou long, pid long, reply_to_pid long")
+    read = spark.createDataFrame([(10, 1, "p", 1), (12, 3, "old", 1), (12, 5, "new", 2), (20, 9, "q", 3)], "pid long, lou long, content string, ord long")
+    found = reply_context_posts(cands, read)
+    assert [(r.author_key, r.pid, r.lou, r.content, r.linked_from_lous) for r in found.collect()] == [("a", 12, 5, "new", [1])]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
