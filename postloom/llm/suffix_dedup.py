@@ -137,48 +137,59 @@ def collection_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Position k < len(segments) is the empty suffix of segment k. Round j puts the suffixes
     of length j in place: the symbol before each suffix of length j - 1 is written at that
     suffix's place, and by its rank among equal symbols tells where the longer suffix goes.
+    The symbols written so far are held with their places as one sorted array, into which
+    each round merges its own, so that no round sorts all of them.
     """
     count = len(segments)
     lengths = np.array([len(s) for s in segments])
     text = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.cumsum(lengths)
     total = count + int(lengths.sum())
-    bwt, lcp = np.full(total, NOTHING, np.uint8), np.zeros(total + 1, np.int16)
-    fresh, slot, old = np.zeros(total, bool), np.empty(total, np.int32), np.ones(total, bool)
+    kind, bits = (np.uint32, 24) if total < 1 << 24 else (np.int64, 40)
+    low = kind((1 << bits) - 1)
+    lcp, old = np.zeros(total + 1, np.int16), np.ones(total, bool)
+    keys = np.empty(0, kind)  # symbol, place
     who, place, size = np.arange(count), np.arange(count), count
     for j in range(1, int(lengths.max(initial=0)) + 1):
         stays = lengths[who] >= j
         who, place = who[stays], place[stays]
-        bwt[place] = text[ends[who] - j]
-        order = np.argsort(bwt[:size], kind="stable")
-        # ranks of what is put in, ascending, and whose it is
-        fresh[place] = True
-        slot[place] = np.arange(len(place))
-        at = np.flatnonzero(fresh[order])
-        fresh[place] = False
-        place = order[at]
-        who = who[slot[place]]
+        fresh = text[ends[who] - j].astype(kind) << kind(bits) | place.astype(kind)
+        order = np.argsort(fresh)
+        who, fresh = who[order], fresh[order]
+        step = np.arange(len(fresh))
+        at = np.searchsorted(keys, fresh) + step
+        keys = _inserted(keys, at, fresh, old)
+        place, symbol = (fresh & low).astype(np.int64), fresh >> kind(bits)
         # common prefix with the suffix before: one more than the least between both parents
-        symbol = bwt[place]
-        last = order[np.maximum(at - 1, 0)]
-        has_last = (at > 0) & (bwt[last] == symbol)
-        up = order[np.minimum(at + 1, size - 1)]
-        has_next = (at + 1 < size) & (bwt[up] == symbol)
+        last, up = keys[np.maximum(at - 1, 0)], keys[np.minimum(at + 1, len(keys) - 1)]
+        has_last = (at > 0) & (last >> kind(bits) == symbol)
+        has_next = (at + 1 < len(keys)) & (up >> kind(bits) == symbol)
+        last, up = (last & low).astype(np.int64), (up & low).astype(np.int64)
         before = np.where(has_last, 1 + _least(lcp, np.where(has_last, last + 1, 0), np.where(has_last, place + 1, 1)), 0)
         after = np.where(has_next, 1 + _least(lcp, np.where(has_next, place + 1, 0), np.where(has_next, up + 1, 1)), 0)
         place = count + at
         grown = size + len(place)
-        old[place] = False
-        keep_at = old[:grown]
-        bwt[:grown][keep_at], lcp[:grown][keep_at] = bwt[:size].copy(), lcp[:size].copy()
-        old[place] = True
-        bwt[place] = NOTHING
+        # places move by as many as are put in before them
+        keys += np.repeat(np.arange(len(place) + 1, dtype=kind), np.diff(place - step, prepend=0, append=size))[keys & low]
+        lcp[:grown] = _inserted(lcp[:size], place, before, old)
         follows = place + 1
         inside = follows < grown
         lcp[follows[inside]] = after[inside]  # those put in this round as well get the same value below
         lcp[place] = before
         size = grown
-    return bwt[:size], lcp[:size]
+    bwt = np.full(size, NOTHING, np.uint8)
+    bwt[keys & low] = keys >> kind(bits)
+    return bwt, lcp[:size]
+
+
+def _inserted(x: np.ndarray, at: np.ndarray, values: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """x with the values put in, which stand at `at` then. true: all true, and long enough."""
+    out = np.empty(len(x) + len(at), x.dtype)
+    true[at] = False
+    out[true[: len(out)]] = x
+    true[at] = True
+    out[at] = values
+    return out
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -263,3 +263,26 @@ def test_components(spark):
     got = {r.node: r.label for r in near_dedup.components(spark, df, shared_folder(spark)).collect()}
     assert got == least
     assert near_dedup.components(spark, df.where("false"), shared_folder(spark)).count() == 0
+
+
+def test_transform_sorts_what_a_round_adds_alone(monkeypatch):
+    """The transform and common prefixes as of sorted suffixes; no sort takes more than one symbol of each segment."""
+    from postloom.llm import suffix_dedup
+
+    rng = np.random.default_rng(5)
+    segments = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 30, 25)]
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or argsort(x, *a, **k))
+    bwt, lcp = suffix_dedup.collection_order(segments)
+    assert max(sizes) <= len(segments)
+    suffixes = sorted((s[k:], -1 if k == len(s) else 0, n, k) for n, s in enumerate(segments) for k in range(len(s) + 1))
+    shared = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    assert lcp.tolist() == [0, *(shared(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False))]
+    # equal suffixes are in no fixed order, so symbols are compared among these
+    before = lambda text: sorted(suffix_dedup.NOTHING if k == 0 else segments[n][k - 1] for t, _, n, k in suffixes if t == text)
+    at = 0
+    for text in dict.fromkeys(t for t, *_ in suffixes):
+        want = before(text)
+        assert sorted(bwt[at : at + len(want)].tolist()) == want
+        at += len(want)
+    assert at == len(bwt)
