@@ -145,3 +145,15 @@ def test_every_reply_without_a_hint_meets_every_proposal(spark):
     assert got.where("score is not null or match_text is not null").count() == 0
     assert got.count() == want.count() == (n // 2 + 1) * n
     assert got.select("lou", "target").exceptAll(want).isEmpty()
+
+
+def test_pairs_of_lists_stay_small(spark):
+    """Spark holds all rows of a pair of lists at once: few, also where a third of a post's askers and proposals have no id."""
+    value = F.when(F.col("id") % 3 != 0, F.col("id"))
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("reply_to_pid"), value.alias("lou"))
+    lists = [r[0] for r in targets._lists(rows, "lou").select("_lou").collect()]
+    assert sorted(map(len, lists))[-1] <= 400 and sum(map(len, lists)) / len(lists) <= 200
+    assert sorted(x or 0 for values in lists for x in values) == sorted(r[0] or 0 for r in rows.select("lou").collect())
+    asks = rows.withColumns({"hint": F.lit(None).cast("string")})
+    offers = rows.select(F.col("lou").alias("proposal_id"), F.lit("t").alias("topic_id"), F.array("reply_to_pid").alias("source_pids"), F.array().cast("array<string>").alias("fields"), F.lit("x").alias("normalized_anchor_text"), F.lit(False).alias("is_weight"))
+    assert targets.reply_targets(asks, offers).agg(F.count("*"), F.count("lou"), F.count("target")).first()[:] == (9_000_000, 6_000_000, 6_000_000)
